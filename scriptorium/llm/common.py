@@ -55,3 +55,15 @@ def unit_hash(*parts: Column | str) -> Column:
 def label_fold() -> Column:
     """``crc32(doc_id as text) mod 5``: rows with 0 are held out of training."""
     return F.crc32(F.col("doc_id").cast("string")) % 5
+
+
+#: Bytes of rows that Python gets at a time.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Hold Arrow batches to ``most`` bytes, so that a worker's memory doesn't depend on how long
+    the texts are (a batch is at least one row)."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b") or 0) > most:
+        spark.conf.set(key, str(most))

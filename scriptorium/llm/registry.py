@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, png, warc
 
-QUERIES = {"op8_mixing": mixing.op8_mixing}
-ORACLE = {**mixing.ORACLE}
+QUERIES = {"op4_media": png.op4_media, "op8_mixing": mixing.op8_mixing, "op10_warc": warc.op10_warc}
+ORACLE = {**mixing.ORACLE, **warc.ORACLE}
