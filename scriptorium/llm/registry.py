@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, png, warc
+from . import langid, mixing, png, toxicity, warc
 
-QUERIES = {"op4_media": png.op4_media, "op8_mixing": mixing.op8_mixing, "op10_warc": warc.op10_warc}
+QUERIES = {
+    "op2_langid": langid.op2_langid,
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op4_media": png.op4_media,
+    "op8_mixing": mixing.op8_mixing,
+    "op10_warc": warc.op10_warc,
+}
 ORACLE = {**mixing.ORACLE, **warc.ORACLE}
