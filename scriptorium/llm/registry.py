@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, png, toxicity, warc
+from . import langid, mixing, pii, png, toxicity, warc
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op2_langid": langid.op2_langid,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_media": png.op4_media,

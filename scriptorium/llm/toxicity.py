@@ -22,7 +22,8 @@ BITS = 17  # of a bucket
 SIZES = range(3, 6)  # of the n-grams, in bytes, a word's two borders included
 DIM = 8  # of a vector
 WINDOW = 8  # words
-SAMPLE_ROWS = 1500  # training rows of a class at most
+SAMPLE_TOXIC = 1500  # toxic training rows at most
+SAMPLE_CLEAN = 3000  # clean training rows at most
 SAMPLE_CHARS = 20_000  # longer texts are left out of the training rows
 BLOCK = 1 << 20  # bytes of text that are worked on at a time
 
@@ -94,7 +95,7 @@ def log_odds(model: Model, texts: list[str | None]) -> np.ndarray:
     return np.where(np.isinf(out), 0.0, out) + model.bias
 
 
-def fit(texts: list[str], labels: list[int], whole: int = 4, worst: int = 25, seed: int = 11) -> Model:
+def fit(texts: list[str], labels: list[int], whole: int = 1, worst: int = 12, seed: int = 11) -> Model:
     """Some rounds on whole texts, then rounds on each text's worst windows under the model so far
     (two for a clean text). Without rows of both classes the model has no opinion above 0.5."""
     y = np.asarray(labels, int)
@@ -173,13 +174,13 @@ def cut(z: np.ndarray, y: np.ndarray) -> float:
     return float((s[k] + s[k - 1]) / 2)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> tuple[list[str], list[int]]:
-    """A bounded sample of the labelled rows outside the held-out fold: of each class at most
-    ``rows`` ids, those with the least hash, and of them the texts of at most ``chars`` characters.
+def training_rows(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN, chars: int = SAMPLE_CHARS) -> tuple[list[str], list[int]]:
+    """A bounded sample of the labelled rows outside the held-out fold: at most ``toxic`` and
+    ``clean`` ids of the two classes, those with the least hash, and of them the texts of at most ``chars`` characters.
     An id with several labels counts as toxic if one says so."""
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(label_fold() != 0).withColumn("u", unit_hash(F.lit("toxic"), "doc_id"))
-    ids = known.filter("toxic = 1").orderBy("u", "doc_id").limit(rows).unionAll(known.filter("toxic = 0").orderBy("u", "doc_id").limit(rows))
-    taken = docs.filter(F.length("text").between(1, chars)).select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", "text").orderBy("doc_id", "text").limit(4 * rows).collect()
+    ids = known.filter("toxic = 1").orderBy("u", "doc_id").limit(toxic).unionAll(known.filter("toxic = 0").orderBy("u", "doc_id").limit(clean))
+    taken = docs.filter(F.length("text").between(1, chars)).select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", "text").orderBy("doc_id", "text").limit(4 * (toxic + clean)).collect()
     return [r["text"] for r in taken], [int(r["toxic"]) for r in taken]
 
 
