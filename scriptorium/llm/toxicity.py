@@ -24,7 +24,7 @@ DIM = 8  # of a vector
 WINDOW = 8  # words
 SAMPLE_TOXIC = 1500  # toxic training rows at most
 SAMPLE_CLEAN = 3000  # clean training rows at most
-SAMPLE_CHARS = 20_000  # longer texts are left out of the training rows
+SAMPLE_CHARS = 10_000  # longer texts are left out of the training rows
 BLOCK = 1 << 20  # bytes of text that are worked on at a time
 
 SCORED = "doc_id long, held_out boolean, score double, predicted int"
@@ -95,6 +95,30 @@ def log_odds(model: Model, texts: list[str | None]) -> np.ndarray:
     return np.where(np.isinf(out), 0.0, out) + model.bias
 
 
+def sample_grams(texts: list[str]):
+    """The n-grams of the training texts in one array, in order of position; where each window and
+    each text begins and ends in it, and the text of each window. Built from a few texts at a time,
+    so that little but the result is held."""
+    ids, lo, hi, which, doc_lo, doc_hi, base = [], [], [], [], [], [], 0
+    for at in range(0, len(texts), 64):
+        raw, starts = cleaned(texts[at : at + 64])
+        a, b, text = windows(raw, starts)
+        found = [(np.flatnonzero(valid), buckets[valid]) for buckets, valid in grams(raw)]
+        pos = np.concatenate([x for x, _ in found])
+        order = np.argsort(pos, kind="stable")
+        pos = pos[order]
+        ids.append(np.concatenate([x for _, x in found])[order])
+        l, h = np.searchsorted(pos, a), np.searchsorted(pos, b)
+        full = h > l
+        lo.append(l[full] + base)
+        hi.append(h[full] + base)
+        which.append(text[full] + at)
+        doc_lo.append(np.searchsorted(pos, starts[:-1]) + base)
+        doc_hi.append(np.searchsorted(pos, starts[1:]) + base)
+        base += len(pos)
+    return tuple(map(np.concatenate, (ids, lo, hi, which, doc_lo, doc_hi)))
+
+
 def fit(texts: list[str], labels: list[int], whole: int = 1, worst: int = 12, seed: int = 11) -> Model:
     """Some rounds on whole texts, then rounds on each text's worst windows under the model so far
     (two for a clean text). Without rows of both classes the model has no opinion above 0.5."""
@@ -102,19 +126,7 @@ def fit(texts: list[str], labels: list[int], whole: int = 1, worst: int = 12, se
     if len(set(labels)) < 2:
         return Model(np.zeros(1 << BITS, np.float32), 3.0 if labels and y[0] == 1 else -3.0)
     rng = np.random.default_rng(seed)
-    raw, starts = cleaned(texts)
-    a, b, which = windows(raw, starts)
-    pos, ids = [], []
-    for buckets, valid in grams(raw):
-        at = np.flatnonzero(valid)
-        pos.append(at.astype(np.int32))
-        ids.append(buckets[at])
-    order = np.argsort(np.concatenate(pos), kind="stable")
-    pos, ids = np.concatenate(pos)[order], np.concatenate(ids)[order]
-    lo, hi = np.searchsorted(pos, a), np.searchsorted(pos, b)
-    full = hi > lo
-    lo, hi, which = lo[full], hi[full], which[full]
-    doc_lo, doc_hi = np.searchsorted(pos, starts[:-1]), np.searchsorted(pos, starts[1:])
+    ids, lo, hi, which, doc_lo, doc_hi = sample_grams(texts)
     e = rng.normal(0, 0.1, (1 << BITS, DIM)).astype(np.float32)
     u, c = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
     ge, gu, gc = np.full((1 << BITS, DIM), 1e-6, np.float32), np.full_like(u, 1e-6), np.full_like(c, 1e-6)
@@ -146,8 +158,7 @@ def fit(texts: list[str], labels: list[int], whole: int = 1, worst: int = 12, se
     edges = np.flatnonzero(np.diff(which, prepend=-1))
     for t in range(worst):
         table = e @ (u[:, 1] - u[:, 0])
-        sums = np.concatenate([[0.0], np.cumsum(table[ids], dtype=np.float64)])
-        mean = (sums[hi] - sums[lo]) / (hi - lo)
+        mean = np.concatenate([np.add.reduceat(np.append(table[ids[lo[k] : hi[k : k + 4096].max()]], 0), np.stack([lo[k : k + 4096], hi[k : k + 4096]], 1).ravel() - lo[k])[::2] for k in range(0, len(lo), 4096)]) / (hi - lo)
         ranked = np.lexsort((-mean, which))
         top = ranked[edges]
         clean = edges[(y[which[top]] == 0) & (np.append(edges[1:], len(which)) - edges > 1)]
