@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, pii, png, toxicity, warc
+from . import jaccard, langid, mixing, pii, png, toxicity, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_langid": langid.op2_langid,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_media": png.op4_media,
+    "op5_jaccard_join": jaccard.op5_jaccard_join,
     "op8_mixing": mixing.op8_mixing,
     "op10_warc": warc.op10_warc,
 }
