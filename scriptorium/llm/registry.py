@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, langid, mixing, pii, png, toxicity, warc
+from . import imatch, jaccard, langid, mixing, pii, png, toxicity, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_media": png.op4_media,
     "op5_jaccard_join": jaccard.op5_jaccard_join,
+    "op7_fingerprints": imatch.op7_fingerprints,
     "op8_mixing": mixing.op8_mixing,
     "op10_warc": warc.op10_warc,
 }
