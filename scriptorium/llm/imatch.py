@@ -18,7 +18,7 @@ from .common import written
 #: allows to broadcast the lexicon.
 LEAST, MOST = 0.004, 0.10
 #: Subset k holds each term with probability 1 / 2 ** DEPTHS[k].
-DEPTHS = (1, 2, 3, 4, 5, 6, 7, 8) * 4
+DEPTHS = (3, 4, 5, 6, 7, 8, 9, 10) * 4
 RANGES = 1024  # of ids at most
 
 
