@@ -6,8 +6,10 @@
    of each. Classes with the same prefix and size form one group, and groups are indexed by the
    shingles of their prefix.
 3. A prefix shingle with more than one member is a block. Blocks with equal members count once.
-   Blocks are expanded to members and dealt in tiles of bounded size; in a tile all intersections
-   are counted by matrix products and only a spanning forest of the links is emitted.
+   Groups that blocks connect are a family, and groups are expanded to members. A family is tested
+   as a whole (each set is sent to few tasks), one of very many members block by block. Either is
+   dealt in tiles of bounded size; in a tile all intersections are counted and only a spanning
+   forest of the links is emitted.
 4. Components of the links, and then of the documents.
 
 No step emits the pairs of a block, and no pair that reaches the threshold is left untested.
@@ -27,9 +29,11 @@ from .components import components
 from .shingles import Powers, blocks, shingles, words
 
 WIDTH, PERCENT = 4, 85  # words of a shingle; the least intersection in percent of the union
-FREQUENCY_BITS = 20  # of the table of word frequencies
-TILE_MEMBERS, TILE_SHINGLES = 2048, 1 << 22  # of a chunk of a block at most
+FREQUENCY_BITS = 19  # of the table of word frequencies
+FAMILY = 8192  # members up to which a family is tested as a whole
+TILE_MEMBERS, TILE_SHINGLES = 512, 1 << 21  # of a chunk of a family or block, on average
 COLUMNS = 4096  # of a matrix product
+DENSE = 32  # a shingle of at least 1 / DENSE of a tile's members goes to the matrix product
 
 
 def shingle_set(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -71,8 +75,8 @@ def facts(docs: DataFrame, width: int) -> DataFrame:
 def frequencies(table: DataFrame) -> np.ndarray:
     """The table of word frequencies: at most ``2 ** FREQUENCY_BITS`` sums, whatever the input."""
     out = np.zeros(1 << FREQUENCY_BITS, np.uint32)
-    sums = table.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("freq").alias("freq")).toPandas()
-    out[sums["bucket"].to_numpy(np.int64)] = np.minimum(sums["freq"].to_numpy(np.int64), 2**32 - 1)
+    sums = table.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("freq").alias("freq")).toArrow()
+    out[sums["bucket"].to_numpy()] = np.minimum(sums["freq"].to_numpy(), 2**32 - 1)
     return out
 
 
@@ -162,18 +166,19 @@ def forest(members: dict[bytes, np.ndarray], percent: int) -> list[tuple[bytes,
         return out
     owner = np.repeat(np.arange(m), size)
     items, place, times = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
-    shared = times > 1
-    column = np.cumsum(shared) - 1
-    keep = shared[place]
-    owner, place = owner[keep], column[place[keep]]
     order = np.argsort(place, kind="stable")
-    owner, place = owner[order], place[order]
+    owner, ends = owner[order], np.cumsum(times)
     both = np.zeros((m, m), np.float32)
-    for at in range(0, int(shared.sum()), COLUMNS):
-        lo, hi = np.searchsorted(place, (at, at + COLUMNS))
-        grid = np.zeros((m, min(COLUMNS, int(shared.sum()) - at)), np.float32)
-        grid[owner[lo:hi], place[lo:hi] - at] = 1
+    dense = np.flatnonzero((times > 1) & (times * DENSE >= m))
+    for at in range(0, len(dense), COLUMNS):
+        part = dense[at : at + COLUMNS]
+        grid = np.zeros((m, len(part)), np.float32)
+        for k, c in enumerate(part):
+            grid[owner[ends[c] - times[c] : ends[c]], k] = 1
         both += grid @ grid.T
+    for c in np.flatnonzero((times > 1) & (times * DENSE < m)):
+        some = owner[ends[c] - times[c] : ends[c]]
+        both[some[:, None], some] += 1
     for a in range(1, m):
         row = both[a, :a].astype(np.int64)
         for b in np.flatnonzero(100 * row >= percent * (size[a] + size[:a] - row)):
@@ -182,16 +187,16 @@ def forest(members: dict[bytes, np.ndarray], percent: int) -> list[tuple[bytes,
 
 
 def links(tiles: DataFrame, percent: int) -> DataFrame:
-    """``u, v`` of the links in ``token, i, j, sig, items``, which come dealt and sorted by tile."""
+    """``u, v`` of the links in ``by, key, i, j, sig, items``, which come dealt and sorted by tile."""
 
     def run(batches):
         schema = pa.schema([("u", pa.binary()), ("v", pa.binary())])
         now, members, out = None, {}, []
         for batch in batches:
-            for token, i, j, sig, items in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                if (token, i, j) != now:
+            for *tile, sig, items in zip(*(c.to_pylist() for c in batch.columns)):
+                if tile != now:
                     out += forest(members, percent)
-                    now, members = (token, i, j), {}
+                    now, members = tile, {}
                 members[sig] = np.frombuffer(items, np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], schema=schema)
             out = []
@@ -201,6 +206,29 @@ def links(tiles: DataFrame, percent: int) -> DataFrame:
     return tiles.mapInArrow(run, "u binary, v binary")
 
 
+def dealt(index: DataFrame, member: DataFrame) -> DataFrame:
+    """``by, key, i, j, sig, doc_id``: the members of each tile. ``index`` has ``token, m, gid`` of the
+    blocks, ``member`` has ``gid, sig, doc_id, n``; ``by`` says whether ``key`` is a family or a block.
+
+    A family or block of k chunks has a tile for each two of them (and for each alone), so that any
+    two members meet in one. Its members are dealt to chunks by hash.
+    """
+    tie = index.groupBy("token").agg(F.min("gid").alias("v"))
+    family = components(index.select("token", F.col("gid").alias("u")).join(tie, "token").select("u", "v"))
+    grouped = index.select("gid").distinct().join(family, F.col("gid") == F.col("node"), "left").select("gid", F.coalesce("least", "gid").alias("family"))
+    members = written(grouped.join(member, "gid"), "members")
+    size = members.groupBy("family").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
+    sizes = small_side(written(size.withColumn("k", F.greatest(F.ceil(F.col("m") / TILE_MEMBERS), F.ceil(F.col("total") / TILE_SHINGLES)).cast("int")), "families"))
+    sized = members.join(sizes, "family")
+    whole = sized.filter(F.col("m") <= FAMILY).select(F.lit(0).alias("by"), F.col("family").alias("key"), "sig", "doc_id", "k")
+    large = sized.filter(F.col("m") > FAMILY).select("gid", "sig", "doc_id", "n")
+    expanded = index.select("token", "gid").join(large, "gid")
+    block = expanded.groupBy("token").agg(F.greatest(F.ceil(F.count("*") / TILE_MEMBERS), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("k"))
+    parts = expanded.join(block, "token").select(F.lit(1).alias("by"), F.col("token").alias("key"), "sig", "doc_id", "k")
+    chunk = whole.unionAll(parts).withColumn("c", F.pmod(F.xxhash64("sig"), F.col("k")).cast("int"))
+    return chunk.select("by", "key", "sig", "doc_id", "c", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("d")).select("by", "key", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"), "sig", "doc_id")
+
+
 def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row of ``docs``.
 
@@ -218,23 +246,19 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
     rarity = spark.sparkContext.broadcast(frequencies(table))
     heads = written(indexed(docs.filter("doc_id IS NOT NULL"), rarity, width, percent).join(small_side(others), ["doc_id", "sig"], "left_anti"), "prefixes")
     groups = small_side(written(heads.groupBy("gid").agg(F.min("sig").alias("lead"), F.countDistinct("sig").alias("of")).filter("of > 1"), "groups"))
-    leads = heads.join(groups, "gid", "left").filter("lead IS NULL OR lead = sig").select("gid", F.coalesce("of", F.lit(1)).alias("of"), F.explode("tokens").alias("token"))
+    leads = heads.join(groups, "gid", "left").filter("lead IS NULL OR lead = sig").select("gid", F.coalesce("of", F.lit(1)).cast("int").alias("of"), F.explode("tokens").alias("token"))
+    shared = written(leads.groupBy("token").agg(F.sum("of").alias("m")).filter("m > 1"), "shared")
+    hits = written(leads.select("token", "gid").join(small_side(shared), "token"), "hits")
     mark = F.xxhash64("gid")
-    shared = leads.groupBy("token").agg(F.sum("of").alias("m"), F.bit_xor(mark).alias("x"), F.sum(mark % 2_147_483_647).alias("s")).filter("m > 1")
-    chosen = written(shared.groupBy("m", "x", "s").agg(F.min("token").alias("token")).select("token", "m"), "blocks")
-    index = written(leads.join(small_side(chosen), "token").select("token", "m", "gid"), "block-groups")
-
-    member = heads.select("gid", "sig", "doc_id", "n").dropDuplicates(["sig"])
-    expanded = index.join(member, "gid")
-    chunks = F.greatest(F.ceil(F.col("m") / TILE_MEMBERS), F.ceil(F.col("m") * F.col("n") / TILE_SHINGLES)).cast("int")
-    most = expanded.groupBy("token").agg(F.max(chunks).alias("k")).filter("k > 1")
-    dealt = expanded.join(small_side(written(most, "large-blocks")), "token", "left").withColumn("c", F.when(F.col("k") > 1, F.pmod(F.xxhash64("sig"), F.col("k"))).otherwise(0).cast("int"))
-    tiles = written(dealt.select("token", "sig", "doc_id", "c", F.explode(F.when(F.col("k") > 1, F.sequence(F.lit(0), F.col("k") - 1)).otherwise(F.array(F.lit(0)))).alias("d")).select("token", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"), "sig", "doc_id"), "tiles")
+    alike = hits.groupBy("token", "m").agg(F.bit_xor(mark).alias("x"), F.sum(mark % 2_147_483_647).alias("s"))
+    chosen = written(alike.groupBy("m", "x", "s").agg(F.min("token").alias("token")).select("token"), "blocks")
+    index = written(hits.join(small_side(chosen), "token", "left_semi"), "block-groups")
+    tiles = written(dealt(index, heads.select("gid", "sig", "doc_id", "n").dropDuplicates(["sig"])), "tiles")
 
     needed = small_side(written(tiles.select("doc_id").distinct(), "needed"))
     held = sets(docs.join(needed, "doc_id", "left_semi"), width)
-    placed = held.join(small_side(tiles.drop("doc_id")), "sig").select("token", "i", "j", "sig", "items")
-    edges = written(links(placed.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j"), percent), "links")
+    placed = held.join(small_side(tiles.drop("doc_id")), "sig").select("by", "key", "i", "j", "sig", "items")
+    edges = written(links(placed.repartition("by", "key", "i", "j").sortWithinPartitions("by", "key", "i", "j"), percent), "links")
     return labelled(docs, rows, classes, edges)
 
 
