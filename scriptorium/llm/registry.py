@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import imatch, jaccard, langid, mixing, pii, png, toxicity, warc
+from . import imatch, jaccard, langid, lattice, mixing, packing, pii, png, toxicity, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -11,7 +11,9 @@ QUERIES = {
     "op4_media": png.op4_media,
     "op5_jaccard_join": jaccard.op5_jaccard_join,
     "op7_fingerprints": imatch.op7_fingerprints,
+    "op6_sentencepiece": lattice.op6_sentencepiece,
     "op8_mixing": mixing.op8_mixing,
+    "op9_packing": packing.op9_packing,
     "op10_warc": warc.op10_warc,
 }
 ORACLE = {**mixing.ORACLE, **warc.ORACLE}
