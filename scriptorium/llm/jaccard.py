@@ -1,8 +1,9 @@
 """Exact Jaccard self-join over word shingles, by a grouped prefix join.
 
 1. Documents with equal shingle sets are one class (by a 128-bit digest of the set).
-2. Shingles are ordered by the frequency of their rarest word (from a table of fixed size), then by
-   hash. Two sets that reach the threshold share a shingle among the first ``n - ceil(t n) + 1``
+2. Shingles are ordered by frequency, then by hash. Frequencies are sums over all documents, by
+   hash, in a table of fixed size: shingles that share a place get a common sum, which keeps the
+   order total and the same everywhere, and common passages come last. Two sets that reach the threshold share a shingle among the first ``n - ceil(t n) + 1``
    of each. Classes with the same prefix and size form one group, and groups are indexed by the
    shingles of their prefix.
 3. A prefix shingle with more than one member is a block. Blocks with equal members count once.
@@ -18,6 +19,7 @@ No step emits the pairs of a block, and no pair that reaches the threshold is le
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ from .components import components
 from .shingles import Powers, blocks, shingles, words
 
 WIDTH, PERCENT = 4, 85  # words of a shingle; the least intersection in percent of the union
-FREQUENCY_BITS = 19  # of the table of word frequencies
+FREQUENCY_BITS, CHUNK = 20, 1 << 12  # of the table of shingle frequencies; entries that travel together
 FAMILY = 8192  # members up to which a family is tested as a whole
 TILE_MEMBERS, TILE_SHINGLES = 512, 1 << 21  # of a chunk of a family or block, on average
 COLUMNS = 4096  # of a matrix product
@@ -46,53 +48,54 @@ def digest(found: np.ndarray) -> bytes:
 
 def facts(docs: DataFrame, width: int) -> DataFrame:
     """One pass over the texts, as a table: ``doc_id, n, sig`` of each row, and rows with
-    ``bucket, freq`` instead: how often words of each bucket occur in a part of the input."""
+    ``chunk, counts`` instead: a part's frequencies of the shingles in a chunk of the hash range."""
     bounded_batches(docs.sparkSession)
-    schema = "doc_id long, n long, sig binary, bucket int, freq long"
+    schema = "doc_id long, n long, sig binary, chunk int, counts binary"
+    names = ["doc_id", "n", "sig", "chunk", "counts"]
 
     def run(batches):
-        powers, freq = Powers(), np.zeros(1 << FREQUENCY_BITS, np.int64)
+        powers, freq = Powers(), np.zeros(1 << FREQUENCY_BITS, np.uint32)
         for batch in batches:
             texts, sizes, sigs = batch.column(1).to_pylist(), [], []
             for at, to in blocks(texts):
                 hashes, edge = words(texts[at:to], powers)
-                freq += np.bincount((hashes >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64), minlength=1 << FREQUENCY_BITS)
-                for a, b in zip(edge[:-1], edge[1:]):
-                    found = shingle_set(hashes[a:b], width)
-                    sizes.append(len(found))
-                    sigs.append(digest(found) if len(found) else None)
+                found = [shingle_set(hashes[a:b], width) for a, b in zip(edge[:-1], edge[1:])]
+                freq += np.bincount((np.concatenate(found) >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64), minlength=1 << FREQUENCY_BITS).astype(np.uint32)
+                sizes += map(len, found)
+                sigs += [digest(x) if len(x) else None for x in found]
             n = len(sizes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())], ["doc_id", "n", "sig", "bucket", "freq"])
-        used = np.flatnonzero(freq)
-        for at in range(0, len(used), 1 << 16):
-            part = used[at : at + (1 << 16)]
-            n = len(part)
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(part, pa.int32()), pa.array(freq[part], pa.int64())], ["doc_id", "n", "sig", "bucket", "freq"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+        for k, part in enumerate(freq.reshape(-1, CHUNK)):
+            if part.any():
+                counts = zlib.compress(part.tobytes(), 1)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([k], pa.int32()), pa.array([counts], pa.binary())], names)
 
     return written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema), "facts")
 
 
 def frequencies(table: DataFrame) -> np.ndarray:
-    """The table of word frequencies: at most ``2 ** FREQUENCY_BITS`` sums, whatever the input."""
+    """The table of frequencies: ``2 ** FREQUENCY_BITS`` sums, whatever the input."""
+
+    def run(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                part = np.frombuffer(zlib.decompress(counts), np.uint32).astype(np.uint64)
+                sums[k] = sums[k] + part if k in sums else part
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(x, 2**32 - 1).astype(np.uint32).tobytes() for x in sums.values()], pa.binary())], ["chunk", "counts"])
+
     out = np.zeros(1 << FREQUENCY_BITS, np.uint32)
-    sums = table.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("freq").alias("freq")).toArrow()
-    out[sums["bucket"].to_numpy()] = np.minimum(sums["freq"].to_numpy(), 2**32 - 1)
+    parts = table.filter("chunk IS NOT NULL").select("chunk", "counts").repartition("chunk")
+    for row in parts.mapInArrow(run, "chunk int, counts binary").collect():
+        out[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(row["counts"], np.uint32)
     return out
 
 
 def prefix(hashes: np.ndarray, rarity: np.ndarray, width: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """The shingle set, and its first shingles in the order of rarity."""
-    low = rarity[(hashes >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64)]
-    every = shingles(hashes, width)
-    if len(hashes) >= width:
-        key = low[: len(every)].copy()
-        for k in range(1, width):
-            np.minimum(key, low[k : k + len(every)], out=key)
-    else:
-        key = low.min(keepdims=True)
-    found, first = np.unique(every, return_index=True)
+    found = shingle_set(hashes, width)
     n = len(found)
-    order = np.lexsort((found, key[first]))[: n - -(-percent * n // 100) + 1]
+    order = np.argsort(rarity[(found >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64)], kind="stable")[: n - -(-percent * n // 100) + 1]
     return found, found[order]
 
 
@@ -238,7 +241,7 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
     """
     spark = docs.sparkSession
     table = facts(docs.filter("doc_id IS NOT NULL"), width)
-    rows = table.filter("bucket IS NULL").select("doc_id", "n", "sig")
+    rows = table.filter("chunk IS NULL").select("doc_id", "n", "sig")
     classes = written(rows.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("of")), "classes")
     copies = classes.filter("of > 1").select("sig", "rep")
     others = written(rows.join(small_side(copies), "sig").filter("doc_id <> rep").select("doc_id", "sig").distinct(), "copies")
