@@ -1,15 +1,15 @@
 """Exact Jaccard self-join over word shingles, by a grouped prefix join.
 
 1. Documents with equal shingle sets are one class (by a 128-bit digest of the set).
-2. Shingles are ordered by frequency, then by hash. Frequencies are sums over all documents, by
-   hash, in a table of fixed size: shingles that share a place get a common sum, which keeps the
-   order total and the same everywhere, and common passages come last. Two sets that reach the threshold share a shingle among the first ``n - ceil(t n) + 1``
+2. Shingles are ordered by level of frequency, then by the frequency of their rarest word, then by
+   hash. Frequencies are sums over all documents, by hash, in tables of fixed size: what shares a
+   place gets a common sum, which keeps the order total and the same everywhere. Level 0 is what
+   the noise of such sums hides; common passages come last. Two sets that reach the threshold share a shingle among the first ``n - ceil(t n) + 1``
    of each. Classes with the same prefix and size form one group, and groups are indexed by the
    shingles of their prefix.
 3. A prefix shingle with more than one member is a block. Blocks with equal members count once.
    Groups that blocks connect are a family, and groups are expanded to members. A family is tested
-   as a whole (each set is sent to few tasks), one of very many members block by block. Either is
-   dealt in tiles of bounded size; in a tile all intersections are counted and only a spanning
+   as a whole or block by block, whichever sends fewer sets. Either is dealt in tiles of bounded size; in a tile all intersections are counted and only a spanning
    forest of the links is emitted.
 4. Components of the links, and then of the documents.
 
@@ -31,8 +31,8 @@ from .components import components
 from .shingles import Powers, blocks, shingles, words
 
 WIDTH, PERCENT = 4, 85  # words of a shingle; the least intersection in percent of the union
-FREQUENCY_BITS, CHUNK = 20, 1 << 12  # of the table of shingle frequencies; entries that travel together
-FAMILY = 8192  # members up to which a family is tested as a whole
+SHINGLE_BITS, WORD_BITS = 20, 19  # of the tables of frequencies
+ENTRIES, CHUNK = (1 << SHINGLE_BITS) + (1 << WORD_BITS), 1 << 12  # of both; that travel together
 TILE_MEMBERS, TILE_SHINGLES = 512, 1 << 21  # of a chunk of a family or block, on average
 COLUMNS = 4096  # of a matrix product
 DENSE = 32  # a shingle of at least 1 / DENSE of a tile's members goes to the matrix product
@@ -42,25 +42,29 @@ def shingle_set(hashes: np.ndarray, width: int) -> np.ndarray:
     return np.unique(shingles(hashes, width))
 
 
+def place(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
+
+
 def digest(found: np.ndarray) -> bytes:
     return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
 
 
 def facts(docs: DataFrame, width: int) -> DataFrame:
     """One pass over the texts, as a table: ``doc_id, n, sig`` of each row, and rows with
-    ``chunk, counts`` instead: a part's frequencies of the shingles in a chunk of the hash range."""
+    ``chunk, counts`` instead: a part's frequencies in a chunk of the tables."""
     bounded_batches(docs.sparkSession)
     schema = "doc_id long, n long, sig binary, chunk int, counts binary"
     names = ["doc_id", "n", "sig", "chunk", "counts"]
 
     def run(batches):
-        powers, freq = Powers(), np.zeros(1 << FREQUENCY_BITS, np.uint32)
+        powers, freq = Powers(), np.zeros(ENTRIES, np.uint32)
         for batch in batches:
             texts, sizes, sigs = batch.column(1).to_pylist(), [], []
             for at, to in blocks(texts):
                 hashes, edge = words(texts[at:to], powers)
                 found = [shingle_set(hashes[a:b], width) for a, b in zip(edge[:-1], edge[1:])]
-                freq += np.bincount((np.concatenate(found) >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64), minlength=1 << FREQUENCY_BITS).astype(np.uint32)
+                freq += np.bincount(np.concatenate([place(x, SHINGLE_BITS) for x in found] + [place(hashes, WORD_BITS) + (1 << SHINGLE_BITS)]), minlength=ENTRIES).astype(np.uint32)
                 sizes += map(len, found)
                 sigs += [digest(x) if len(x) else None for x in found]
             n = len(sizes)
@@ -73,8 +77,8 @@ def facts(docs: DataFrame, width: int) -> DataFrame:
     return written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema), "facts")
 
 
-def frequencies(table: DataFrame) -> np.ndarray:
-    """The table of frequencies: ``2 ** FREQUENCY_BITS`` sums, whatever the input."""
+def frequencies(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The levels of shingles and the frequencies of words: ``ENTRIES`` sums, whatever the input."""
 
     def run(batches):
         sums: dict[int, np.ndarray] = {}
@@ -84,22 +88,31 @@ def frequencies(table: DataFrame) -> np.ndarray:
                 sums[k] = sums[k] + part if k in sums else part
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(x, 2**32 - 1).astype(np.uint32).tobytes() for x in sums.values()], pa.binary())], ["chunk", "counts"])
 
-    out = np.zeros(1 << FREQUENCY_BITS, np.uint32)
+    out = np.zeros(ENTRIES, np.uint32)
     parts = table.filter("chunk IS NOT NULL").select("chunk", "counts").repartition("chunk")
     for row in parts.mapInArrow(run, "chunk int, counts binary").collect():
         out[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(row["counts"], np.uint32)
-    return out
-
-
-def prefix(hashes: np.ndarray, rarity: np.ndarray, width: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shingle set, and its first shingles in the order of rarity."""
-    found = shingle_set(hashes, width)
+    counts, word = out[: 1 << SHINGLE_BITS].astype(np.float64), out[1 << SHINGLE_BITS :]
+    noise = counts.mean()
+    return np.log2(np.maximum((counts - noise) / (4 * np.sqrt(noise) + 4), 1)).astype(np.uint8), word
+
+
+def prefix(hashes: np.ndarray, level: np.ndarray, word: np.ndarray, width: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingle set, and its first shingles in the common order."""
+    every, low = shingles(hashes, width), word[place(hashes, WORD_BITS)]
+    if len(hashes) >= width:
+        rarest = low[: len(every)].copy()
+        for k in range(1, width):
+            np.minimum(rarest, low[k : k + len(every)], out=rarest)
+    else:
+        rarest = low.min(keepdims=True)
+    found, first = np.unique(every, return_index=True)
     n = len(found)
-    order = np.argsort(rarity[(found >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64)], kind="stable")[: n - -(-percent * n // 100) + 1]
-    return found, found[order]
+    order = np.lexsort((rarest[first], level[place(found, SHINGLE_BITS)]))
+    return found, found[order[: n - -(-percent * n // 100) + 1]]
 
 
-def indexed(docs: DataFrame, rarity, width: int, percent: int) -> DataFrame:
+def indexed(docs: DataFrame, order, width: int, percent: int) -> DataFrame:
     """``doc_id, sig, n, gid, tokens`` of each row with words."""
     schema = "doc_id long, sig binary, n long, gid long, tokens array<long>"
 
@@ -111,7 +124,7 @@ def indexed(docs: DataFrame, rarity, width: int, percent: int) -> DataFrame:
                 hashes, edge = words(texts[at:to], powers)
                 for i, a, b in zip(ids[at:to], edge[:-1], edge[1:]):
                     if b > a:
-                        found, tokens = prefix(hashes[a:b], rarity.value, width, percent)
+                        found, tokens = prefix(hashes[a:b], *order.value, width, percent)
                         gid = int.from_bytes(hashlib.blake2b(len(found).to_bytes(8, "big") + tokens.tobytes(), digest_size=8).digest(), "big", signed=True)
                         rows.append((i, digest(found), len(found), gid, tokens.view(np.int64)))
             cols = list(zip(*rows)) or [()] * 5
@@ -209,8 +222,18 @@ def links(tiles: DataFrame, percent: int) -> DataFrame:
     return tiles.mapInArrow(run, "u binary, v binary")
 
 
+def compatible(hits: DataFrame, percent: int) -> DataFrame:
+    """``token, gid`` of ``token, gid, n, of``, without the groups of a block whose size no other
+    member of the block comes near enough to. Sizes fall into classes by a factor of the
+    threshold, so two that can reach it are in the same or in neighbouring classes."""
+    classed = hits.withColumn("c", F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent))))
+    count = classed.groupBy("token", "c").agg(F.sum("of").alias("w"))
+    around = count.select("token", F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)).alias("c"), "w").groupBy("token", "c").agg(F.sum("w").alias("w")).filter("w > 1")
+    return classed.join(around, ["token", "c"]).select("token", "gid")
+
+
 def dealt(index: DataFrame, member: DataFrame) -> DataFrame:
-    """``by, key, i, j, sig, doc_id``: the members of each tile. ``index`` has ``token, m, gid`` of the
+    """``by, key, i, j, sig, doc_id``: the members of each tile. ``index`` has ``token, gid`` of the
     blocks, ``member`` has ``gid, sig, doc_id, n``; ``by`` says whether ``key`` is a family or a block.
 
     A family or block of k chunks has a tile for each two of them (and for each alone), so that any
@@ -220,12 +243,14 @@ def dealt(index: DataFrame, member: DataFrame) -> DataFrame:
     family = components(index.select("token", F.col("gid").alias("u")).join(tie, "token").select("u", "v"))
     grouped = index.select("gid").distinct().join(family, F.col("gid") == F.col("node"), "left").select("gid", F.coalesce("least", "gid").alias("family"))
     members = written(grouped.join(member, "gid"), "members")
-    size = members.groupBy("family").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
-    sizes = small_side(written(size.withColumn("k", F.greatest(F.ceil(F.col("m") / TILE_MEMBERS), F.ceil(F.col("total") / TILE_SHINGLES)).cast("int")), "families"))
+    sent = index.join(members.select("gid", "family"), "gid").groupBy("family").agg(F.count("*").alias("sent"))
+    size = members.groupBy("family").agg(F.count("*").alias("m"), F.sum("n").alias("total")).join(sent, "family")
+    k = F.greatest(F.ceil(F.col("m") / TILE_MEMBERS), F.ceil(F.col("total") / TILE_SHINGLES)).cast("int")
+    sizes = small_side(written(size.select("family", k.alias("k"), (k * F.col("m") <= F.col("sent")).alias("whole")), "families"))
     sized = members.join(sizes, "family")
-    whole = sized.filter(F.col("m") <= FAMILY).select(F.lit(0).alias("by"), F.col("family").alias("key"), "sig", "doc_id", "k")
-    large = sized.filter(F.col("m") > FAMILY).select("gid", "sig", "doc_id", "n")
-    expanded = index.select("token", "gid").join(large, "gid")
+    whole = sized.filter("whole").select(F.lit(0).alias("by"), F.col("family").alias("key"), "sig", "doc_id", "k")
+    large = sized.filter("NOT whole").select("gid", "sig", "doc_id", "n")
+    expanded = index.join(large, "gid")
     block = expanded.groupBy("token").agg(F.greatest(F.ceil(F.count("*") / TILE_MEMBERS), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("k"))
     parts = expanded.join(block, "token").select(F.lit(1).alias("by"), F.col("token").alias("key"), "sig", "doc_id", "k")
     chunk = whole.unionAll(parts).withColumn("c", F.pmod(F.xxhash64("sig"), F.col("k")).cast("int"))
@@ -246,16 +271,18 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
     copies = classes.filter("of > 1").select("sig", "rep")
     others = written(rows.join(small_side(copies), "sig").filter("doc_id <> rep").select("doc_id", "sig").distinct(), "copies")
 
-    rarity = spark.sparkContext.broadcast(frequencies(table))
-    heads = written(indexed(docs.filter("doc_id IS NOT NULL"), rarity, width, percent).join(small_side(others), ["doc_id", "sig"], "left_anti"), "prefixes")
+    order = spark.sparkContext.broadcast(frequencies(table))
+    heads = written(indexed(docs.filter("doc_id IS NOT NULL"), order, width, percent).join(small_side(others), ["doc_id", "sig"], "left_anti"), "prefixes")
     groups = small_side(written(heads.groupBy("gid").agg(F.min("sig").alias("lead"), F.countDistinct("sig").alias("of")).filter("of > 1"), "groups"))
-    leads = heads.join(groups, "gid", "left").filter("lead IS NULL OR lead = sig").select("gid", F.coalesce("of", F.lit(1)).cast("int").alias("of"), F.explode("tokens").alias("token"))
-    shared = written(leads.groupBy("token").agg(F.sum("of").alias("m")).filter("m > 1"), "shared")
-    hits = written(leads.select("token", "gid").join(small_side(shared), "token"), "hits")
+    leads = heads.join(groups, "gid", "left").filter("lead IS NULL OR lead = sig").select("gid", "n", F.coalesce("of", F.lit(1)).cast("int").alias("of"), "tokens")
+    posted = leads.select("gid", "of", F.explode("tokens").alias("token"))
+    shared = written(posted.groupBy("token").agg(F.sum("of").alias("m")).filter("m > 1").select("token"), "shared")
+    hits = written(posted.select("token", "gid").join(small_side(shared), "token"), "hits")
+    near = written(compatible(hits.join(leads.select("gid", "n", "of"), "gid"), percent), "near")
     mark = F.xxhash64("gid")
-    alike = hits.groupBy("token", "m").agg(F.bit_xor(mark).alias("x"), F.sum(mark % 2_147_483_647).alias("s"))
+    alike = near.groupBy("token").agg(F.count("*").alias("m"), F.bit_xor(mark).alias("x"), F.sum(mark % 2_147_483_647).alias("s"))
     chosen = written(alike.groupBy("m", "x", "s").agg(F.min("token").alias("token")).select("token"), "blocks")
-    index = written(hits.join(small_side(chosen), "token", "left_semi"), "block-groups")
+    index = written(near.join(small_side(chosen), "token", "left_semi"), "block-groups")
     tiles = written(dealt(index, heads.select("gid", "sig", "doc_id", "n").dropDuplicates(["sig"])), "tiles")
 
     needed = small_side(written(tiles.select("doc_id").distinct(), "needed"))
