@@ -32,7 +32,7 @@ HELD = 1 << 22  # edges that a task remembers between batches
 
 STEP = 0xD1342543DE82EF95
 RADIX = np.uint64(0x100000001B3)
-FILTER_BITS = 21
+FILTER_BITS = 19
 
 
 @dataclass
@@ -43,6 +43,7 @@ class Vocabulary:
     lengths: list[int]  # that occur
     single: np.ndarray  # symbols that are pieces, sorted
     filter: np.ndarray  # by the upper bits of a hash: whether a piece may have it
+    starts: np.ndarray  # likewise: whether a piece may go on after a run with this hash
     spelling: list[bytes]  # of each id
 
 
@@ -82,15 +83,18 @@ def vocabulary(path: str = MODEL) -> Vocabulary:
     weights = (1 / (ranks + FIRST)) ** SHARPNESS * SCALE**sizes
     may = np.zeros(1 << FILTER_BITS, bool)
     may[hashes >> np.uint64(64 - FILTER_BITS)] = True
+    begun = {s[:k] for s in found for k in range(1, len(s))}
+    starts = np.zeros(1 << FILTER_BITS, bool)
+    starts[np.array([list(rolling(np.array(s), len(s)))[-1][1][0] for s in begun], np.uint64) >> np.uint64(64 - FILTER_BITS)] = True
     single = np.array(sorted(s[0] for s in found if len(s) == 1), np.uint32)
-    return Vocabulary(hashes[order], np.array([i for i, _ in found.values()], np.int32)[order], weights[order], sorted(set(sizes.tolist())), single, may, spelling)
+    return Vocabulary(hashes[order], np.array([i for i, _ in found.values()], np.int32)[order], weights[order], sorted(set(sizes.tolist())), single, may, starts, spelling)
 
 
 class Lattices:
     """The lattices of segments, filtered forward, as one table of edges in order of their end.
 
-    An edge's key is its end node in the upper 32 bits and, in the lower, the cumulated probability
-    of the node's edges up to it: the first edge above ``node << 32 | u`` is the one drawn by u.
+    An edge has the cumulated probability of its end node's edges up to it, in 32 bits: of a node's
+    edges, the first above u is the one drawn by u.
     """
 
     def __init__(self, v: Vocabulary):
@@ -100,7 +104,8 @@ class Lattices:
     def forget(self) -> None:
         self.places: dict[str, int] = {}
         self.ends = np.empty(0, np.int64)  # the last node of each segment
-        self.keys, self.starts, self.ids, self.nodes = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32), 0
+        self.first = np.empty(0, np.int64)  # edge of each node
+        self.cuts, self.starts, self.ids, self.nodes = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int32), 0
 
     def add(self, segments: list[str]) -> None:
         v = self.v
@@ -122,14 +127,21 @@ class Lattices:
         count = np.bincount(owner, minlength=len(segments))
         stop = np.cumsum(count)
         begin = stop - count
-        n, limit = len(symbols), stop[owner] if len(symbols) else stop
+        n, limit = len(symbols), np.repeat(stop, count)
         src, dst, which = [], [], []
-        for size, h in rolling(symbols, max(v.lengths)):
-            inside = np.flatnonzero(v.filter[h >> np.uint64(64 - FILTER_BITS)] & (np.arange(len(h)) + size <= limit[: len(h)]))
-            k = np.minimum(np.searchsorted(v.hashes, h[inside]), len(v.hashes) - 1)
-            hit = v.hashes[k] == h[inside]
-            src.append(inside[hit])
-            dst.append(inside[hit] + size - 1)
+        spread = symbols.astype(np.uint64) + np.uint64(1)
+        at, h = np.arange(n), spread
+        for size in range(1, max(v.lengths) + 1):
+            if size > 1:
+                on = v.starts[mixed >> np.uint64(64 - FILTER_BITS)] & (at + size <= limit[at])
+                at = at[on]
+                h = h[on] * RADIX + spread[at + size - 1]
+            mixed = mix(h + np.uint64(size))
+            maybe = np.flatnonzero(v.filter[mixed >> np.uint64(64 - FILTER_BITS)])
+            k = np.minimum(np.searchsorted(v.hashes, mixed[maybe]), len(v.hashes) - 1)
+            hit = v.hashes[k] == mixed[maybe]
+            src.append(at[maybe[hit]])
+            dst.append(src[-1] + size - 1)
             which.append(k[hit])
         src, dst, which = map(np.concatenate, (src, dst, which))
         order = np.argsort(dst * 32 + (dst - src))
@@ -138,7 +150,7 @@ class Lattices:
         opens = src == begin[owner[src]]
         # Forward: sums of the nodes that are the same number of symbols into their segments.
         sums, depth = np.zeros(n), dst - begin[owner[dst]]
-        by_depth = np.argsort(depth, kind="stable")
+        by_depth = np.argsort(depth.astype(np.int16), kind="stable")
         cuts = np.searchsorted(depth[by_depth], np.arange(depth.max() + 2 if len(depth) else 1))
         mass = np.empty(len(src))
         for a, b in zip(cuts[:-1], cuts[1:]):
@@ -154,9 +166,10 @@ class Lattices:
         for r in range(1, int(rank.max()) + 1 if len(rank) else 0):
             e = np.flatnonzero(rank == r)
             upto[e] += upto[e - 1]
-        cut = np.minimum(upto * 2.0**32, 2.0**32 - 2).astype(np.uint64)
-        cut[np.concatenate([head[1:], [True]]) if len(dst) else []] = np.uint64(2**32 - 1)
-        self.keys = np.concatenate([self.keys, ((dst + self.nodes).astype(np.uint64) << np.uint64(32)) | cut])
+        cut = np.minimum(upto * 2.0**32, 2.0**32 - 2).astype(np.uint32)
+        cut[np.concatenate([head[1:], [True]]) if len(dst) else []] = np.uint32(2**32 - 1)
+        self.first = np.concatenate([self.first, np.flatnonzero(head) + len(self.cuts)])
+        self.cuts = np.concatenate([self.cuts, cut])
         self.starts = np.concatenate([self.starts, np.where(opens, -1, src - 1 + self.nodes)])
         self.ids = np.concatenate([self.ids, v.ids[which]])
         for k, s in enumerate(segments, len(self.ends)):
@@ -166,11 +179,11 @@ class Lattices:
 
     def sample(self, texts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in order, and where each text's begin (one entry more than texts)."""
-        if len(self.keys) > HELD:
+        if len(self.cuts) > HELD:
             self.forget()
         cut = [segments_of(t) for t in texts]
         flat = [s for c in cut for s in c]
-        new = list(dict.fromkeys(s for s in flat if s not in self.places))
+        new = [s for s in dict.fromkeys(flat) if s not in self.places]
         if new:
             self.add(new)
         size = np.fromiter(map(len, cut), np.int64, len(cut))
@@ -180,8 +193,12 @@ class Lattices:
         node = self.ends[np.fromiter(map(self.places.__getitem__, flat), np.int64, len(flat))]
         live, steps, drawn = np.arange(len(flat)), np.zeros(len(flat), np.int64), []
         while len(live):
-            u = np.minimum(mix(seeds + np.uint64((len(drawn) + 1) * STEP % (1 << 64))) >> np.uint64(32), np.uint64(2**32 - 2))
-            e = np.searchsorted(self.keys, (node.astype(np.uint64) << np.uint64(32)) | u, side="right")
+            u = np.minimum(mix(seeds + np.uint64((len(drawn) + 1) * STEP % (1 << 64))) >> np.uint64(32), np.uint64(2**32 - 2)).astype(np.uint32)
+            e = self.first[node]
+            low = np.flatnonzero(self.cuts[e] <= u)
+            while len(low):
+                e[low] += 1
+                low = low[self.cuts[e[low]] <= u[low]]
             drawn.append((live, self.ids[e]))
             steps[live] += 1
             node = self.starts[e]
