@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import imatch, jaccard, langid, lattice, mixing, packing, pii, png, toxicity, warc
 
 QUERIES = {
@@ -10,10 +12,11 @@ QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_media": png.op4_media,
     "op5_jaccard_join": jaccard.op5_jaccard_join,
-    "op7_fingerprints": imatch.op7_fingerprints,
     "op6_sentencepiece": lattice.op6_sentencepiece,
+    "op7_fingerprints": imatch.op7_fingerprints,
     "op8_mixing": mixing.op8_mixing,
     "op9_packing": packing.op9_packing,
     "op10_warc": warc.op10_warc,
+    "pipeline": corpus_pipeline.run,
 }
-ORACLE = {**mixing.ORACLE, **warc.ORACLE}
+ORACLE = {**mixing.ORACLE, **warc.ORACLE, **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}
