@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import agreement, evaluation  # noqa: F401
+from .base import ORACLE, QUERIES  # noqa: F401
+
 FLAGSHIP = "agr7_pairwise_kappa"
