@@ -35,6 +35,7 @@ SHINGLE_BITS, WORD_BITS = 20, 19  # of the tables of frequencies
 ENTRIES, CHUNK = (1 << SHINGLE_BITS) + (1 << WORD_BITS), 1 << 12  # of both; that travel together
 TILE_MEMBERS, TILE_SHINGLES = 512, 1 << 21  # of a chunk of a family or block, on average
 COLUMNS = 4096  # of a matrix product
+EACH = 50  # shingles of a set for one more that its prefix has to share
 DENSE = 32  # a shingle of at least 1 / DENSE of a tile's members goes to the matrix product
 
 
@@ -109,7 +110,7 @@ def prefix(hashes: np.ndarray, level: np.ndarray, word: np.ndarray, width: int,
     found, first = np.unique(every, return_index=True)
     n = len(found)
     order = np.lexsort((rarest[first], level[place(found, SHINGLE_BITS)]))
-    return found, found[order[: n - -(-percent * n // 100) + 1]]
+    return found, found[order[: n - -(-percent * n // 100) + 1 + n // EACH]]
 
 
 def indexed(docs: DataFrame, order, width: int, percent: int) -> DataFrame:
@@ -223,13 +224,21 @@ def links(tiles: DataFrame, percent: int) -> DataFrame:
 
 
 def compatible(hits: DataFrame, percent: int) -> DataFrame:
-    """``token, gid`` of ``token, gid, n, of``, without the groups of a block whose size no other
+    """``token, gid, n, of`` without the groups of a block whose size no other
     member of the block comes near enough to. Sizes fall into classes by a factor of the
     threshold, so two that can reach it are in the same or in neighbouring classes."""
     classed = hits.withColumn("c", F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent))))
     count = classed.groupBy("token", "c").agg(F.sum("of").alias("w"))
     around = count.select("token", F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)).alias("c"), "w").groupBy("token", "c").agg(F.sum("w").alias("w")).filter("w > 1")
-    return classed.join(around, ["token", "c"]).select("token", "gid")
+    return classed.join(around, ["token", "c"]).select("token", "gid", "n", "of")
+
+
+def sharing(near: DataFrame, percent: int) -> DataFrame:
+    """``near`` without the groups whose prefix shares fewer shingles with any others than a partner
+    of the least possible size would ask for."""
+    need = 1 + F.floor(F.ceil(F.col("n") * percent / 100) / EACH)
+    rich = near.groupBy("gid", "n").agg(F.count("*").alias("have")).filter(F.col("have") >= need).select("gid")
+    return near.join(rich, "gid", "left_semi")
 
 
 def dealt(index: DataFrame, member: DataFrame) -> DataFrame:
@@ -278,11 +287,14 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
     posted = leads.select("gid", "of", F.explode("tokens").alias("token"))
     shared = written(posted.groupBy("token").agg(F.sum("of").alias("m")).filter("m > 1").select("token"), "shared")
     hits = written(posted.select("token", "gid").join(small_side(shared), "token"), "hits")
-    near = written(compatible(hits.join(leads.select("gid", "n", "of"), "gid"), percent), "near")
+    near = hits.join(leads.select("gid", "n", "of"), "gid")
+    for _ in range(2):  # what one round leaves out leaves others alone
+        near = written(compatible(near, percent), "near")
+        near = written(sharing(near, percent), "near")
     mark = F.xxhash64("gid")
     alike = near.groupBy("token").agg(F.count("*").alias("m"), F.bit_xor(mark).alias("x"), F.sum(mark % 2_147_483_647).alias("s"))
     chosen = written(alike.groupBy("m", "x", "s").agg(F.min("token").alias("token")).select("token"), "blocks")
-    index = written(near.join(small_side(chosen), "token", "left_semi"), "block-groups")
+    index = written(near.select("token", "gid").join(small_side(chosen), "token", "left_semi"), "block-groups")
     tiles = written(dealt(index, heads.select("gid", "sig", "doc_id", "n").dropDuplicates(["sig"])), "tiles")
 
     needed = small_side(written(tiles.select("doc_id").distinct(), "needed"))

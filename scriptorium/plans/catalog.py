@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import agreement, evaluation  # noqa: F401
+from . import agreement, evaluation, relational, texts  # noqa: F401
 from .base import ORACLE, QUERIES  # noqa: F401
 
 FLAGSHIP = "agr7_pairwise_kappa"
