@@ -11,11 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_side, written
 
 #: The band: a term is in from 1 of 250 documents up to 1 of 10. With N documents of D distinct
-#: terms on average, at most N D / (N / 250) = 250 D terms lie in it, whatever N is: a bound that
-#: allows to broadcast the lexicon.
+#: terms on average, at most N D / (N / 250) = 250 D terms lie in it, whatever N is. The lexicon is
+#: broadcast where it is as small as that and else joined by a shuffle.
 LEAST, MOST = 0.004, 0.10
 #: Subset k holds each term with probability 1 / 2 ** DEPTHS[k].
 DEPTHS = (3, 4, 5, 6, 7, 8, 9, 10) * 4
@@ -91,7 +91,7 @@ def fingerprints(docs: DataFrame, least: float = LEAST, most: float = MOST) -> D
     The rows are shuffled once, by range of ids: the next text, the terms of a row and the next
     fingerprint all need rows of one range only.
     """
-    words = F.broadcast(lexicon(docs.select("text"), least, most))
+    words = small_side(lexicon(docs.select("text"), least, most))
     order = W.partitionBy("range").orderBy("late", F.asc_nulls_last("doc_id"), "text")
     size = F.length("text")
     cut = F.floor(size / 4).cast("int")
@@ -101,7 +101,7 @@ def fingerprints(docs: DataFrame, least: float = LEAST, most: float = MOST) -> D
     carried = hashed.select("range", "pos", F.struct("late", "doc_id", "n_chars", "edited_sha256", "h", "eh").alias("row"), F.explode(F.array(F.struct(F.lit(0).alias("v"), F.col("text")), F.struct(F.lit(1).alias("v"), F.col("edited").alias("text")))).alias("x"))
     # The empty term stands for the row itself, and keeps rows without a term of the lexicon.
     exploded = carried.select("range", "pos", F.when(F.col("x.v") == 0, F.col("row")).alias("row"), "x.v", F.explode(F.concat(F.array(F.lit("")), terms(F.col("x.text")))).alias("t"))
-    hit = exploded.select("range", "pos", F.when(F.col("t") == "", F.col("row")).alias("row"), "v", F.when(F.col("t") != "", F.xxhash64("t")).alias("term0")).join(words, F.col("term0") == F.col("term"), "left").filter("term IS NOT NULL OR term0 IS NULL")
+    hit = exploded.select("range", "pos", F.when(F.col("t") == "", F.col("row")).alias("row"), "v", (F.col("t") == "").alias("own_row"), F.when(F.col("t") != "", F.xxhash64("t")).otherwise(F.xxhash64("range", "pos", "v")).alias("term0")).join(words, F.col("term0") == F.col("term"), "left").filter("term IS NOT NULL OR own_row").withColumn("term", F.when(~F.col("own_row"), F.col("term")))
     entry = F.struct("term", "mask")
     grouped = hit.groupBy("range", "pos").agg(F.max("row").alias("row"), *[F.array_sort(F.collect_set(F.when(F.col("term").isNotNull() & (F.col("v") == v), entry))).alias(name) for v, name in ((0, "own"), (1, "other"))])
     made = grouped.select("range", "pos", "row.*", hashes("own").alias("f"), hashes("other").alias("g"))
