@@ -24,9 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
         return place.rstrip("/")
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    place = "file://" + tempfile.mkdtemp(prefix="scriptorium-")
-    spark.conf.set("spark.checkpoint.dir", place)
-    return place
+    if not context.getCheckpointDir():
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="scriptorium-"))
+    return context.getCheckpointDir()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -136,11 +136,12 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     null ``held_out``.
     """
     bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model) if model else None)
 
     def run(batches):
+        model = Model(**shared.value) if shared.value else None
         for batch in batches:
-            found = predict(shared.value, batch.column(2).to_pylist())
+            found = predict(model, batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.bool_())], ["doc_id", "held_out", "lang_pred", "score", "ambiguous"])
 
     return docs.select(F.col("doc_id").cast("long"), (label_fold() == 0).alias("held_out"), "text").mapInArrow(run, PREDICTED)

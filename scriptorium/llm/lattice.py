@@ -235,12 +235,12 @@ def encoded(docs: DataFrame, v: Vocabulary, seed: int = 1) -> DataFrame:
     ids.
     """
     bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(v)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(v))
     kept = [c for c in docs.columns if c != "text"]
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"], "ids array<int>"])
 
     def run(batches):
-        lattices = Lattices(shared.value)
+        lattices = Lattices(Vocabulary(**shared.value))
         for batch in batches:
             texts, keys = batch.column(-1).to_pylist(), row_keys(batch.column(-2).to_pylist(), seed)
             parts, offsets = [], [np.zeros(1, np.int64)]

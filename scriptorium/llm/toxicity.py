@@ -40,8 +40,12 @@ class Model:
 
 def cleaned(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """The texts' bytes in lower case with spaces for all but letters, two spaces around each text;
-    and where each text starts (one entry more than texts)."""
-    parts = [b"  " + (t or "").lower().encode("utf-8", "surrogatepass") for t in texts]
+    and where each text starts (one entry more than texts). Of a word said again and again in a row
+    one is kept: a window of a single word would be judged by that word alone."""
+    parts = []
+    for t in texts:
+        words = (t or "").lower().split()
+        parts.append(("  " + " ".join([w for w, last in zip(words, [None, *words]) if w != last])).encode("utf-8", "surrogatepass"))
     starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
     return LETTERS[np.frombuffer(b"".join(parts) + b"  ", np.uint8)], starts
 
@@ -202,11 +206,12 @@ def scored(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Data
     ``doc_id`` has a null ``held_out``; repeated rows are kept and extra columns ignored.
     """
     bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
 
     def run(batches):
+        model = Model(**shared.value)
         for batch in batches:
-            p = 1 / (1 + np.exp(-np.clip(log_odds(shared.value, batch.column(2).to_pylist()), -30, 30)))
+            p = 1 / (1 + np.exp(-np.clip(log_odds(model, batch.column(2).to_pylist()), -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32), pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long"), (label_fold() == 0).alias("held_out"), "text").mapInArrow(run, SCORED)
@@ -215,12 +220,13 @@ def scored(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Data
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with all their columns."""
     bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
     at = docs.columns.index("text")
 
     def run(batches):
+        model = Model(**shared.value)
         for batch in batches:
-            yield batch.filter(pa.array(log_odds(shared.value, batch.column(at).to_pylist()) < 0))
+            yield batch.filter(pa.array(log_odds(model, batch.column(at).to_pylist()) < 0))
 
     return docs.mapInArrow(run, docs.schema)
 
