@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -224,20 +225,16 @@ def row_keys(ids: list[int | None], seed: int) -> np.ndarray:
     return mix(np.array([0 if i is None else i for i in ids], np.int64).view(np.uint64) + np.uint64(seed) * PLACE[2] + np.where([i is None for i in ids], PLACE[3], np.uint64(0)))
 
 
-def decode(ids: list[int], spelling: list[bytes]) -> str:
-    return b"".join([spelling[i] for i in ids]).decode("utf-8", "surrogatepass")
-
-
 def encoded(docs: DataFrame, v: Vocabulary, seed: int = 1) -> DataFrame:
     """The columns of ``docs`` but ``text``, and ``ids array<int>``: a sampled segmentation.
 
-    Null texts have null ids, empty ones no ids. Rows that share a ``doc_id`` and a text share their
+    A column that is named ids already gives way. Null texts have null ids, empty ones no ids. Rows that share a ``doc_id`` and a text share their
     ids.
     """
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(vars(v))
-    kept = [c for c in docs.columns if c != "text"]
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"], "ids array<int>"])
+    kept = [c for c in docs.columns if c not in ("text", "ids")]
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept], "ids array<int>"])
 
     def run(batches):
         lattices = Lattices(Vocabulary(**shared.value))
@@ -263,9 +260,11 @@ def decoded(rows: DataFrame, v: Vocabulary) -> DataFrame:
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "ids"], "text string"])
 
     def run(batches):
+        spelling = pa.array(shared.value, pa.binary())
         for batch in batches:
-            texts = [None if ids is None else decode(ids, shared.value) for ids in (x.as_py() for x in batch.column(batch.num_columns - 1))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*kept, "text"])
+            ids = batch.column(batch.num_columns - 1)
+            pieces = pa.ListArray.from_arrays(ids.offsets, spelling.take(ids.values), mask=ids.is_null())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pc.binary_join(pieces, b"").cast(pa.string())], [*kept, "text"])
 
     return rows.select(*kept, "ids").mapInArrow(run, schema)
 
