@@ -118,6 +118,18 @@ def char_ngrams(t: Column, low: int = 2, high: int = 5) -> Column:
     return F.concat(*[grams(n) for n in range(low, high + 1)])
 
 
+def characters(t: Column) -> Column:
+    """The characters of a text as an array; an empty text has none."""
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, ""))
+
+
+def array_ngrams(c: Column, low: int = 2, high: int = 5) -> Column:
+    """FEA2 on the array of a folded text's characters (a column of its own, else it is split again
+    for each n-gram): in time that grows with the length and not with its square."""
+    grams = lambda n: F.when(F.size(c) >= n, F.transform(F.sequence(F.lit(1), F.size(c) - n + 1), lambda i: F.array_join(F.slice(c, i, F.lit(n)), ""))).otherwise(F.array().cast("array<string>"))
+    return F.concat(*[grams(n) for n in range(low, high + 1)])
+
+
 def case_class(word: Column) -> Column:
     """FEA14: lower, upper, title or null, tested in that order on words with letters."""
     letters = word.rlike(r"\p{L}")

@@ -102,6 +102,20 @@ def stratified_split(df: DataFrame, label: str, key: str, share: float, seed: st
     return df.withColumn("part", F.when(rank <= F.ceil(share * F.count("*").over(W.partitionBy(label))), "test").otherwise("train"))
 
 
+def label_swap(rows: DataFrame, label: str, key: str, seed: str = "42") -> DataFrame:
+    """SMP6: flagged rows of the test split change places with unflagged ones of the training split,
+    as many of each label as both have; the flagged rows that remain in the test split are dropped.
+
+    ``rows`` has booleans ``test`` and ``flagged``; the result has ``part``, for every other row.
+    """
+    h = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
+    ranked = rows.withColumn("rn", F.row_number().over(W.partitionBy(label, "test", "flagged").orderBy(h)))
+    n = rows.groupBy(F.col(label).alias("of")).agg(F.least(F.count_if(F.expr("test AND flagged")), F.count_if(F.expr("NOT test AND NOT flagged"))).alias("n"))
+    joined = ranked.join(n, F.col(label).eqNullSafe(F.col("of"))).filter("NOT (test AND flagged AND rn > n)")
+    part = F.when(F.expr("NOT flagged AND (test OR rn <= n)"), "test").otherwise("train")
+    return joined.withColumn("part", part).drop("of", "n", "rn", "test", "flagged")
+
+
 def top_up(pool: DataFrame, counts: DataFrame, label: str, rare: list[int], key: str, seed: str = "42") -> DataFrame:
     """SMP5: rows of ``pool`` that bring the rare labels to the mean count of the others."""
     goal = counts.agg(F.floor(F.avg(F.when(~F.col(label).isin(rare), F.col("n")))).alias("goal"))

@@ -368,6 +368,14 @@ def smp6(spark, sf):
     return side("doc_id % 2 = 0", "out_id").join(side("doc_id % 2 = 1 AND doc_id % 3 = 0", "in_id"), ["y", "rn"]).select("out_id", "in_id")
 
 
+@query("smp6b_label_swap_splits", f"""WITH d AS (SELECT doc_id, n_chars % 6 AS y, coalesce(source IN ('src0', 'src1', 'src2'), false) AS test, coalesce(lang <> 'en', false) AS flagged FROM documents),
+k AS (SELECT *, row_number() OVER (PARTITION BY y, test, flagged ORDER BY {H}) AS rn, least(count(*) FILTER (test AND flagged) OVER (PARTITION BY y), count(*) FILTER (NOT test AND NOT flagged) OVER (PARTITION BY y)) AS n FROM d)
+SELECT doc_id, y, CASE WHEN (test AND NOT flagged) OR (NOT test AND NOT flagged AND rn <= n) THEN 'test' ELSE 'train' END AS part FROM k WHERE NOT (test AND flagged AND rn > n)""")
+def smp6b(spark, sf):
+    d = docs(spark, sf).select("doc_id", (F.col("n_chars") % 6).alias("y"), F.coalesce(F.col("source").isin("src0", "src1", "src2"), F.lit(False)).alias("test"), F.coalesce(F.col("lang") != "en", F.lit(False)).alias("flagged"))
+    return R.label_swap(d, "y", "doc_id").select("doc_id", "y", "part")
+
+
 @query("smp7_keep_membership", f"WITH old AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'test' ELSE 'train' END AS part FROM labels WHERE doc_id < 300), new AS (SELECT doc_id, CASE WHEN row_number() OVER (PARTITION BY quality ORDER BY {H}) <= ceil(0.3::DOUBLE * count(*) OVER (PARTITION BY quality)) THEN 'test' ELSE 'train' END AS part FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM old)) SELECT * FROM old UNION ALL SELECT * FROM new")
 def smp7(spark, sf):
     l = table(spark, sf, "labels")
