@@ -1,11 +1,12 @@
 """Personal data: fixed patterns, and bootstrapped contextual extraction on top of them.
 
 What the fixed patterns find seeds a graph. Its two sides are instances (strings shaped like
-identifiers) and lexical patterns (the words before or after an occurrence, with the string's
-shape). Spark scores the graph in rounds: a pattern is accepted for a kind if enough of its
-distinct instances are of that kind, surely more than the shape alone would give; instances that
-accepted patterns point to become confident and count in the next round. Occurrences of confident
-instances are added to the spans of the fixed patterns, which always stay.
+identifiers) and lexical patterns (the words before or after an occurrence). Spark scores the graph
+in rounds: a pattern is accepted for a kind if enough of its distinct instances are of that kind,
+surely more than elsewhere; instances that accepted patterns point to are weighed with what is known
+of the others of their shape (nothing, for a new shape), become confident and count in the next
+round. Occurrences of confident instances are added to the spans of the fixed patterns, which always
+stay.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 ROUNDS = 3
 #: A pattern needs this lower bound (95 %) of its share of instances of a kind, and has to close at
-#: least half the way from the shape's own share to 1.
+#: least half the way from the kind's share of the instances without the pattern to 1.
 SURE = 0.7
 #: An instance counts as found from this confidence on.
 CONFIDENT = 0.8
@@ -97,15 +98,15 @@ def shape_of(s: str) -> str:
     return f"9x{len(s)}" if flat == "9" else flat
 
 
-def around(text: str, a: int, b: int, shape: str) -> list[str]:
+def around(text: str, a: int, b: int) -> list[str]:
     """The lexical patterns of an occurrence: one word before, two words before, one word after."""
     before = [w for w in (x.lower().lstrip(EDGE).rstrip("\"'`([{<>}]).,;!?|*#%&$") for x in text[max(0, a - LEFT) : a].split()) if w][-2:]
     after = [w for w in (x.lower().strip(EDGE) for x in text[b : b + RIGHT].split()[:1]) if w]
-    out = [f"1 {before[-1]} _ {shape}"] if before else []
+    out = [f"1 {before[-1]} _"] if before else []
     if len(before) == 2:
-        out.append(f"2 {before[0]} {before[1]} _ {shape}")
+        out.append(f"2 {before[0]} {before[1]} _")
     if after:
-        out.append(f"3 _ {after[0]} {shape}")
+        out.append(f"3 _ {after[0]}")
     return out
 
 
@@ -148,7 +149,7 @@ def occurrences(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
     for a, b, k in rows:
         s = text[a:b].lower()
         shape = shape_of(s)
-        out.append({"start": a, "end": b, "kind": k, "instance": s, "shape": shape, "patterns": around(text, a, b, shape)})
+        out.append({"start": a, "end": b, "kind": k, "instance": s, "shape": shape, "patterns": around(text, a, b)})
     return out
 
 
@@ -194,27 +195,46 @@ def discovered(table: DataFrame, rounds: int = ROUNDS, sure: float = SURE, confi
 
     The graph has a row per distinct pair of pattern and instance, so copies of a document weigh
     nothing; sums per pattern are formed before the shuffle, so common words make no hot task.
+
+    A shape (with its number of digits) is a feature beside the patterns: the odds of an instance are
+    those of its patterns times those of the shape's other instances to be of the kind, with one
+    added on either side. So a shape that no seed has is no bar, and one that mostly stands elsewhere is.
+    Only what holds an @ can be an e-mail address, and it can be nothing else.
     """
+    ks = range(len(KINDS))
+    form = F.concat_ws(":", "shape", F.length(F.regexp_replace("instance", "[^0-9]", "")).cast("string")).alias("form")
+    mail = F.expr("instance LIKE '%@%'")
     seen = table.select(F.explode("seen").alias("o")).select("o.*")
-    nodes = written(seen.groupBy("instance", "shape").agg(F.max("kind").alias("kind")), "pii-nodes")
-    edges = written(seen.select("instance", "kind", "shape", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance", "shape").agg(F.max("kind").alias("kind")), "pii-edges")
-    share = [F.avg((F.coalesce(F.col("kind"), F.lit(-1)) == k).cast("double")).alias(f"prior{k}") for k in range(len(KINDS))]
-    priors = small_side(written(nodes.groupBy("shape").agg(*share).filter(" OR ".join(f"prior{k} > 0" for k in range(len(KINDS)))), "pii-priors"))
+    nodes = written(seen.groupBy("instance", "shape").agg(F.max("kind").alias("kind")).select("instance", F.when(mail, "mail").otherwise(form).alias("form"), "kind"), "pii-nodes")
+    edges = written(seen.select("instance", "kind", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "pii-edges")
+    seeds = [F.count_if(F.col("kind") == k).cast("double").alias(f"s{k}") for k in ks]
+    forms = written(nodes.groupBy("form").agg(F.count("*").cast("double").alias("m"), *seeds), "pii-forms")
+    total = forms.agg(F.coalesce(F.sum("m"), F.lit(0.0)).alias("m"), *[F.coalesce(F.sum(f"s{k}"), F.lit(0.0)).alias(f"s{k}") for k in ks]).first()
     believed = None
     for step in range(rounds):
-        weighed = edges.join(priors, "shape")
         if believed is not None:
-            weighed = weighed.join(small_side(believed), "instance", "left")
+            weighed = edges.join(small_side(believed), "instance", "left")
         else:
-            weighed = weighed.withColumn("k", F.lit(None).cast("int")).withColumn("conf", F.lit(None).cast("double"))
-        credit = [F.sum(F.when(F.col("kind") == k, 1.0).when(F.col("kind").isNull() & (F.col("k") == k), F.col("conf")).otherwise(0.0)).alias(f"c{k}") for k in range(len(KINDS))]
-        sums = weighed.groupBy("pattern").agg(F.count("*").cast("double").alias("n"), *credit, *[F.first(f"prior{k}").alias(f"prior{k}") for k in range(len(KINDS))])
-        scored = sums.select("pattern", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), wilson(F.least(F.col(f"c{k}"), F.col("n")), F.col("n")).alias("score"), F.col(f"prior{k}").alias("prior")) for k in range(len(KINDS))])).alias("s")).select("pattern", "s.*")
-        accepted = written(scored.filter((F.col("score") >= sure) & (F.col("prior") > 0) & (F.col("score") >= (1 + F.col("prior")) / 2)).select("pattern", "k", "score"), f"pii-patterns{step}")
+            weighed = edges.withColumn("k", F.lit(None).cast("int")).withColumn("conf", F.lit(None).cast("double"))
+        credit = [F.sum(F.when(F.col("kind") == k, 1.0).when(F.col("kind").isNull() & (F.col("k") == k), F.col("conf")).otherwise(0.0)).alias(f"c{k}") for k in ks]
+        own = [F.count_if(F.col("kind") == k).cast("double").alias(f"o{k}") for k in ks]
+        sums = weighed.groupBy("pattern").agg(F.count("*").cast("double").alias("n"), *credit, *own)
+        elsewhere = lambda k: F.greatest(F.lit(total[f"s{k}"]) - F.col(f"o{k}"), F.lit(0.0)) / F.greatest(F.lit(total["m"]) - F.col("n"), F.lit(1.0))
+        scored = sums.select("pattern", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), wilson(F.least(F.col(f"c{k}"), F.col("n")), F.col("n")).alias("score"), elsewhere(k).alias("prior")) for k in ks])).alias("s")).select("pattern", "s.*")
+        accepted = written(scored.filter((F.col("score") >= sure) & (F.col("score") >= (1 + F.col("prior")) / 2)).select("pattern", "k", "score"), f"pii-patterns{step}")
         if accepted.isEmpty():
             return None
-        votes = edges.filter("kind IS NULL").join(small_side(accepted), "pattern").groupBy("instance", "k").agg((1 - F.exp(F.sum(F.log(1 - F.least("score", F.lit(0.99)))))).alias("conf"))
-        believed = written(votes.groupBy("instance").agg(F.max(F.struct("conf", (-F.col("k")).alias("of"))).alias("m")).select("instance", (-F.col("m.of")).cast("int").alias("k"), "m.conf"), f"pii-believed{step}")
+        pointed = edges.filter("kind IS NULL").join(small_side(accepted), "pattern").filter(mail == (F.col("k") == 0))
+        votes = written(pointed.groupBy("instance", "k").agg((1 - F.exp(F.sum(F.log(1 - F.least("score", F.lit(0.99)))))).alias("conf")), f"pii-votes{step}")
+        held = written(votes.join(nodes.select("instance", "form"), "instance"), f"pii-held{step}")
+        called = held.groupBy("form", "k").agg(F.sum("conf").alias("called"))
+        known = forms.join(called, "form").select("form", "k", "m", (F.element_at(F.array(*[f"s{k}" for k in ks]), F.col("k") + 1) + F.col("called")).alias("hits"))
+        weight = held.join(small_side(written(known, f"pii-known{step}")), ["form", "k"])
+        others = F.greatest(F.col("hits") - F.col("conf"), F.lit(0.0)) + 1
+        against = F.greatest(F.col("m") - 1 - (others - 1), F.lit(0.0)) + 1
+        odds = F.col("conf") / F.greatest(1 - F.col("conf"), F.lit(1e-9)) * others / against
+        rated = weight.select("instance", "k", (odds / (1 + odds)).alias("conf"))
+        believed = written(rated.groupBy("instance").agg(F.max(F.struct("conf", (-F.col("k")).alias("of"))).alias("m")).select("instance", (-F.col("m.of")).cast("int").alias("k"), "m.conf"), f"pii-believed{step}")
     return believed.filter(F.col("conf") >= confident).select("instance", "k")
 
 

@@ -59,6 +59,18 @@ def test_context_finds_identifiers_of_another_form(spark):
     assert all(rows[i]["spans"].startswith("phone:") for i in range(60)) and rows[102]["spans"] == ""
 
 
+def test_new_shapes_behind_learned_words_are_found(spark):
+    """No base phone can have these shapes; the words before them are those of base phones."""
+    seeds = [(i, f"some words {i} please call me at +1 555 {1000000 + 7919 * i} soon") for i in range(60)]
+    other = [(200 + i, f"see order number {i:03d}-{777 - i}-{4000 + i} for it") for i in range(5)] + [(300 + i, f"it weighs about {100000 + 37 * i} grams") for i in range(60)]
+    new = [(100, "then call me at 555-123-4567 today"), (101, "then call me at (017) 555-7713 today"), (102, "then order number 555-123-9999 today"), (103, "please call me at a@b soon")]
+    docs = spark.createDataFrame([*seeds, *other, *new], "doc_id long, text string")
+    rows = {r["doc_id"]: r["spans"] for r in pii.with_spans(docs).select("doc_id", pii.span_text("all").alias("spans")).collect()}
+    assert rows[100] == "phone:16:28" and rows[101] == "phone:16:30"
+    assert all(rows[i] == "" for i in [102, 103, *(i for i, _ in other)])
+    assert {r["text"] for r in pii.masked(docs).filter("doc_id IN (100, 102)").collect()} == {"then call me at <phone> today", new[2][1]}
+
+
 def test_masks(spark, odd, empty):
     docs = spark.createDataFrame([(1, "mail a.b@c.org now", "x")], "doc_id long, text string, kind string")
     assert pii.masked(docs).collect() == [(1, "mail <email> now", "x")]
