@@ -282,6 +282,11 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
 
     order = spark.sparkContext.broadcast(frequencies(table))
     heads = written(indexed(docs.filter("doc_id IS NOT NULL"), order, width, percent).join(small_side(others), ["doc_id", "sig"], "left_anti"), "prefixes")
+    same = written(rows.filter("sig IS NOT NULL").groupBy("doc_id", "sig").agg(F.count("*").alias("times")).filter("times > 1").select("doc_id", "sig"), "same")
+    if not same.isEmpty():  # a row for each, as joins by group would pair the repeated ones
+        held = small_side(same)
+        once = heads.join(held, ["doc_id", "sig"], "left_semi").dropDuplicates(["doc_id", "sig"])
+        heads = written(heads.join(held, ["doc_id", "sig"], "left_anti").unionByName(once), "prefixes")
     groups = small_side(written(heads.groupBy("gid").agg(F.min("sig").alias("lead"), F.countDistinct("sig").alias("of")).filter("of > 1"), "groups"))
     leads = heads.join(groups, "gid", "left").filter("lead IS NULL OR lead = sig").select("gid", "n", F.coalesce("of", F.lit(1)).cast("int").alias("of"), "tokens")
     posted = leads.select("gid", "of", F.explode("tokens").alias("token"))
@@ -317,16 +322,30 @@ def labelled(docs: DataFrame, rows: DataFrame, classes: DataFrame, edges: DataFr
 
 
 def deduplicated(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` with the least ``doc_id`` of each component, all columns kept. Of rows
-    that share a ``doc_id`` one stays (the least text); rows without a ``doc_id`` stay."""
-    found = written(linked(docs, width, percent), "components")
-    gone = written(found.filter("component_id <> doc_id").select("doc_id").distinct(), "gone")
-    kept = docs.join(small_side(gone), "doc_id", "left_anti").select(*docs.columns)
-    again = written(found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    """One row of ``docs`` of each component of texts, all columns kept: one with the least ``doc_id``
+    (null comes last; of several texts with it, the one of the least hash).
+
+    Rows are told apart by ``doc_id`` and text together, so rows that share a ``doc_id`` and hold
+    different texts stay unless their own text is a copy, and rows without a ``doc_id`` take part.
+    Texts without words are no copies; only where such rows share a ``doc_id`` and the text, one stays.
+    """
+    names, number = docs.columns, F.col("doc_id").cast("long")
+    row = F.xxhash64(number, "text")
+    loose = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False))
+    keys = written(docs.select(row.alias("row"), number.alias("of"), loose.alias("loose")), "rows")
+    found = written(linked(docs.select(row.alias("doc_id"), "text"), width, percent).select(F.col("doc_id").alias("row"), "component_id").distinct(), "components")
+    several = written(found.filter("component_id <> row").select("component_id").distinct(), "several")
+    members = found.join(small_side(several), "component_id").join(keys.select("row", "of").distinct(), "row")
+    ranked = written(members.select("component_id", "row", F.struct(F.col("of").isNull().alias("none"), "of", "row").alias("rank")), "members")
+    first = written(ranked.groupBy("component_id").agg(F.min("rank").alias("first")).select("component_id", F.col("first.row").alias("first")), "firsts")
+    gone = written(ranked.join(small_side(first), "component_id").filter("row <> first").select("row"), "gone")
+    marked = docs.select(F.struct(*names).alias("doc"), row.alias("row"))
+    kept = marked.join(small_side(gone), "row", "left_anti")
+    again = written(keys.filter("NOT loose").groupBy("row").agg(F.count("*").alias("times")).filter("times > 1").select("row"), "repeated")
     if again.isEmpty():
-        return kept
-    once = kept.join(small_side(again), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct(F.coalesce("text", F.lit("")))).alias("row")).select("row.*")
-    return kept.join(small_side(again), "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+        return kept.select("doc.*")
+    once = kept.join(small_side(again), "row", "left_semi").groupBy("row").agg(F.min_by("doc", F.to_json("doc")).alias("doc"))
+    return kept.join(small_side(again), "row", "left_anti").select("doc.*").unionByName(once.select("doc.*"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

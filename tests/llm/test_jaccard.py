@@ -92,3 +92,17 @@ def test_deduplicated_keeps_one(odd, empty):
     assert kept.columns == ["doc_id", "text", "sig", "source", "n_chars"]
     assert sorted(i for i in ids if i is not None) == [1, 2, 3, 4, 6, 7, 8] and ids.count(None) == 2
     assert jaccard.deduplicated(empty).count() == 0 and jaccard.linked(empty).count() == 0
+
+
+def test_deduplicated_by_text_and_not_by_id(spark):
+    """Rows that share an id stay unless their own text is a copy; rows without an id take part."""
+    rng = random.Random(7)
+    text = lambda n=40: " ".join(f"w{k}" for k in rng.sample(range(5000), n))
+    a, b, c, d, e = (text() for _ in range(5))
+    near = lambda t: t + " more"
+    rows = [(1, a), (9, near(a)), (9, b), (9, c), (None, d), (None, d), (None, near(d)), (None, near(b)), (None, e), (None, ""), (None, ""), (4, c), (7, ""), (7, "")]
+    kept = jaccard.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = [(r["doc_id"], r["text"]) for r in kept]
+    one = [x for x in got if x in ((None, d), (None, near(d)))]
+    assert len(one) == 1
+    assert sorted((x for x in got if x not in one), key=str) == sorted([(1, a), (9, b), (4, c), (None, e), (None, ""), (None, ""), (7, "")], key=str)
