@@ -6,6 +6,9 @@ words are shuffled once whatever the number of features.
 
 from __future__ import annotations
 
+import tempfile
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -74,16 +77,29 @@ def ngrams(table: DataFrame, column: str, low: int, high: int, keys: list[str] =
     return nexts.select(*keys, F.explode(F.filter(F.array(*runs), lambda x: x.isNotNull())).alias("x")).select(*keys, "x.n", "x.gram").groupBy(*keys, "n", "gram").agg(F.count("*").alias("count"))
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as a checkpoint in the session's folder; a local session without one gets its own."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir() and context.master.startswith("local"):
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="scriptorium-"))
+    return df.checkpoint()
+
+
 def tree_shape(edges: DataFrame) -> DataFrame:
     """FEA18: ``tree, depth, width, branching`` of edges ``tree, node, head`` (a null head is the
-    root): levels are joined one after the other until none is left; a tree's depth bounds them."""
-    level = edges.filter("head IS NULL").select("tree", "node", F.lit(1).alias("depth"))
-    every = level
-    for depth in range(2, 64):
-        level = edges.join(level.select("tree", F.col("node").alias("head")), ["tree", "head"]).select("tree", "node", F.lit(depth).alias("depth"))
-        if level.isEmpty():
-            break
-        every = every.unionAll(level)
+    root): levels are joined one after the other until none is left. Each is a checkpoint, so
+    lineages don't grow with the depth. More levels than edges mean a cycle, which is an error."""
+    level, depth, most = cut(edges.filter("head IS NULL").select("tree", "node", F.lit(1).alias("depth"))), 1, 64
+    every = [level]
+    while not level.isEmpty():
+        depth += 1
+        if depth > most:
+            most = edges.count() + 1
+            if depth > most:
+                raise ValueError("the edges have a cycle")
+        level = cut(edges.join(level.select("tree", F.col("node").alias("head")), ["tree", "head"]).select("tree", "node", F.lit(depth).alias("depth")))
+        every.append(level)
+    every = reduce(DataFrame.unionAll, every)
     inner = edges.filter("head IS NOT NULL").groupBy("tree", F.col("head").alias("node")).agg(F.count("*").alias("children"))
     whole = every.join(inner, ["tree", "node"], "left")
     return whole.groupBy("tree").agg(F.max("depth").alias("depth"), F.count_if(F.col("children").isNull()).alias("width"), F.max(F.coalesce("children", F.lit(0))).alias("branching"))

@@ -117,11 +117,13 @@ def with_agreed(ratings: DataFrame, agreement: DataFrame, annotator: int) -> Dat
     return joined.withColumn("rating", F.when(mine, F.col("agreed_rating")).otherwise(F.col("rating"))).filter("rating IS NOT NULL").drop("agreed_rating")
 
 
-def wide(ratings: DataFrame, most: int) -> DataFrame:
-    """AGR13: a column per annotator in the order of annotators, ``most`` of them."""
-    rank = F.dense_rank().over(W.partitionBy(F.lit(0)).orderBy("annotator"))
-    names = ratings.select("annotator").distinct().select("annotator", rank.alias("rank"))
-    return ratings.join(F.broadcast(names.limit(1000)), "annotator").groupBy("task").pivot("rank", list(range(1, most + 1))).agg(F.first("rating")).withColumnsRenamed({str(i): f"annotator_{i}" for i in range(1, most + 1)})
+def wide(ratings: DataFrame, most: int | None = None) -> DataFrame:
+    """AGR13: a column per annotator in the order of annotators, the first ``most`` of them or all
+    (counted in the data). A task stays even if none of these rated it."""
+    found = sorted(r["annotator"] for r in ratings.select("annotator").distinct().filter("annotator IS NOT NULL").collect())[:most]
+    columns = [F.first(F.when(F.col("annotator") == F.lit(x), F.col("rating")), True).alias(f"annotator_{i}") for i, x in enumerate(found, 1)]
+    columns += [F.lit(None).cast(ratings.schema["rating"].dataType).alias(f"annotator_{i}") for i in range(len(found) + 1, (most or 0) + 1)]
+    return ratings.groupBy("task").agg(*columns) if columns else ratings.select("task").distinct()
 
 
 def multi_annotated(ratings: DataFrame, least: int = 2) -> DataFrame:

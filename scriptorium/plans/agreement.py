@@ -116,6 +116,11 @@ def agr13(spark, sf):
     return R.wide(ratings(spark, sf), 4)
 
 
+@query("agr13b_all_wide", f"""WITH {RATINGS} SELECT task, """ + ", ".join(f"max(CASE WHEN annotator = {i} THEN rating END) AS annotator_{i}" for i in range(1, 8)) + " FROM ratings GROUP BY task")
+def agr13b(spark, sf):
+    return R.wide(ratings(spark, sf))
+
+
 @query("agr14_multi_annotated", f"WITH {RATINGS} SELECT task, count(DISTINCT annotator) AS annotators FROM ratings GROUP BY task HAVING count(DISTINCT annotator) >= 2")
 def agr14(spark, sf):
     return R.multi_annotated(ratings(spark, sf))

@@ -35,3 +35,20 @@ def test_label_swap_query_reads_every_document(spark):
     got = {r["doc_id"] for r in __spark_entry__.queries()["smp6b_label_swap_splits"](spark, SF).collect()}
     missing = docs.filter(~docs["doc_id"].isin(list(got))).select("source", "lang").collect()
     assert all(r["source"] in ("src0", "src1", "src2") and r["lang"] != "en" for r in missing)
+
+
+def test_wide_has_every_annotator(spark):
+    from scriptorium.operators import ratings as A
+
+    rows = [(t, a, a % 6) for t in (1, 2) for a in range(1, 1104) if t == 1 or a > 1100]
+    got = {r["task"]: r.asDict() for r in A.wide(spark.createDataFrame(rows, "task long, annotator int, rating int")).collect()}
+    assert len(got[1]) == 1104 and all(got[1][f"annotator_{a}"] == a % 6 for a in range(1, 1104))
+    assert [k for k, v in got[2].items() if v is not None] == ["task", "annotator_1101", "annotator_1102", "annotator_1103"]
+
+
+def test_trees_deeper_than_63_levels(spark):
+    from scriptorium.operators import features as X
+
+    edges = [(1, n, n - 1 if n > 1 else None) for n in range(1, 71)] + [(2, 1, None), (2, 2, 1), (2, 3, 1)]
+    got = {r["tree"]: (r["depth"], r["width"], r["branching"]) for r in X.tree_shape(spark.createDataFrame(edges, "tree int, node int, head int")).collect()}
+    assert got == {1: (70, 1, 1), 2: (2, 2, 2)}
