@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -63,7 +64,9 @@ BATCH_BYTES = 8 << 20
 
 def bounded_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
     """Hold Arrow batches to ``most`` bytes, so that a worker's memory doesn't depend on how long
-    the texts are (a batch is at least one row)."""
+    the texts are (a batch is at least one row). The setting stays for the session, as a plan is
+    only run after the operator returned it; a lower one is left alone."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key).rstrip("b") or 0) > most:
+    found = re.fullmatch(r"(\d+)\s*([kmgtp]?)i?b?", spark.conf.get(key).strip().lower())
+    if not found or int(found[1]) << 10 * " kmgtp".index(found[2] or " ") > most:
         spark.conf.set(key, str(most))
