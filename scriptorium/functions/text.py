@@ -5,22 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Patterns that decide whether a line of a book is dropped.
+# Patterns that decide whether a line of a book is dropped. ``[\p{L}\p{N}_]`` is what
+# counts as a word character there; a run of six symbols or spaces is a symbol block.
 DROP_LINE = {
-    "numeric_only": r"^[\d\W]+$",
-    "long_symbol_block": r"^[^\w\s]{5,}$",
-    "short_full_caps": r"^[A-Z\s]{1,20}$",
-    "roman_numerals": r"^\s*[IVXLCDM]+\.?\s*$",
-    "footnote_refs": r"^\s*\d+\s+[A-Z].*",
-    "copyright": r"(?i)copyright|all rights reserved|©",
-    "brackets_content": r"^\s*\[.*\]\s*$",
-    "isbn": r"(?i)isbn[\s:-]*[\dX-]+",
-    "table_of_contents": r"(?i)^\s*(table of )?contents\s*$",
-    "chapter_headers": r"(?i)^\s*(chapter|section|part)\s+[\divxlc]+|epilogue|prologue",
-    "website_urls": r"(?i)https?://|www\.|\b[\w-]+\.(com|org|net)\b",
+    "numeric_only": r"(?U)^[\d\s.\-/]+$",
+    "long_symbol_block": r"[^\p{L}\p{N}_]{6}",
+    "short_full_caps": r"(?U)^[\p{Lu}\s]{1,30}$",
+    "roman_numerals": r"(?iU)^\s*[ivxlcdm]{1,7}\s*$",
+    "footnote_refs": r"(?U)^\s*(?:\d+|\*+|†+|‡+)\s+",
+    "copyright": r"(?iU)©|\bcopyright\b|\ball rights reserved\b",
+    "brackets_content": r"^\[[^\]]*\]$",
+    "isbn": r"(?iU)\bisbn[-:\s]*(?:\d[-\s]*){9}[\dx]\b",
+    "table_of_contents": r"(?iU)table of contents|\.{5}|\s{5}\d+$",
+    "chapter_headers": r"(?iU)^\s*prologue|epilogue|(?:chapter|ch\.?|part|section|§|act|volume)\s+(?:[ivxlcdm]{1,7}|\d+|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|twenty)[.:\s]*$",
+    "website_urls": r"(?iU)https?://\S|www\.\S|\S\.com\b",
 }
-# Words that mark front and back matter.
-METADATA_WORDS = ("preface", "foreword", "introduction", "publisher", "published", "edition", "printed", "editor", "illustrated", "translated", "volume", "author")
+# Words that mark front and back matter, also inside other words.
+METADATA_WORDS = (
+    "acknowledgment", "acknowledgement", "preface", "foreword", "introduction", "table of contents", "contents", "list of chapters", "index",
+    "bibliography", "references", "appendix", "about the author", "author's note", "biography", "glossary", "notes", "epigraph", "prologue",
+    "epilogue", "afterword", "etext", "published", "publisher", "publications", "was updated by",
+)
+# Lines that hold nothing but a page number, and line ends inside a sentence.
+PAGE_NUMBER = r"(?imdU)^[\s\[]*(?:page)?\.?\s*(?:[ivxlcdm]{1,7}|\d+)\.?[\]\s]*$"
+#: The look-ahead for a line end comes first, so the look-behinds run at line ends only.
+BROKEN_LINE = r"""(?U)(?<=\S)(?=\s*\n)(?:(?<=[\w,;'–—-][")\]>]?)|(?<= "[^\n"]{1,9999}[?!.]))\s*\n\s*(?=[\w,;(\[<"'–—-])"""
 
 
 def preprocessed(t: Column) -> Column:
@@ -29,10 +38,10 @@ def preprocessed(t: Column) -> Column:
 
 
 def before_clean(t: Column) -> Column:
-    """CLN2: trimmed, plain quotes, page-number lines deleted, sentences broken over lines joined."""
-    plain = F.translate(F.btrim(t, F.lit(" \t\n\r\f\u000b")), "’“”\r﻿", "'\"\"")
-    pages = F.regexp_replace(plain, r"(?m)^[ \t]*(?:[Pp]age[ \t]+)?\d{1,4}[ \t]*$", "")
-    return F.regexp_replace(pages, r"(?<=[a-z,;])\n(?=[a-z])", " ")
+    """CLN2: trimmed, plain quotes, page-number lines deleted, sentences broken over lines joined.
+    (Of a sentence in quotes that a line break follows, up to 9,999 characters are looked back at.)"""
+    plain = F.translate(F.regexp_replace(t, r"(?U)^\s+|\s+$", ""), "’“”\r﻿", "'\"\"")
+    return F.regexp_replace(F.regexp_replace(plain, PAGE_NUMBER, ""), BROKEN_LINE, " ")
 
 
 def paragraphs_joined(t: Column) -> Column:
@@ -54,8 +63,8 @@ def dropped_line(line: Column) -> Column:
 
 
 def keyword_hits(line: Column) -> Column:
-    """CLN7: occurrences of front-matter words."""
-    return F.regexp_count(line, F.lit(r"(?i)\b(?:" + "|".join(METADATA_WORDS) + r")\b"))
+    """CLN7: occurrences of front-matter words that don't overlap."""
+    return F.regexp_count(F.lower(line), F.lit("|".join(METADATA_WORDS)))
 
 
 def long_enough(line: Column) -> Column:
@@ -68,18 +77,44 @@ def slug(title: Column) -> Column:
     return F.btrim(F.lower(F.regexp_replace(title, "[^A-Za-z0-9]+", "-")), F.lit("-"))
 
 
-# Vowel groups that are not, or are more than, a syllable.
-SYLLABLE_LESS = ("cial", "tia", "cius", "cious", "giu", "ion", "iou", "sia$", "[^aeiouyt]{2,}ed$", ".ely$")
-SYLLABLE_MORE = ("ia", "riet", "dien", "iu", "io", "ii", "[aeiouym]bl$", "[aeiou]{3}", "^mc", "ism$", "[^l]lien")
+# Spellings of fewer syllables than vowel groups, in the order of the published list.
+SYLLABLE_LESS = (
+    "cial", "tia", "cius", "cious", "uiet", "gious", "geous", "priest", "giu", "dge", "ion", "iou", "sia$", ".che$", ".ched$", ".abe$", ".ace$",
+    ".ade$", ".age$", ".aged$", ".ake$", ".ale$", ".aled$", ".ales$", ".ane$", ".ame$", ".ape$", ".are$", ".ase$", ".ashed$", ".asque$", ".ate$",
+    ".ave$", ".azed$", ".awe$", ".aze$", ".aped$", ".athe$", ".athes$", ".ece$", ".ese$", ".esque$", ".esques$", ".eze$", ".gue$", ".ibe$", ".ice$",
+    ".ide$", ".ife$", ".ike$", ".ile$", ".ime$", ".ine$", ".ipe$", ".iped$", ".ire$", ".ise$", ".ished$", ".ite$", ".ive$", ".ize$", ".obe$",
+    ".ode$", ".oke$", ".ole$", ".ome$", ".one$", ".ope$", ".oque$", ".ore$", ".ose$", ".osque$", ".osques$", ".ote$", ".ove$", ".pped$", ".sse$",
+    ".ssed$", ".ste$", ".ube$", ".uce$", ".ude$", ".uge$", ".uke$", ".ule$", ".ules$", ".uled$", ".ume$", ".une$", ".upe$", ".ure$", ".use$",
+    ".ushed$", ".ute$", ".ved$", ".we$", ".wes$", ".wed$", ".yse$", ".yze$", ".rse$", ".red$", ".rce$", ".rde$", ".ily$", ".ely$", ".des$",
+    ".gged$", ".kes$", ".ced$", ".ked$", ".med$", ".mes$", ".ned$", ".[sz]ed$", ".nce$", ".rles$", ".nes$", ".pes$", ".tes$", ".res$", ".ves$",
+    "ere$",
+)
+# Spellings of more syllables than vowel groups; one of them counts twice.
+SYLLABLE_MORE = (
+    "ia", "riet", "dien", "ien", "iet", "iu", "iest", "io", "ii", "ily", ".oala$", ".iara$", ".ying$", ".earest", ".arer", ".aress", ".eate$",
+    ".eation$", "[aeiouym]bl$", "[aeiou]{3}", "^mc", "ism", "^mc", "asm", "([^aeiouy])1l$", "[^l]lien", "^coa[dglx].", "[^gq]ua[^auieo]", "dnt$",
+)
+
+
+def hits_of(w: Column, patterns: tuple[str, ...]) -> Column:
+    """How many of ``patterns`` a word matches. Plain endings after any character are set lookups by
+    length, plain parts substring tests; only the rest are regular expressions."""
+    endings: dict[int, list[str]] = {}
+    terms = []
+    for p in patterns:
+        if p[0] == "." and p[-1] == "$" and p[1:-1].isalpha():
+            endings.setdefault(len(p) - 2, []).append(p[1:-1])
+        else:
+            terms.append(F.contains(w, F.lit(p)) if p.isalpha() else w.rlike(p))
+    terms += [(F.length(w) > n) & F.right(w, F.lit(n)).isin(found) for n, found in sorted(endings.items())]
+    return sum((t.cast("int") for t in terms[1:]), terms[0].cast("int"))
 
 
 def syllables(word: Column) -> Column:
-    """LEX4: vowel groups, corrected by patterns, at least 1."""
+    """LEX4: vowel groups, less one for each spelling of fewer and more by one for each of more, at
+    least 1."""
     w = F.lower(word)
-    base = F.regexp_count(w, F.lit("[aeiouy]+"))
-    less = sum((w.rlike(p).cast("int") for p in SYLLABLE_LESS[1:]), w.rlike(SYLLABLE_LESS[0]).cast("int"))
-    more = sum((w.rlike(p).cast("int") for p in SYLLABLE_MORE[1:]), w.rlike(SYLLABLE_MORE[0]).cast("int"))
-    return F.greatest(base - less + more, F.lit(1)).cast("int")
+    return F.greatest(F.regexp_count(w, F.lit("[aeiouy]+")) - hits_of(w, SYLLABLE_LESS) + hits_of(w, SYLLABLE_MORE), F.lit(1)).cast("int")
 
 
 def parsed_rating(output: Column) -> Column:

@@ -22,12 +22,12 @@ def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 def metadata_line(line: Column, previous: Column) -> Column:
     """CLN7: front or back matter: not the end of a paragraph, no dialogue or question, a keyword, and
     few words or all upper case."""
-    ends = F.coalesce(previous, F.lit("")) != ""
     strong = previous.rlike(r"[.!?。:\"']$") | T.long_enough(previous)
-    end_of_paragraph = line.rlike(r"[.!?。:\"']$") & ends & F.coalesce(strong, F.lit(False))
+    ends = line.rlike(r"[.!?。:\"']$") & F.coalesce((previous != "") & strong, F.lit(False))
     hits = T.keyword_hits(line)
     words = F.regexp_count(line, F.lit(" ")) + 1
-    return ~end_of_paragraph & ~line.rlike(r"[!?\":]") & (hits >= 1) & ((words < 10 + hits) | (line == F.upper(line)))
+    shouted = (line == F.upper(line)) & (line != F.lower(line))
+    return ~ends & ~line.rlike(r"[!?\":]") & (hits >= 1) & ((words < 10 + hits) | shouted)
 
 
 def marked(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -37,11 +37,19 @@ def marked(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def cleaned(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """CLN4, CLN9: ``key, text``: the kept lines joined again, dropped ones as empty lines; results of
-    under ten characters give way to the text as it was."""
-    out = marked(docs, key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("line_no", F.when(F.col("dropped"), "").otherwise(F.col("line")).alias("line")))).alias("ls"))
-    joined = docs.select(key, F.col("text").alias("__raw")).join(out.select(key, F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("__new")), key, "left")
-    return joined.select(key, F.when(F.length(F.coalesce("__new", F.lit(""))) < 10, F.col("__raw")).otherwise(F.col("__new")).alias("text"))
+    """CLN2, CLN4-CLN9: ``key, text``: texts before cleaning by lines, and if they have ten characters
+    at least, their kept lines joined again, with a line break in a dropped one's place. Null stays
+    null; a text without lines is empty."""
+    before = docs.select(key, T.before_clean(F.col("text")).alias("text"))
+    out = marked(before, key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("line_no", F.when(F.col("dropped"), "\n").otherwise(F.col("line")).alias("line")))).alias("ls"))
+    joined = before.join(out.select(key, F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("__new")), key, "left")
+    return joined.select(key, F.when(F.length("text") < 10, F.col("text")).when(F.col("text").isNotNull(), F.coalesce("__new", F.lit(""))).alias("text"))
+
+
+def removed_lines(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """CLN9: ``key, removed``: the numbers of a text's dropped lines."""
+    before = docs.select(key, T.before_clean(F.col("text")).alias("text")).filter(F.length("text") >= 10)
+    return marked(before, key).groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("dropped"), F.col("line_no")))).alias("removed"))
 
 
 @F.pandas_udf(Y.StringType())
@@ -52,9 +60,10 @@ def normalised(texts: pd.Series) -> pd.Series:
 
 def joined_pages(pages: DataFrame) -> DataFrame:
     """CLN11: ``doc_id, page, text``: a page is joined to the one before when that ends inside a
-    sentence and this one goes on in lower case."""
+    sentence and this one goes on as a continuation."""
     w = W.partitionBy("doc_id").orderBy("page")
-    starts = ~(F.coalesce(F.lag("text").over(w), F.lit(".")).rlike(r"[^.!?:\"'\s]\s*$") & F.col("text").rlike(r"^\s*\p{Ll}"))
+    open_end, goes_on = r"""(?U)[\w,;'–—-][")\]>]?\s*$""", r"""(?U)^\s*[\w,;("'–—-]"""
+    starts = ~(F.coalesce(F.lag("text").over(w), F.lit(".")).rlike(open_end) & F.col("text").rlike(goes_on))
     run = F.sum(starts.cast("int")).over(w)
     return pages.withColumn("run", run).groupBy("doc_id", "run").agg(F.min("page").alias("page"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda x: x["text"]), " ").alias("text")).drop("run")
 

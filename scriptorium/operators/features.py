@@ -28,16 +28,16 @@ def share(hit: Column) -> Column:
 
 
 def wide(table: DataFrame) -> DataFrame:
-    """FEA3, FEA7, FEA9-FEA11, FEA13: one pass over the words for all rates."""
-    low = T.casefolded(F.col("word"))
-    size = F.least(F.length("word"), F.lit(15))
-    syl = table.withColumn("__s", T.syllables(F.col("word")))
-    return syl.groupBy("doc_id").agg(
-        F.count("*").alias("words"),
-        *[share(size == n).alias(f"length_{n}") for n in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)],
-        F.try_divide(F.countDistinct(low).cast("double"), F.count("*")).alias("type_token"),
-        F.least(F.avg("__s") / 8, F.lit(1.0)).alias("syllables"), share(F.col("__s") >= 3).alias("polysyllables"),
-        share(low == "the").alias("the"), share(low.isin("a", "an")).alias("a_an"), share(F.contains("word", F.lit("'"))).alias("contractions"),
+    """FEA3, FEA7, FEA9, FEA11, FEA13: all rates of a text's words from its word counts, which are
+    formed before the shuffle; so a repeated word's syllables are estimated once a text."""
+    counted = table.groupBy("doc_id", "word").agg(F.count("*").alias("c")).withColumn("f", T.casefolded(F.col("word"))).withColumn("s", T.syllables(F.col("word")))
+    n, size = F.sum("c"), F.least(F.length("word"), F.lit(15))
+    part = lambda hit: F.coalesce(F.try_divide(F.sum(F.when(hit, F.col("c")).otherwise(0)).cast("double"), n), F.lit(0.0))
+    return counted.groupBy("doc_id").agg(
+        n.alias("words"), *[part(size == k).alias(f"length_{k}") for k in range(1, 16)],
+        F.try_divide(F.size(F.collect_set("f")).cast("double"), n).alias("type_token"),
+        F.least(F.try_divide(F.sum(F.col("c") * F.col("s")).cast("double"), n) / 8, F.lit(1.0)).alias("syllables"), part(F.col("s") >= 3).alias("polysyllables"),
+        part(F.col("f") == "the").alias("the"), part(F.col("f").isin("a", "an")).alias("a_an"), part(F.contains("word", F.lit("'"))).alias("contractions"),
     )
 
 

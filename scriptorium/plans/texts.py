@@ -14,17 +14,36 @@ from .base import query, r6
 TRIM = "' ' || chr(9) || chr(13) || chr(12) || chr(11)"
 LINES = f"""raw AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, {TRIM})), lambda x: x <> '') AS ls FROM documents),
 lines AS (SELECT doc_id, CAST(unnest(range(len(ls))) AS INTEGER) AS line_no, unnest(ls) AS line FROM raw)"""
-DROP = " OR ".join(f"regexp_matches(line, '{p}')" for p in T.DROP_LINE.values())
-KEY = r"(?i)\b(?:" + "|".join(T.METADATA_WORDS) + r")\b"
-MARKED = f"""{LINES},
-prev AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS prev, len(regexp_extract_all(line, '{KEY}')) AS hits FROM lines),
-marked AS (SELECT *, ({DROP}) OR (NOT (regexp_matches(line, '[.!?。:"'']$') AND coalesce(prev, '') <> '' AND (coalesce(regexp_matches(prev, '[.!?。:"'']$'), false) OR len(regexp_extract_all(coalesce(prev, ''), '[^ \\t\\n\\r\\f\\v]+')) > 5))
-  AND NOT regexp_matches(line, '[!?":]') AND hits >= 1 AND (length(line) - length(replace(line, ' ', '')) + 1 < 10 + hits OR line = upper(line))) AS dropped FROM prev)"""
+# Written out by hand for RE2, apart from the patterns of the functions.
+DROP = r"""(regexp_matches(line, '^[0-9\s./-]+$') OR regexp_matches(line, '[^\p{L}\p{N}_][^\p{L}\p{N}_][^\p{L}\p{N}_][^\p{L}\p{N}_][^\p{L}\p{N}_][^\p{L}\p{N}_]')
+  OR (length(line) BETWEEN 1 AND 30 AND regexp_full_match(line, '[\p{Lu}\s]+')) OR regexp_full_match(lower(line), '[ivxlcdm]{1,7}')
+  OR regexp_matches(line, '^([0-9]+|\*+|†+|‡+)\s') OR contains(line, '©') OR regexp_matches(lower(line), '\bcopyright\b') OR regexp_matches(lower(line), '\ball rights reserved\b')
+  OR (starts_with(line, '[') AND position(']' IN line) = length(line)) OR regexp_matches(lower(line), '\bisbn[-:\s]*([0-9][-\s]*){9}[0-9x]\b')
+  OR contains(lower(line), 'table of contents') OR contains(line, '.....') OR regexp_matches(line, '\s\s\s\s\s[0-9]+$')
+  OR starts_with(lower(line), 'prologue') OR contains(lower(line), 'epilogue')
+  OR regexp_matches(lower(line), '(chapter|ch|ch\.|part|section|§|act|volume)\s+([ivxlcdm]{1,7}|[0-9]+|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|twenty)[.:\s]*$')
+  OR regexp_matches(lower(line), 'http(s)?://[^\s]') OR regexp_matches(lower(line), 'www\.[^\s]') OR regexp_matches(lower(line), '[^\s]\.com\b'))"""
+HITS = "len(regexp_extract_all(lower(line), 'acknowledge?ment|preface|foreword|introduction|table of contents|contents|list of chapters|index|bibliography|references|appendix|about the author|author''s note|biography|glossary|notes|epigraph|prologue|epilogue|afterword|etext|publishe[dr]|publications|was updated by'))"
+FLAGGED = f"""prev AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS prev, {HITS} AS hits FROM lines),
+marked AS (SELECT *, {DROP} OR (NOT (right(line, 1) IN ('.', '!', '?', '。', ':', '"', '''') AND coalesce(prev, '') <> '' AND (coalesce(right(prev, 1) IN ('.', '!', '?', '。', ':', '"', ''''), false) OR len(regexp_extract_all(coalesce(prev, ''), '[^ \\t\\n\\r\\f\\v]+')) > 5))
+  AND NOT regexp_matches(line, '[!?":]') AND hits >= 1 AND (length(line) - length(replace(line, ' ', '')) + 1 < 10 + hits OR (line = upper(line) AND line <> lower(line)))) AS dropped FROM prev)"""
+MARKED = f"{LINES},\n{FLAGGED}"
+TAIL, HEAD = r"""([\p{L}\p{N}_,;''–—-][")\]>]?| "[^\n"\x01]+[?!.])""", r"""([\p{L}\p{N}_,;(\[<"''–—-])"""
+JOIN = rf"'{TAIL}\s*\n\s*{HEAD}', '\1' || chr(1) || '\2', 'g')"
+#: Texts before cleaning. RE2 has no look-around: a pass takes the neighbours of a line end along, so a line of
+#: one character needs a second one; joints are marked, so they don't count as spaces.
+BEFORE = rf"""plain AS (SELECT doc_id, translate(replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(13), ''), '’“”', '''""') AS t FROM documents),
+paged AS (SELECT doc_id, regexp_replace(replace(t, chr(65279), ''), '(?im)^[\s\[]*(page)?\.?\s*([ivxlcdm]{{1,7}}|[0-9]+)\.?[\]\s]*$', '', 'g') AS t FROM plain),
+before AS (SELECT doc_id, replace(regexp_replace(regexp_replace(t, {JOIN}, {JOIN}, chr(1), ' ') AS text FROM paged)"""
+CLEANED = f"""{BEFORE}, raw AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, {TRIM})), lambda x: x <> '') AS ls FROM before),
+lines AS (SELECT doc_id, CAST(unnest(range(len(ls))) AS INTEGER) AS line_no, unnest(ls) AS line FROM raw),
+{FLAGGED}"""
 WORDS = r"""tok AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}'']+') AS ws FROM documents),
 words AS (SELECT doc_id, CAST(unnest(range(len(ws))) AS INTEGER) AS pos, unnest(ws) AS word FROM tok)"""
 CASE = r"""CASE WHEN NOT regexp_matches(word, '\p{L}') THEN NULL WHEN word = lower(word) THEN 'lower' WHEN word = upper(word) THEN 'upper' WHEN regexp_matches(word, '^\P{L}*(\p{Lu}\p{Ll}*)(\P{L}+\p{Lu}\p{Ll}*)*\P{L}*$') THEN 'title' END"""
 FOLD = "replace(lower({}), 'ß', 'ss')"
 SYL = "CAST(greatest(len(regexp_extract_all(lower(word), '[aeiouy]+')) - (" + " + ".join(f"regexp_matches(lower(word), '{p}')::INT" for p in T.SYLLABLE_LESS) + ") + (" + " + ".join(f"regexp_matches(lower(word), '{p}')::INT" for p in T.SYLLABLE_MORE) + "), 1) AS INTEGER)"
+SYLLABLES = f"syl AS (SELECT word, {SYL} AS s FROM (SELECT DISTINCT word FROM words))"
 
 
 def docs(spark, sf):
@@ -41,7 +60,7 @@ def cln1(spark, sf):
     return docs(spark, sf).select("doc_id", F.md5(T.preprocessed(t)).alias("h"))
 
 
-@query("cln2_before_clean")
+@query("cln2_before_clean", f"WITH {BEFORE} SELECT doc_id, md5(text) AS h FROM before")
 def cln2(spark, sf):
     return docs(spark, sf).select("doc_id", F.md5(T.before_clean(F.col("text"))).alias("h"))
 
@@ -71,17 +90,29 @@ def cln8(spark, sf):
     return C.lines(docs(spark, sf)).filter(T.long_enough(F.col("line"))).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query("cln9_cleaned", f"WITH {MARKED}, j AS (SELECT doc_id, string_agg(CASE WHEN dropped THEN '' ELSE line END, chr(10) ORDER BY line_no) AS t FROM marked GROUP BY doc_id) SELECT d.doc_id, md5(CASE WHEN length(coalesce(t, '')) < 10 THEN text ELSE t END) AS h FROM documents d LEFT JOIN j USING (doc_id)")
+@query("cln9_cleaned", f"WITH {CLEANED}, j AS (SELECT doc_id, string_agg(CASE WHEN dropped THEN chr(10) ELSE line END, chr(10) ORDER BY line_no) AS t FROM marked GROUP BY doc_id) SELECT b.doc_id, md5(CASE WHEN length(text) < 10 THEN text ELSE coalesce(t, '') END) AS h FROM before b LEFT JOIN j USING (doc_id)")
 def cln9(spark, sf):
     return C.cleaned(docs(spark, sf)).select("doc_id", F.md5("text").alias("h"))
 
 
+@query("cln9b_removed_lines", f"WITH {CLEANED} SELECT doc_id, coalesce(string_agg(line_no, ',' ORDER BY line_no) FILTER (dropped), '') AS removed FROM marked WHERE doc_id IN (SELECT doc_id FROM before WHERE length(text) >= 10) GROUP BY doc_id")
+def cln9b(spark, sf):
+    return C.removed_lines(docs(spark, sf)).select("doc_id", F.array_join("removed", ",").alias("removed"))
+
+
+@query("cln4_short_bypass", "SELECT doc_id, length(text) < 10 AS unchanged FROM (SELECT doc_id, substr(text, 1, CAST(doc_id % 20 AS INTEGER)) AS text FROM documents) WHERE length(trim(text)) < 10")
+def cln4(spark, sf):
+    cut = docs(spark, sf).select("doc_id", F.substring("text", F.lit(1), (F.col("doc_id") % 20).cast("int")).alias("text")).filter("length(trim(text)) < 10")
+    done = C.cleaned(cut)
+    return cut.select("doc_id", T.before_clean(F.col("text")).alias("b")).join(done, "doc_id").select("doc_id", (F.col("b") == F.col("text")).alias("unchanged"))
+
+
 @query("cln10_normalised")
 def cln10(spark, sf):
     return docs(spark, sf).select("doc_id", F.md5(C.normalised("text")).alias("h"))
 
 
-@query("cln11_joined_pages", r"""WITH p AS (SELECT conv_id AS doc_id, turn AS page, text, CASE WHEN regexp_matches(coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '.'), '[^.!?:"''\s]\s*$') AND regexp_matches(text, '^\s*\p{Ll}') THEN 0 ELSE 1 END AS s
+@query("cln11_joined_pages", r"""WITH p AS (SELECT conv_id AS doc_id, turn AS page, text, CASE WHEN regexp_matches(coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '.'), '[\p{L}\p{N}_,;''–—-][")\]>]?\s*$') AND regexp_matches(text, '^\s*[\p{L}\p{N}_,;("''–—-]') THEN 0 ELSE 1 END AS s
  FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 1 THEN rtrim(text, '.') ELSE lower(text) END AS text FROM conversations)),
 r AS (SELECT *, sum(s) OVER (PARTITION BY doc_id ORDER BY page) AS run FROM p) SELECT doc_id, min(page) AS page, md5(string_agg(text, ' ' ORDER BY page)) AS h FROM r GROUP BY doc_id, run""")
 def cln11(spark, sf):
@@ -128,7 +159,7 @@ def fea2b(spark, sf):
     return d.select("doc_id", F.explode(T.array_ngrams(F.col("c"))).alias("gram")).groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("gram").alias("kinds"))
 
 
-@query("fea3_word_features", f"WITH {WORDS}, s AS (SELECT *, {SYL} AS s, {FOLD.format('word')} AS f FROM words) SELECT doc_id, count(*) AS words, round(avg(CAST(length(word) >= 15 AS INTEGER)), 6) AS length_15, round(avg(CAST(length(word) = 4 AS INTEGER)), 6) AS length_4, round(count(DISTINCT f) / count(*)::DOUBLE, 6) AS type_token, round(least(avg(s) / 8, 1), 6) AS syllables, round(avg(CAST(s >= 3 AS INTEGER)), 6) AS polysyllables, round(avg(CAST(f = 'the' AS INTEGER)), 6) AS the, round(avg(CAST(f IN ('a', 'an') AS INTEGER)), 6) AS a_an, round(avg(CAST(contains(word, '''') AS INTEGER)), 6) AS contractions FROM s GROUP BY ALL")
+@query("fea3_word_features", f"WITH {WORDS}, {SYLLABLES}, s AS (SELECT *, {FOLD.format('word')} AS f FROM words JOIN syl USING (word)) SELECT doc_id, count(*) AS words, round(avg(CAST(length(word) >= 15 AS INTEGER)), 6) AS length_15, round(avg(CAST(length(word) = 4 AS INTEGER)), 6) AS length_4, round(count(DISTINCT f) / count(*)::DOUBLE, 6) AS type_token, round(least(avg(s) / 8, 1), 6) AS syllables, round(avg(CAST(s >= 3 AS INTEGER)), 6) AS polysyllables, round(avg(CAST(f = 'the' AS INTEGER)), 6) AS the, round(avg(CAST(f IN ('a', 'an') AS INTEGER)), 6) AS a_an, round(avg(CAST(contains(word, '''') AS INTEGER)), 6) AS contractions FROM s GROUP BY ALL")
 def fea3(spark, sf):
     w = X.wide(words(spark, sf))
     return w.select("doc_id", "words", *[r6(c) for c in ("length_15", "length_4", "type_token", "syllables", "polysyllables", "the", "a_an", "contractions")])
@@ -252,7 +283,7 @@ def lex3(spark, sf):
     return docs(spark, sf).select("doc_id", F.md5(T.casefolded(F.col("text"))).alias("h"))
 
 
-@query("lex4_syllables", f"WITH {WORDS} SELECT DISTINCT word, {SYL} AS syllables FROM words")
+@query("lex4_syllables", f"WITH {WORDS}, {SYLLABLES} SELECT word, s AS syllables FROM syl")
 def lex4(spark, sf):
     return words(spark, sf).select("word").distinct().select("word", T.syllables(F.col("word")).alias("syllables"))
 
