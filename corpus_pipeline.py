@@ -47,8 +47,8 @@ STAGES = [
     ("pieces", encode_pieces),
 ]
 
-#: A trained classifier and sampled segmentations have no SQL form; the tests hold the stages
-#: against brute-force versions.
+#: A trained classifier and sampled segmentations have no SQL form; ``tests/llm/test_pipeline.py`` holds
+#: the stages against brute-force versions.
 ORACLE_SQL = None
 
 
@@ -58,3 +58,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
+
+
+QUERIES = {"pipeline": run}
+ORACLE = {"pipeline": ORACLE_SQL} if ORACLE_SQL else {}

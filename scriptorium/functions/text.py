@@ -112,9 +112,10 @@ def hits_of(w: Column, patterns: tuple[str, ...]) -> Column:
 
 def syllables(word: Column) -> Column:
     """LEX4: vowel groups, less one for each spelling of fewer and more by one for each of more, at
-    least 1."""
+    least 1; null for null."""
     w = F.lower(word)
-    return F.greatest(F.regexp_count(w, F.lit("[aeiouy]+")) - hits_of(w, SYLLABLE_LESS) + hits_of(w, SYLLABLE_MORE), F.lit(1)).cast("int")
+    count = F.regexp_count(w, F.lit("[aeiouy]+")) - hits_of(w, SYLLABLE_LESS) + hits_of(w, SYLLABLE_MORE)
+    return F.when(word.isNotNull(), F.greatest(count, F.lit(1))).cast("int")
 
 
 def parsed_rating(output: Column) -> Column:
@@ -137,9 +138,9 @@ def quoted_share(t: Column) -> Column:
 
     def step(s, part):
         mark, inside = F.regexp_extract(part, "[\"']$", 0), F.length(part) - 1
-        closes, idle = s["open"] == mark, s["open"] == ""
+        closes, idle = (s["open"] == mark) & (mark != ""), s["open"] == ""
         return F.struct(
-            F.when(idle, mark).when(closes & (mark != ""), F.lit("")).otherwise(s["open"]).alias("open"),
+            F.when(idle, mark).when(closes, F.lit("")).otherwise(s["open"]).alias("open"),
             F.when(idle | closes, F.lit(0)).otherwise(s["held"] + inside + 1).alias("held"),
             F.when(closes, s["total"] + s["held"] + inside).otherwise(s["total"]).alias("total"),
         )

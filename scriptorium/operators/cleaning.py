@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -52,10 +53,22 @@ def removed_lines(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return marked(before, key).groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("dropped"), F.col("line_no")))).alias("removed"))
 
 
+def removed_ranges(marked_lines: DataFrame, key: str = "doc_id", plain: str = "plain") -> DataFrame:
+    """WIN6: ``key, full, removed``: the joined normalised lines and where in them dropped lines lie."""
+    w = W.partitionBy(key).orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
+    placed = marked_lines.withColumn("start", F.coalesce(F.sum(F.length(plain)).over(w), F.lit(0)).cast("int"))
+    span = F.when(F.col("dropped") & (F.length(plain) > 0), F.struct("start", (F.col("start") + F.length(plain)).cast("int").alias("stop")))
+    full = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", plain))), lambda x: x[plain]), "")
+    return placed.groupBy(key).agg(full.alias("full"), F.array_sort(F.collect_list(span)).alias("removed"))
+
+
+NORMALISED = re.compile(r"[\s\-‐‑‒–—]+")  # fixed value: what normalised text leaves out
+
+
 @F.pandas_udf(Y.StringType())
 def normalised(texts: pd.Series) -> pd.Series:
     """CLN10: NFKC, plain quotes, no white space and hyphens. Spark has no NFKC of its own."""
-    return texts.str.normalize("NFKC").str.translate(str.maketrans("’“”", "'\"\"")).str.replace(r"[\s\-‐‑‒–—]+", "", regex=True)
+    return texts.str.normalize("NFKC").str.translate(str.maketrans("’“”", "'\"\"", "\r\ufeff")).str.replace(NORMALISED, "", regex=True)
 
 
 def joined_pages(pages: DataFrame) -> DataFrame:

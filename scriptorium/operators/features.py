@@ -6,7 +6,6 @@ words are shuffled once whatever the number of features.
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
+from scriptorium.session import cut
 
 PUNCTUATION = (".", ",", "!", "?", ";", ":", "-", "'", "(", ")")
 
@@ -77,14 +77,6 @@ def ngrams(table: DataFrame, column: str, low: int, high: int, keys: list[str] =
     return nexts.select(*keys, F.explode(F.filter(F.array(*runs), lambda x: x.isNotNull())).alias("x")).select(*keys, "x.n", "x.gram").groupBy(*keys, "n", "gram").agg(F.count("*").alias("count"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` as a checkpoint in the session's folder; a local session without one gets its own."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir() and context.master.startswith("local"):
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="scriptorium-"))
-    return df.checkpoint()
-
-
 def tree_shape(edges: DataFrame) -> DataFrame:
     """FEA18: ``tree, depth, width, branching`` of edges ``tree, node, head`` (a null head is the
     root): levels are joined one after the other until none is left. Each is a checkpoint, so

@@ -111,13 +111,8 @@ def agr12(spark, sf):
     return R.with_agreed(rows, value, 1).select("task", "annotator", "rating")
 
 
-@query("agr13_wide", f"""WITH {RATINGS} SELECT task, """ + ", ".join(f"max(CASE WHEN annotator = {i} THEN rating END) AS annotator_{i}" for i in range(1, 5)) + " FROM ratings GROUP BY task")
+@query("agr13_wide", f"""WITH {RATINGS} SELECT task, """ + ", ".join(f"max(CASE WHEN annotator = {i} THEN rating END) AS annotator_{i}" for i in range(1, 8)) + " FROM ratings GROUP BY task")
 def agr13(spark, sf):
-    return R.wide(ratings(spark, sf), 4)
-
-
-@query("agr13b_all_wide", f"""WITH {RATINGS} SELECT task, """ + ", ".join(f"max(CASE WHEN annotator = {i} THEN rating END) AS annotator_{i}" for i in range(1, 8)) + " FROM ratings GROUP BY task")
-def agr13b(spark, sf):
     return R.wide(ratings(spark, sf))
 
 

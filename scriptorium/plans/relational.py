@@ -362,16 +362,10 @@ def smp5(spark, sf):
     return R.top_up(p, c, "y", [1, 5], "doc_id").select("doc_id", "y")
 
 
-@query("smp6_label_swap", "WITH a AS (SELECT doc_id, n_chars % 6 AS y, row_number() OVER (PARTITION BY n_chars % 6 ORDER BY doc_id) AS rn FROM documents WHERE doc_id % 2 = 0), b AS (SELECT doc_id, n_chars % 6 AS y, row_number() OVER (PARTITION BY n_chars % 6 ORDER BY doc_id) AS rn FROM documents WHERE doc_id % 2 = 1 AND doc_id % 3 = 0) SELECT a.doc_id AS out_id, b.doc_id AS in_id FROM a JOIN b USING (y, rn)")
-def smp6(spark, sf):
-    side = lambda cond, name: docs(spark, sf).filter(cond).select((F.col("n_chars") % 6).alias("y"), F.col("doc_id").alias(name), F.row_number().over(W.partitionBy(F.col("n_chars") % 6).orderBy("doc_id")).alias("rn"))
-    return side("doc_id % 2 = 0", "out_id").join(side("doc_id % 2 = 1 AND doc_id % 3 = 0", "in_id"), ["y", "rn"]).select("out_id", "in_id")
-
-
-@query("smp6b_label_swap_splits", f"""WITH d AS (SELECT doc_id, n_chars % 6 AS y, coalesce(source IN ('src0', 'src1', 'src2'), false) AS test, coalesce(lang <> 'en', false) AS flagged FROM documents),
+@query("smp6_label_swap", f"""WITH d AS (SELECT doc_id, n_chars % 6 AS y, coalesce(source IN ('src0', 'src1', 'src2'), false) AS test, coalesce(lang <> 'en', false) AS flagged FROM documents),
 k AS (SELECT *, row_number() OVER (PARTITION BY y, test, flagged ORDER BY {H}) AS rn, least(count(*) FILTER (test AND flagged) OVER (PARTITION BY y), count(*) FILTER (NOT test AND NOT flagged) OVER (PARTITION BY y)) AS n FROM d)
 SELECT doc_id, y, CASE WHEN (test AND NOT flagged) OR (NOT test AND NOT flagged AND rn <= n) THEN 'test' ELSE 'train' END AS part FROM k WHERE NOT (test AND flagged AND rn > n)""")
-def smp6b(spark, sf):
+def smp6(spark, sf):
     d = docs(spark, sf).select("doc_id", (F.col("n_chars") % 6).alias("y"), F.coalesce(F.col("source").isin("src0", "src1", "src2"), F.lit(False)).alias("test"), F.coalesce(F.col("lang") != "en", F.lit(False)).alias("flagged"))
     return R.label_swap(d, "y", "doc_id").select("doc_id", "y", "part")
 

@@ -147,12 +147,6 @@ def fea1(spark, sf):
     return table(spark, sf, "pages").select("page_id", r6(T.quoted_share(F.col("html")), "share"))
 
 
-@query("fea2_char_ngrams", "WITH d AS (SELECT doc_id, replace(lower(text), 'ß', 'ss') AS t FROM documents WHERE length(text) <= 400), g AS (SELECT doc_id, unnest(list_concat(list_concat(list_transform(range(1, length(t)), lambda i: substr(t, i, 2)), list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))), list_concat(list_transform(range(1, length(t) - 2), lambda i: substr(t, i, 4)), list_transform(range(1, length(t) - 3), lambda i: substr(t, i, 5))))) AS gram FROM d) SELECT doc_id, count(*) AS n, count(DISTINCT gram) AS kinds FROM g GROUP BY ALL")
-def fea2(spark, sf):
-    d = docs(spark, sf).filter("length(text) <= 400").select("doc_id", T.casefolded(F.col("text")).alias("t"))
-    return d.select("doc_id", F.explode(T.char_ngrams(F.col("t"))).alias("gram")).groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("gram").alias("kinds"))
-
-
 @query("fea2b_all_char_ngrams", "WITH d AS (SELECT doc_id, replace(lower(text), 'ß', 'ss') AS t FROM documents), g AS (SELECT doc_id, unnest(list_concat(list_concat(list_transform(range(1, length(t)), lambda i: substr(t, i, 2)), list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))), list_concat(list_transform(range(1, length(t) - 2), lambda i: substr(t, i, 4)), list_transform(range(1, length(t) - 3), lambda i: substr(t, i, 5))))) AS gram FROM d) SELECT doc_id, count(*) AS n, count(DISTINCT gram) AS kinds FROM g GROUP BY ALL")
 def fea2b(spark, sf):
     d = docs(spark, sf).select("doc_id", T.characters(T.casefolded(F.col("text"))).alias("c"))
@@ -171,26 +165,11 @@ def fea4(spark, sf):
     return X.sliding_lengths(words(spark, sf)).select("doc_id", "bin", r6("share"))
 
 
-SENT = r"""sen AS (SELECT doc_id, unnest(string_split(text, '.')) AS s, generate_subscripts(string_split(text, '.'), 1) AS sentence FROM documents),
-sw AS (SELECT doc_id, sentence, len(regexp_extract_all(s, '[\p{L}\p{N}'']+')) AS n FROM sen)"""
-
-
-@query("fea5_sentence_lengths", f"WITH {SENT}, k AS (SELECT doc_id, least((n - 1) // 3, 25) AS bin, n FROM sw WHERE n > 0) SELECT doc_id, CAST(bin AS INTEGER) AS bin, count(*) AS sentences FROM k GROUP BY ALL")
-def fea5(spark, sf):
-    s = docs(spark, sf).select("doc_id", F.explode(F.split("text", r"\.")).alias("s")).select("doc_id", F.regexp_count("s", F.lit(r"[\p{L}\p{N}']+")).alias("n")).filter("n > 0")
-    return s.groupBy("doc_id", F.least(F.floor((F.col("n") - 1) / 3), F.lit(25)).cast("int").alias("bin")).agg(F.count("*").alias("sentences"))
-
-
 @query("fea6_numeric_ratio", f"WITH {WORDS} SELECT doc_id, round(avg(CAST(regexp_matches(word, '^[0-9]+$') AS INTEGER)), 6) AS share FROM words GROUP BY ALL")
 def fea6(spark, sf):
     return words(spark, sf).groupBy("doc_id").agg(r6(X.share(F.col("word").rlike("^[0-9]+$")), "share"))
 
 
-@query("fea12_punctuation", "SELECT doc_id, " + ", ".join(f"CAST(length(text) - length(replace(text, '{p}', '')) AS BIGINT) AS p{i}" for i, p in enumerate((".", ",", "!", "?", ";", ":"))) + " FROM documents")
-def fea12(spark, sf):
-    return docs(spark, sf).select("doc_id", *[(F.length("text") - F.length(F.replace("text", F.lit(p), F.lit("")))).cast("long").alias(f"p{i}") for i, p in enumerate((".", ",", "!", "?", ";", ":"))])
-
-
 @query("fea14_case_positions", f"""WITH s AS (SELECT doc_id, string_split(text, '.') AS ps FROM documents), t AS (SELECT doc_id, unnest(ps) AS s, generate_subscripts(ps, 1) AS sentence FROM s), u AS (SELECT doc_id, sentence, regexp_extract_all(s, '[\\p{{L}}\\p{{N}}'']+') AS ws FROM t),
 w AS (SELECT doc_id, sentence, unnest(ws) AS word, generate_subscripts(ws, 1) AS k FROM u),
 c AS (SELECT doc_id, {CASE} AS "case", CASE WHEN k = 1 THEN 'first' WHEN k = max(k) OVER (PARTITION BY doc_id, sentence) THEN 'last' ELSE 'inner' END AS place, count(*) OVER (PARTITION BY doc_id) AS n FROM w)
@@ -233,13 +212,6 @@ def fea19(spark, sf):
     return paths.groupBy(F.concat_ws("<", "tag", "t1", "t2").alias("path")).agg(F.count("*").alias("n"))
 
 
-@query("fea20_phrase_lengths", "WITH w AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents), p AS (SELECT doc_id, len(string_split(l, ' ')) AS n FROM w) SELECT doc_id, CAST(least(n, 14) AS INTEGER) AS bin, round(sum(n) / sum(sum(n)) OVER (PARTITION BY doc_id), 6) AS share FROM p GROUP BY doc_id, least(n, 14)")
-def fea20(spark, sf):
-    p = docs(spark, sf).select("doc_id", F.explode(F.split("text", "\n")).alias("l")).select("doc_id", F.size(F.split("l", " ")).alias("n"))
-    g = p.groupBy("doc_id", F.least("n", F.lit(14)).alias("bin")).agg(F.sum("n").alias("s"))
-    return g.select("doc_id", "bin", r6(F.col("s") / F.sum("s").over(W.partitionBy("doc_id")), "share"))
-
-
 @query("fea21_first_per_coref", "SELECT user_id, event_type, count(*) AS n FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_id // 7 ORDER BY event_id) = 1) GROUP BY ALL")
 def fea21(spark, sf):
     e = table(spark, sf, "events").withColumn("coref", F.floor(F.col("event_id") / 7))
@@ -272,12 +244,6 @@ def fea26(spark, sf):
     return X.concreteness(words(spark, sf), _matches(spark, sf)).select("doc_id", "bin", r6("share"), r6("mean"))
 
 
-@query("fea28_places", f"{MATCH}, t AS (SELECT doc_id, count(*) AS n FROM words GROUP BY ALL), k AS (SELECT doc_id, count(*) AS hits FROM m GROUP BY ALL) SELECT t.doc_id, round(coalesce(hits, 0) / n::DOUBLE, 6) AS share FROM t LEFT JOIN k USING (doc_id)")
-def fea28(spark, sf):
-    n = words(spark, sf).groupBy("doc_id").agg(F.count("*").alias("n"))
-    return n.join(_matches(spark, sf).groupBy("doc_id").agg(F.count("*").alias("hits")), "doc_id", "left").select("doc_id", r6(F.coalesce("hits", F.lit(0)) / F.col("n"), "share"))
-
-
 @query("lex3_casefold", "SELECT doc_id, md5(replace(lower(text), 'ß', 'ss')) AS h FROM documents")
 def lex3(spark, sf):
     return docs(spark, sf).select("doc_id", F.md5(T.casefolded(F.col("text"))).alias("h"))
@@ -295,12 +261,6 @@ def lex5(spark, sf):
     return side(1, "p_retailprice").unionByName(side(2, "p_size")).groupBy("expression").agg(r6(F.avg("c"), "conc")).withColumn("n_words", F.size(F.split("expression", " ")))
 
 
-@query("lex6_override", "SELECT p_brand AS prep, round(avg(p_retailprice), 4) AS imag, round(avg(p_retailprice) FILTER (p_size > 25), 4) AS pos_adp, round(avg(p_retailprice) FILTER (p_size <= 25), 4) AS pos_nonadp FROM part GROUP BY ALL")
-def lex6(spark, sf):
-    v = F.col("p_retailprice")
-    return table(spark, sf, "part").groupBy(F.col("p_brand").alias("prep")).agg(F.round(F.avg(v), 4).alias("imag"), F.round(F.avg(F.when(F.col("p_size") > 25, v)), 4).alias("pos_adp"), F.round(F.avg(F.when(F.col("p_size") <= 25, v)), 4).alias("pos_nonadp"))
-
-
 @query("lex7_places", "SELECT DISTINCT replace(split_part(url, '/', 4), '-', ' ') AS place FROM pages WHERE split_part(url, '/', 4) <> ''")
 def lex7(spark, sf):
     part = F.split_part("url", F.lit("/"), F.lit(4))

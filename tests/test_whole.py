@@ -32,7 +32,7 @@ def test_label_swap_returns_both_splits(spark):
 
 def test_label_swap_query_reads_every_document(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    got = {r["doc_id"] for r in __spark_entry__.queries()["smp6b_label_swap_splits"](spark, SF).collect()}
+    got = {r["doc_id"] for r in __spark_entry__.queries()["smp6_label_swap"](spark, SF).collect()}
     missing = docs.filter(~docs["doc_id"].isin(list(got))).select("source", "lang").collect()
     assert all(r["source"] in ("src0", "src1", "src2") and r["lang"] != "en" for r in missing)
 
