@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,13 +32,15 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-ROUNDS = 3
+#: Rounds end when the confident instances stay the same; this many without that are an error.
+ROUNDS = 40
 #: A pattern needs this lower bound (95 %) of its share of instances of a kind, and has to close at
 #: least half the way from the kind's share of the instances without the pattern to 1.
 SURE = 0.7
 #: An instance counts as found from this confidence on.
 CONFIDENT = 0.8
-LEFT, RIGHT, LONGEST = 64, 40, 80  # characters around an occurrence; of an instance
+LEFT, RIGHT = 64, 40  # characters around an occurrence that its words are taken from
+KEPT = 80  # characters up to which a string stands for itself in the graph, and not by its digest
 
 SPAN = "struct<start:long,k:int,end:long>"
 OCCURRENCE = "struct<start:long,end:long,kind:int,instance:string,shape:string,patterns:array<string>>"
@@ -90,12 +94,17 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def shape_of(s: str) -> str:
-    """The string with its runs of digits, letters and spaces reduced to a mark; digits alone keep
-    their number."""
+    """The string with its runs of digits, letters and spaces reduced to a mark, and the number of its
+    digits."""
     if "@" in s:
         return "mail"
     flat = RUNS.sub(lambda m: "9" if m.group()[0].isdigit() else " " if m.group().isspace() else "a", s)
-    return f"9x{len(s)}" if flat == "9" else flat
+    return f"{named(flat)}:{sum(map(str.isdigit, s))}"
+
+
+def named(s: str) -> str:
+    """What stands for a string in the graph: itself, or a digest (which keeps an @) of a long one."""
+    return s if len(s) <= KEPT else f"{'@' * ('@' in s)}#{hashlib.sha256(s.encode('utf-8', 'surrogatepass')).hexdigest()}"
 
 
 def around(text: str, a: int, b: int) -> list[str]:
@@ -117,7 +126,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     low = 0
     for m in TOKEN.finditer(text):
         a, b = m.start(), m.end()
-        while a > low and not text[a - 1].isspace() and m.start() - a < LONGEST:
+        while a > low and not text[a - 1].isspace():
             a -= 1
         low = b
         while a < b and text[a] in EDGE and text[a] != "(":
@@ -131,11 +140,11 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
             tokens[-1] = (tokens[-1][0], b)
         elif a < b:
             tokens.append((a, b))
-    out, k = [], 0
+    starts, reach = [x[0] for x in base], list(accumulate((x[2] for x in base), max))
+    out = []
     for a, b in tokens:
-        while k < len(base) and base[k][2] <= a and (k + 1 == len(base) or base[k + 1][0] <= a):
-            k += 1
-        if b - a > LONGEST or any(x[0] < b and a < x[2] for x in base[max(0, k - 4) : k + 8]):
+        before = bisect_left(starts, b)
+        if before and reach[before - 1] > a:  # a base span touches it
             continue
         s = text[a:b]
         if sum(map(str.isdigit, s)) >= 5 or ("@" in s[1:-1] and any(map(str.isalpha, s))):
@@ -144,18 +153,17 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
 
 
 def occurrences(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
-    rows = [(a, b, k) for a, k, b in base if b - a <= LONGEST] + [(a, b, None) for a, b in candidates(text, base)]
+    rows = [(a, b, k) for a, k, b in base] + [(a, b, None) for a, b in candidates(text, base)]
     out = []
     for a, b, k in rows:
         s = text[a:b].lower()
-        shape = shape_of(s)
-        out.append({"start": a, "end": b, "kind": k, "instance": s, "shape": shape, "patterns": around(text, a, b)})
+        out.append({"start": a, "end": b, "kind": k, "instance": named(s), "shape": shape_of(s), "patterns": around(text, a, b)})
     return out
 
 
 def found(docs: DataFrame, carry: bool = False) -> DataFrame:
     """Base spans and all occurrences of each row of ``docs``, as a table in the shared folder;
-    with the columns of ``docs`` (under ``doc``) if ``carry``."""
+    with the columns of ``docs`` (under ``doc``) if ``carry``. Null texts count as empty."""
     bounded_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([F.struct(*docs.columns).alias("doc")] if carry else []))
     kept = [f for f in source.schema if f.name == "doc"]
@@ -202,15 +210,14 @@ def discovered(table: DataFrame, rounds: int = ROUNDS, sure: float = SURE, confi
     Only what holds an @ can be an e-mail address, and it can be nothing else.
     """
     ks = range(len(KINDS))
-    form = F.concat_ws(":", "shape", F.length(F.regexp_replace("instance", "[^0-9]", "")).cast("string")).alias("form")
     mail = F.expr("instance LIKE '%@%'")
     seen = table.select(F.explode("seen").alias("o")).select("o.*")
-    nodes = written(seen.groupBy("instance", "shape").agg(F.max("kind").alias("kind")).select("instance", F.when(mail, "mail").otherwise(form).alias("form"), "kind"), "pii-nodes")
+    nodes = written(seen.groupBy("instance", "shape").agg(F.max("kind").alias("kind")).select("instance", F.col("shape").alias("form"), "kind"), "pii-nodes")
     edges = written(seen.select("instance", "kind", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "pii-edges")
     seeds = [F.count_if(F.col("kind") == k).cast("double").alias(f"s{k}") for k in ks]
     forms = written(nodes.groupBy("form").agg(F.count("*").cast("double").alias("m"), *seeds), "pii-forms")
     total = forms.agg(F.coalesce(F.sum("m"), F.lit(0.0)).alias("m"), *[F.coalesce(F.sum(f"s{k}"), F.lit(0.0)).alias(f"s{k}") for k in ks]).first()
-    believed = None
+    believed = before = None
     for step in range(rounds):
         if believed is not None:
             weighed = edges.join(small_side(believed), "instance", "left")
@@ -235,12 +242,18 @@ def discovered(table: DataFrame, rounds: int = ROUNDS, sure: float = SURE, confi
         odds = F.col("conf") / F.greatest(1 - F.col("conf"), F.lit(1e-9)) * others / against
         rated = weight.select("instance", "k", (odds / (1 + odds)).alias("conf"))
         believed = written(rated.groupBy("instance").agg(F.max(F.struct("conf", (-F.col("k")).alias("of"))).alias("m")).select("instance", (-F.col("m.of")).cast("int").alias("k"), "m.conf"), f"pii-believed{step}")
-    return believed.filter(F.col("conf") >= confident).select("instance", "k")
+        sure_ones = believed.filter(F.col("conf") >= confident)
+        mark = sure_ones.agg(F.count("*"), F.sum(F.xxhash64("instance", "k") % 1_000_003)).first()
+        if mark == before:
+            return sure_ones.select("instance", "k")
+        before = mark
+    raise RuntimeError("the confident instances did not settle")
 
 
 def with_spans(docs: DataFrame, carry: bool = False, **how) -> DataFrame:
     """The table of :func:`found` with ``all``: the spans of fixed patterns and of discovered
-    instances, ordered by start and then kind."""
+    instances, ordered by start and then kind. Null and empty texts have none, repeated rows are each
+    returned, and no rows give none."""
     table = found(docs, carry)
     more = discovered(table, **how)
     if more is None:
@@ -283,6 +296,7 @@ def masked(docs: DataFrame, **how) -> DataFrame:
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Personal data of every document: a row per row; null and empty texts have no spans."""
+    """Personal data of every document: a row per row; null and empty texts have no spans. ``n_spans``
+    counts those of all kinds, discovered ones too."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return with_spans(docs).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", span_text("all").alias("spans"))
+    return with_spans(docs).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", span_text("all").alias("spans"), F.size("all").cast("long").alias("n_spans"))
