@@ -270,12 +270,13 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
     """``doc_id, n_shingles, component_id`` for each row of ``docs``.
 
     Null and empty texts and texts of white space have no shingles and stay alone. Rows with a null
-    ``doc_id`` keep a null component and take part in no link. Rows that repeat are each returned.
-    Other columns are ignored.
+    ``doc_id`` have the size of their set, a null component and no link. Rows that repeat are each
+    returned. Other columns are ignored.
     """
     spark = docs.sparkSession
-    table = facts(docs.filter("doc_id IS NOT NULL"), width)
-    rows = table.filter("chunk IS NULL").select("doc_id", "n", "sig")
+    table = facts(docs, width)
+    every = table.filter("chunk IS NULL").select("doc_id", "n", "sig")
+    rows = every.filter("doc_id IS NOT NULL")
     classes = written(rows.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("of")), "classes")
     copies = classes.filter("of > 1").select("sig", "rep")
     others = written(rows.join(small_side(copies), "sig").filter("doc_id <> rep").select("doc_id", "sig").distinct(), "copies")
@@ -306,10 +307,11 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
     held = sets(docs.join(needed, "doc_id", "left_semi"), width)
     placed = held.join(small_side(tiles.drop("doc_id")), "sig").select("by", "key", "i", "j", "sig", "items")
     edges = written(links(placed.repartition("by", "key", "i", "j").sortWithinPartitions("by", "key", "i", "j"), percent), "links")
-    return labelled(docs, rows, classes, edges)
+    nameless = every.filter("doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return labelled(rows, classes, edges).unionByName(nameless)
 
 
-def labelled(docs: DataFrame, rows: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
+def labelled(rows: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
     """Components of the classes that have links or copies; all other rows are alone."""
     part = components(edges)
     known = classes.join(part, classes["sig"] == part["node"], "left").select("sig", "rep", "of", "least")
@@ -317,8 +319,7 @@ def labelled(docs: DataFrame, rows: DataFrame, classes: DataFrame, edges: DataFr
     roots = named.filter("least IS NOT NULL").groupBy("least").agg(F.min("rep").alias("component"))
     label = named.join(roots, "least", "left").select("sig", F.coalesce("component", "rep").alias("component_id"))
     out = rows.join(small_side(written(label, "labels")), "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    none = F.lit(None).cast("long")
-    return out.unionAll(docs.filter("doc_id IS NULL").select(none.alias("doc_id"), none.alias("n_shingles"), none.alias("component_id")))
+    return out
 
 
 def deduplicated(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
