@@ -2,7 +2,8 @@
 
 Each language has a codeword of bits. A linear classifier over hashed byte n-grams predicts each
 bit; decoding takes the language whose codeword has the least logistic loss, every bit weighted by
-how well its classifier separates the training rows. A small margin flags the row as ambiguous.
+how surely classifiers of it, fitted to a part of the training rows, are right about the rest. A small
+margin flags the row as ambiguous.
 """
 
 from __future__ import annotations
@@ -68,8 +69,24 @@ def codewords(n: int, rng: np.random.Generator) -> np.ndarray:
     return best
 
 
+def train(x: np.ndarray, y: np.ndarray, share: np.ndarray, steps: int, decay: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and biases of all bits, by Adam on the weighted logistic loss."""
+    w, b = np.zeros((x.shape[1], y.shape[1]), np.float32), np.zeros(y.shape[1], np.float32)
+    moments = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(b), np.zeros_like(b)]
+    for t in range(1, steps + 1):
+        slope = (-y * share / (1 + np.exp(np.clip(y * (x @ w + b), -30, 30)))).astype(np.float32)
+        for k, (p, g) in enumerate(((w, x.T @ slope + decay * w), (b, slope.sum(axis=0)))):
+            m, v = moments[2 * k], moments[2 * k + 1]
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            p -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+    return w, b
+
+
 def fit(texts: list[str], langs: list[str], steps: int = 300, decay: float = 1e-4, seed: int = 7) -> Model | None:
-    """Train all bits jointly by Adam on the logistic loss; None without rows."""
+    """Train all bits jointly; None without rows. A bit's weight comes from classifiers of a tenth of its
+    steps, fitted to two thirds of the rows: the mean probability that they give the right bit on the
+    other rows, above one half (hits alone would hardly tell the bits apart)."""
     names = sorted(set(langs))
     if not names:
         return None
@@ -79,17 +96,14 @@ def fit(texts: list[str], langs: list[str], steps: int = 300, decay: float = 1e-
     which = np.array([names.index(y) for y in langs])
     y = codes[which]
     share = (1.0 / np.bincount(which, minlength=len(names)) / len(names))[which][:, None].astype(np.float32)
-    w, b = np.zeros((x.shape[1], codes.shape[1]), np.float32), np.zeros(codes.shape[1], np.float32)
-    moments = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(b), np.zeros_like(b)]
-    for t in range(1, steps + 1):
-        slope = (-y * share / (1 + np.exp(np.clip(y * (x @ w + b), -30, 30)))).astype(np.float32)
-        for k, (p, g) in enumerate(((w, x.T @ slope + decay * w), (b, slope.sum(axis=0)))):
-            m, v = moments[2 * k], moments[2 * k + 1]
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            p -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-    right = ((y * (x @ w + b) > 0) * share).sum(axis=0)
+    out = rng.permutation(len(which)) % 3 == 0
+    if out.any() and not out.all():
+        w, b = train(x[~out], y[~out], share[~out] / share[~out].sum(), max(1, steps // 10), decay)
+        right = (share[out] / (1 + np.exp(np.clip(-y[out] * (x[out] @ w + b), -30, 30)))).sum(axis=0) / share[out].sum()
+    else:
+        right = np.ones(codes.shape[1])
     trust = np.maximum(right - 0.5, 0.01)
+    w, b = train(x, y, share, steps, decay)
     return Model(names, codes.astype(np.float32), w, b, (trust / trust.sum()).astype(np.float32))
 
 
