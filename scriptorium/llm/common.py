@@ -59,7 +59,7 @@ def label_fold() -> Column:
 
 
 #: Bytes of rows that Python gets at a time.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def bounded_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
@@ -70,3 +70,22 @@ def bounded_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
     found = re.fullmatch(r"(\d+)\s*([kmgtp]?)i?b?", spark.conf.get(key).strip().lower())
     if not found or int(found[1]) << 10 * " kmgtp".index(found[2] or " ") > most:
         spark.conf.set(key, str(most))
+
+
+def frugal(run):
+    """``run`` for mapInArrow, giving back to the machine at the end of a task what its worker's
+    allocators hold: idle workers stay, and the executor's memory is for the next stage then."""
+
+    def tidy(batches):
+        import ctypes
+
+        import pyarrow
+
+        yield from run(batches)
+        pyarrow.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library: it keeps its memory
+            pass
+
+    return tidy

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, small_side, written
+from .common import bounded_batches, frugal, small_side, written
 from .components import components
 from .shingles import Powers, blocks, shingles, words
 
@@ -75,7 +75,7 @@ def facts(docs: DataFrame, width: int) -> DataFrame:
                 counts = zlib.compress(part.tobytes(), 1)
                 yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([k], pa.int32()), pa.array([counts], pa.binary())], names)
 
-    return written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema), "facts")
+    return written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(frugal(run), schema), "facts")
 
 
 def frequencies(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +91,7 @@ def frequencies(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     out = np.zeros(ENTRIES, np.uint32)
     parts = table.filter("chunk IS NOT NULL").select("chunk", "counts").repartition("chunk")
-    for row in parts.mapInArrow(run, "chunk int, counts binary").collect():
+    for row in parts.mapInArrow(frugal(run), "chunk int, counts binary").collect():
         out[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(row["counts"], np.uint32)
     counts, word = out[: 1 << SHINGLE_BITS].astype(np.float64), out[1 << SHINGLE_BITS :]
     noise = counts.mean()
@@ -132,7 +132,7 @@ def indexed(docs: DataFrame, order, width: int, percent: int) -> DataFrame:
             kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "sig", "n", "gid", "tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(frugal(run), schema)
 
 
 def sets(docs: DataFrame, width: int) -> DataFrame:
@@ -149,7 +149,7 @@ def sets(docs: DataFrame, width: int) -> DataFrame:
                     rows.append((digest(found), found.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["sig", "items"])
 
-    return docs.select("text").mapInArrow(run, "sig binary, items binary")
+    return docs.select("text").mapInArrow(frugal(run), "sig binary, items binary")
 
 
 def forest(members: dict[bytes, np.ndarray], percent: int) -> list[tuple[bytes, bytes]]:
@@ -220,7 +220,7 @@ def links(tiles: DataFrame, percent: int) -> DataFrame:
         out = forest(members, percent)
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], schema=schema)
 
-    return tiles.mapInArrow(run, "u binary, v binary")
+    return tiles.mapInArrow(frugal(run), "u binary, v binary")
 
 
 def compatible(hits: DataFrame, percent: int) -> DataFrame:

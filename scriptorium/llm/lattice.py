@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, frugal
 from .shingles import PLACE, mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -35,7 +35,7 @@ BYTES = 0x110000  # byte b is the symbol BYTES + b
 #: long segments within floats and cancels out.
 FIRST, SHARPNESS, SCALE = 10.0, 1.5, 64.0
 HELD = 1 << 21  # edges that a task remembers
-PORTION = 1 << 17  # characters whose lattices are built and sampled at a time
+PORTION = 1 << 16  # characters whose lattices are built and sampled at a time
 RESCALE = 32  # positions after which the sums of a long run are brought back to 1
 
 STEP = 0xD1342543DE82EF95
@@ -298,7 +298,7 @@ def encoded(docs: DataFrame, v: Vocabulary, seed: int = 1) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()), mask=pa.array([t is None for t in texts]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], lists], [*kept, "ids"])
 
-    return docs.select(*kept, F.col("doc_id").cast("long").alias("__key"), F.col("text").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*kept, F.col("doc_id").cast("long").alias("__key"), F.col("text").alias("__text")).mapInArrow(frugal(run), schema)
 
 
 def decoded(rows: DataFrame, v: Vocabulary) -> DataFrame:
@@ -319,7 +319,7 @@ def decoded(rows: DataFrame, v: Vocabulary) -> DataFrame:
             pieces = pa.ListArray.from_arrays(ids.offsets, spelling.take(ids.values), mask=ids.is_null())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pc.binary_join(pieces, b"").cast(pa.string())], [*kept, "text"])
 
-    return rows.select(*kept, "ids").mapInArrow(run, schema)
+    return rows.select(*kept, "ids").mapInArrow(frugal(run), schema)
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

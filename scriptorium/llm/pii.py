@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, small_side, written
+from .common import bounded_batches, frugal, small_side, written
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -189,7 +189,7 @@ def found(docs: DataFrame, carry: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays([made[0], batch.column(0), *made[1:], *([batch.column(2)] if kept else [])], names + [f.name for f in kept])
 
     schema = FOUND + "".join(f", {f.name} {f.dataType.simpleString()}" for f in kept)
-    return written(source.mapInArrow(run, schema), "pii")
+    return written(source.mapInArrow(frugal(run), schema), "pii")
 
 
 def wilson(hits: Column, n: Column, z: float = 1.96) -> Column:
@@ -292,7 +292,7 @@ def masked(docs: DataFrame, **how) -> DataFrame:
                 cols["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(cols["n_chars"].type)
             yield pa.RecordBatch.from_arrays([cols[n] for n in names], names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(frugal(run), schema)
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

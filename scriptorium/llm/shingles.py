@@ -63,7 +63,7 @@ def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
-def blocks(texts: list, most: int = 1 << 20):
+def blocks(texts: list, most: int = 1 << 18):
     """Runs of ``texts`` of about ``most`` characters, as (from, to)."""
     at = 0
     while at < len(texts):

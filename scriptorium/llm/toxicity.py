@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytegrams import rolled
-from .common import bounded_batches, label_fold, unit_hash
+from .common import bounded_batches, frugal, label_fold, unit_hash
 
 BITS = 17  # of a bucket
 SIZES = range(3, 6)  # of the n-grams, in bytes, a word's two borders included
@@ -214,7 +214,7 @@ def scored(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Data
             p = 1 / (1 + np.exp(-np.clip(log_odds(model, batch.column(2).to_pylist()), -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32), pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long"), (label_fold() == 0).alias("held_out"), "text").mapInArrow(run, SCORED)
+    return docs.select(F.col("doc_id").cast("long"), (label_fold() == 0).alias("held_out"), "text").mapInArrow(frugal(run), SCORED)
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
@@ -228,7 +228,7 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(log_odds(model, batch.column(at).to_pylist()) < 0))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
