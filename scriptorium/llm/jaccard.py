@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, frugal, small_side, written
+from .common import bounded_batches, cleared, frugal, small_side, written
 from .components import components
 from .shingles import Powers, blocks, shingles, words
 
@@ -334,7 +334,9 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     row = F.xxhash64(number, "text")
     loose = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False))
     keys = written(docs.select(row.alias("row"), number.alias("of"), loose.alias("loose")), "rows")
-    found = written(linked(docs.select(row.alias("doc_id"), "text"), width, percent).select(F.col("doc_id").alias("row"), "component_id").distinct(), "components")
+    with cleared(docs.sparkSession) as made:
+        found = written(linked(docs.select(row.alias("doc_id"), "text"), width, percent).select(F.col("doc_id").alias("row"), "component_id").distinct(), "components")
+        made.pop()  # the last one, which stays
     several = written(found.filter("component_id <> row").select("component_id").distinct(), "several")
     members = found.join(small_side(several), "component_id").join(keys.select("row", "of").distinct(), "row")
     ranked = written(members.select("component_id", "row", F.struct(F.col("of").isNull().alias("none"), "of", "row").alias("rank")), "members")
