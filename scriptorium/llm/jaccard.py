@@ -8,9 +8,11 @@
    of each. Classes with the same prefix and size form one group, and groups are indexed by the
    shingles of their prefix.
 3. A prefix shingle with more than one member is a block. Blocks with equal members count once.
-   Groups that blocks connect are a family, and groups are expanded to members. A family is tested
-   as a whole or block by block, whichever sends fewer sets. Either is dealt in tiles of bounded size; in a tile all intersections are counted and only a spanning
-   forest of the links is emitted.
+   Groups that blocks connect are a family, and groups are expanded to members. A family is dealt in
+   tiles of bounded size, each member to one, with a few pivots in all of them; in a tile all
+   intersections are counted and only a spanning forest of the links is emitted. What is not in the
+   family's largest component then meets all the rest, as a whole or block by block, whichever sends
+   fewer sets.
 4. Components of the links, and then of the documents.
 
 No step emits the pairs of a block, and no pair that reaches the threshold is left untested.
@@ -34,6 +36,7 @@ WIDTH, PERCENT = 4, 85  # words of a shingle; the least intersection in percent
 SHINGLE_BITS, WORD_BITS = 20, 19  # of the tables of frequencies
 ENTRIES, CHUNK = (1 << SHINGLE_BITS) + (1 << WORD_BITS), 1 << 12  # of both; that travel together
 TILE_MEMBERS, TILE_SHINGLES = 512, 1 << 21  # of a chunk of a family or block, on average
+PIVOTS = 8  # of a family of several chunks
 COLUMNS = 4096  # of a matrix product
 EACH = 50  # shingles of a set for one more that its prefix has to share
 DENSE = 32  # a shingle of at least 1 / DENSE of a tile's members goes to the matrix product
@@ -241,29 +244,73 @@ def sharing(near: DataFrame, percent: int) -> DataFrame:
     return near.join(rich, "gid", "left_semi")
 
 
-def dealt(index: DataFrame, member: DataFrame) -> DataFrame:
-    """``by, key, i, j, sig, doc_id``: the members of each tile. ``index`` has ``token, gid`` of the
-    blocks, ``member`` has ``gid, sig, doc_id, n``; ``by`` says whether ``key`` is a family or a block.
+def dealt(index: DataFrame, member: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The first tiles, ``by, key, i, j, sig, doc_id``; ``gid, family, sig, doc_id, n`` of the members;
+    and ``family, k, m, sent`` of the families that have more than one tile. ``index`` has
+    ``token, gid`` of the blocks, ``member`` has ``gid, sig, doc_id, n``.
 
-    A family or block of k chunks has a tile for each two of them (and for each alone), so that any
-    two members meet in one. Its members are dealt to chunks by hash.
+    A family of k chunks has a tile for each. Its members are dealt to chunks by hash, each to one;
+    a few of them, the pivots, go to all chunks and tie these together.
     """
-    tie = index.groupBy("token").agg(F.min("gid").alias("v"))
+    tie = small_side(written(index.groupBy("token").agg(F.min("gid").alias("v")), "ties"))
     family = components(index.select("token", F.col("gid").alias("u")).join(tie, "token").select("u", "v"))
     grouped = index.select("gid").distinct().join(family, F.col("gid") == F.col("node"), "left").select("gid", F.coalesce("least", "gid").alias("family"))
     members = written(grouped.join(member, "gid"), "members")
+    sizes = members.groupBy("family").agg(F.count("*").alias("m"), chunks("n").alias("k")).filter("k > 1")
     sent = index.join(members.select("gid", "family"), "gid").groupBy("family").agg(F.count("*").alias("sent"))
-    size = members.groupBy("family").agg(F.count("*").alias("m"), F.sum("n").alias("total")).join(sent, "family")
-    k = F.greatest(F.ceil(F.col("m") / TILE_MEMBERS), F.ceil(F.col("total") / TILE_SHINGLES)).cast("int")
-    sizes = small_side(written(size.select("family", k.alias("k"), (k * F.col("m") <= F.col("sent")).alias("whole")), "families"))
-    sized = members.join(sizes, "family")
-    whole = sized.filter("whole").select(F.lit(0).alias("by"), F.col("family").alias("key"), "sig", "doc_id", "k")
-    large = sized.filter("NOT whole").select("gid", "sig", "doc_id", "n")
-    expanded = index.join(large, "gid")
-    block = expanded.groupBy("token").agg(F.greatest(F.ceil(F.count("*") / TILE_MEMBERS), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("k"))
-    parts = expanded.join(block, "token").select(F.lit(1).alias("by"), F.col("token").alias("key"), "sig", "doc_id", "k")
-    chunk = whole.unionAll(parts).withColumn("c", F.pmod(F.xxhash64("sig"), F.col("k")).cast("int"))
-    return chunk.select("by", "key", "sig", "doc_id", "c", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("d")).select("by", "key", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"), "sig", "doc_id")
+    large = small_side(written(sizes.join(sent, "family"), "large"))
+    chunk = members.join(large, "family", "left").select("family", "sig", "doc_id", F.coalesce("k", F.lit(1)).alias("k"))
+    at = F.pmod(F.xxhash64("sig"), F.col("k")).cast("int")
+    own = chunk.select(F.col("family").alias("key"), at.alias("i"), "sig", "doc_id")
+    mark = F.xxhash64("sig", F.lit(PIVOTS))
+    pivot = chunk.filter("k > 1").groupBy("family", "k", F.pmod(mark, F.lit(PIVOTS)).alias("s")).agg(F.min(F.struct(mark.alias("mark"), "sig", "doc_id")).alias("p"))
+    again = pivot.select("family", "p.*", "k", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("d")).filter(F.col("d") != at).select(F.col("family").alias("key"), F.col("d").alias("i"), "sig", "doc_id")
+    return own.unionByName(again).select(F.lit(0).alias("by"), "key", "i", F.col("i").alias("j"), "sig", "doc_id"), members, large
+
+
+def chunks(n: str):
+    """Chunks for the members of a group, of ``n`` shingles each."""
+    return F.greatest(F.ceil(F.count("*") / TILE_MEMBERS), F.ceil(F.sum(n) / TILE_SHINGLES)).cast("int")
+
+
+def remaining(index: DataFrame, members: DataFrame, large: DataFrame, part: DataFrame) -> DataFrame:
+    """The tiles for what the first ones left open in families of several chunks.
+
+    Members of one component need no further test among themselves. So each member outside its
+    family's largest component, the main one, has yet to meet all others; or, where that sends fewer
+    sets, the others of each of its blocks, outside that block's largest component. ``part`` has ``node, least`` of
+    the components so far.
+    """
+    some = members.join(large, "family").join(part, F.col("sig") == F.col("node"), "left")
+    open_ = written(some.select("gid", "family", "m", "sent", "sig", "doc_id", "n", F.coalesce("least", "sig").alias("label")), "open")
+    rest = with_main(open_.withColumnsRenamed({"family": "key"}).withColumn("by", F.lit(0))).filter("label <> main").groupBy("key", "m", "sent").agg(chunks("n").alias("k"))
+    todo = small_side(written(rest.select(F.col("key").alias("family"), (F.col("k") * F.col("m") <= F.col("sent")).alias("whole")), "todo"))
+    dealt_ = open_.join(todo, "family")
+    whole = dealt_.filter("whole").select(F.lit(0).alias("by"), F.col("family").alias("key"), "sig", "doc_id", "n", "label")
+    block = index.join(dealt_.filter("NOT whole"), "gid").select(F.lit(1).alias("by"), F.col("token").alias("key"), "sig", "doc_id", "n", "label")
+    flagged = written(with_main(whole.unionByName(block)).select("by", "key", "sig", "doc_id", "n", (F.col("label") != F.col("main")).alias("rest")), "flagged")
+    k = flagged.groupBy("by", "key", "rest").agg(chunks("n").alias("k")).groupBy("by", "key").agg(F.max(F.when(F.col("rest"), F.col("k"))).alias("kr"), F.max(F.when(~F.col("rest"), F.col("k"))).alias("km")).filter("kr IS NOT NULL")
+    rows = flagged.join(small_side(written(k, "chunks")), ["by", "key"]).withColumn("c", F.pmod(F.xxhash64("sig"), F.when(F.col("rest"), F.col("kr")).otherwise(F.col("km"))).cast("int"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("d")
+    main = rows.filter("NOT rest").select("by", "key", "sig", "doc_id", "c", upto("kr")).select("by", "key", F.col("d").alias("i"), (-1 - F.col("c")).alias("j"), "sig", "doc_id")
+    with_it = rows.filter("rest").select("by", "key", "sig", "doc_id", "c", upto("km")).select("by", "key", F.col("c").alias("i"), (-1 - F.col("d")).alias("j"), "sig", "doc_id")
+    each = rows.filter("rest").select("by", "key", "sig", "doc_id", "c", upto("kr")).filter("d <> c").select("by", "key", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"), "sig", "doc_id")
+    return main.unionByName(with_it).unionByName(each)
+
+
+def with_main(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``main``, the most frequent ``label`` of each ``by, key``."""
+    count = rows.groupBy("by", "key", "label").agg(F.count("*").alias("c"))
+    most = count.groupBy("by", "key").agg(F.max(F.struct("c", "label"))["label"].alias("main"))
+    return rows.join(small_side(written(most, "main")), ["by", "key"])
+
+
+def tested(docs: DataFrame, tiles: DataFrame, width: int, percent: int) -> DataFrame:
+    """``u, v`` of the links that ``tiles`` hold; the sets are made from the texts again."""
+    needed = small_side(written(tiles.select("doc_id").distinct(), "needed"))
+    held = sets(docs.join(needed, "doc_id", "left_semi"), width)
+    placed = held.join(small_side(tiles.drop("doc_id")), "sig").select("by", "key", "i", "j", "sig", "items")
+    return written(links(placed.repartition("by", "key", "i", "j").sortWithinPartitions("by", "key", "i", "j"), percent), "links")
 
 
 def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -294,26 +341,23 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
     shared = written(posted.groupBy("token").agg(F.sum("of").alias("m")).filter("m > 1").select("token"), "shared")
     hits = written(posted.select("token", "gid").join(small_side(shared), "token"), "hits")
     near = hits.join(leads.select("gid", "n", "of"), "gid")
-    for _ in range(2):  # what one round leaves out leaves others alone
-        near = written(compatible(near, percent), "near")
-        near = written(sharing(near, percent), "near")
+    near = written(compatible(near, percent), "near")
+    near = written(sharing(near, percent), "near")
     mark = F.xxhash64("gid")
     alike = near.groupBy("token").agg(F.count("*").alias("m"), F.bit_xor(mark).alias("x"), F.sum(mark % 2_147_483_647).alias("s"))
     chosen = written(alike.groupBy("m", "x", "s").agg(F.min("token").alias("token")).select("token"), "blocks")
     index = written(near.select("token", "gid").join(small_side(chosen), "token", "left_semi"), "block-groups")
-    tiles = written(dealt(index, heads.select("gid", "sig", "doc_id", "n").dropDuplicates(["sig"])), "tiles")
-
-    needed = small_side(written(tiles.select("doc_id").distinct(), "needed"))
-    held = sets(docs.join(needed, "doc_id", "left_semi"), width)
-    placed = held.join(small_side(tiles.drop("doc_id")), "sig").select("by", "key", "i", "j", "sig", "items")
-    edges = written(links(placed.repartition("by", "key", "i", "j").sortWithinPartitions("by", "key", "i", "j"), percent), "links")
+    tiles, members, large = dealt(index, heads.select("gid", "sig", "doc_id", "n").dropDuplicates(["sig"]))
+    part = written(components(tested(docs, written(tiles, "tiles"), width, percent)), "parts")
+    if not large.isEmpty():
+        more = tested(docs, written(remaining(index, members, large, part), "tiles"), width, percent)
+        part = components(part.select(F.col("node").alias("u"), F.col("least").alias("v")).unionAll(more))
     nameless = every.filter("doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return labelled(rows, classes, edges).unionByName(nameless)
+    return labelled(rows, classes, part).unionByName(nameless)
 
 
-def labelled(rows: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
+def labelled(rows: DataFrame, classes: DataFrame, part: DataFrame) -> DataFrame:
     """Components of the classes that have links or copies; all other rows are alone."""
-    part = components(edges)
     known = classes.join(part, classes["sig"] == part["node"], "left").select("sig", "rep", "of", "least")
     named = written(known.filter("least IS NOT NULL OR of > 1"), "named")
     roots = named.filter("least IS NOT NULL").groupBy("least").agg(F.min("rep").alias("component"))

@@ -44,8 +44,12 @@ def test_documents_match_all_pairs(small, width, percent):
     assert result(jaccard.linked(small, width, percent)) == brute(rows, width, percent)
 
 
-def test_families_of_edited_copies(spark):
-    """Chains, groups at the threshold, shared passages and more members than a tile holds."""
+@pytest.mark.parametrize("tile,pivots", [(512, 8), (3, 1), (2, 8)])
+def test_families_of_edited_copies(spark, monkeypatch, tile, pivots):
+    """Chains, groups at the threshold, shared passages and more members than a tile holds, so that
+    much is left open by the first tiles."""
+    monkeypatch.setattr(jaccard, "TILE_MEMBERS", tile)
+    monkeypatch.setattr(jaccard, "PIVOTS", pivots)
     rng = random.Random(5)
     vocabulary = [f"w{k}" for k in range(3000)]
     passage = rng.choices(vocabulary, k=60)
