@@ -43,20 +43,30 @@ def cleared(spark: SparkSession):
     try:
         yield made
     finally:
-        _SCOPES.remove(made)
+        _SCOPES[:] = [scope for scope in _SCOPES if scope is not made]
         for path in made:
             place = spark._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+#: Spark deletes a query's shuffle files when it ends, not when the driver collects garbage.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back: its lineage ends there, so a
-    lost executor costs the reader nothing."""
+    lost executor costs the reader nothing. The shuffle files of the write go with it, as nothing
+    reads them again; the session's own setting holds for all other queries."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     for scope in _SCOPES:
         scope.append(path)
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLES_GO, None)
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(SHUFFLES_GO) if before is None else spark.conf.set(SHUFFLES_GO, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import cleared, written
 
 
 def _star(both: DataFrame, large: bool) -> DataFrame:
@@ -21,17 +21,19 @@ def _star(both: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``node, least``: for each node of ``edges`` (``u, v`` of any ordered type) the least node of
     its component. Each round's edges are a table in the shared folder; it ends when a round
-    changes nothing."""
-    now = written(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = None
-    for _ in range(rounds):
-        both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = written(_star(both, True), "large-star")
-        now = written(_star(large, False), "small-star")
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 999_983)).first()
-        if mark == before:
-            break
-        before = mark
-    else:
-        raise RuntimeError("the components did not settle")
+    changes nothing, and only the last table stays."""
+    with cleared(edges.sparkSession) as made:
+        now = written(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        before = None
+        for _ in range(rounds):
+            both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            large = written(_star(both, True), "large-star")
+            now = written(_star(large, False), "small-star")
+            mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 999_983)).first()
+            if mark == before:
+                break
+            before = mark
+        else:
+            raise RuntimeError("the components did not settle")
+        made.pop()  # the last round's, which stays
     return now.select(F.col("u").alias("node"), F.col("v").alias("least")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("least")).distinct())

@@ -241,6 +241,19 @@ def sharing(near: DataFrame, percent: int) -> DataFrame:
     return near.join(rich, "gid", "left_semi")
 
 
+def pruned(leads: DataFrame, percent: int) -> DataFrame:
+    """``token, gid, n, of``: a table of the blocks of ``gid, n, of, tokens``, without the groups that
+    cannot reach a partner in them."""
+    posted = leads.select("gid", "of", F.explode("tokens").alias("token"))
+    shared = written(posted.groupBy("token").agg(F.sum("of").alias("m")).filter("m > 1").select("token"), "shared")
+    hits = written(posted.select("token", "gid").join(small_side(shared), "token"), "hits")
+    near = hits.join(leads.select("gid", "n", "of"), "gid")
+    for _ in range(2):  # what one round leaves out leaves others alone
+        near = written(compatible(near, percent), "near")
+        near = written(sharing(near, percent), "near")
+    return near
+
+
 def dealt(index: DataFrame, member: DataFrame) -> DataFrame:
     """``by, key, i, j, sig, doc_id``: the members of each tile. ``index`` has ``token, gid`` of the
     blocks, ``member`` has ``gid, sig, doc_id, n``; ``by`` says whether ``key`` is a family or a block.
@@ -266,22 +279,10 @@ def dealt(index: DataFrame, member: DataFrame) -> DataFrame:
     return chunk.select("by", "key", "sig", "doc_id", "c", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("d")).select("by", "key", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"), "sig", "doc_id")
 
 
-def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for each row of ``docs``.
-
-    Null and empty texts and texts of white space have no shingles and stay alone. Rows with a null
-    ``doc_id`` have the size of their set, a null component and no link. Rows that repeat are each
-    returned. Other columns are ignored.
-    """
-    spark = docs.sparkSession
-    table = facts(docs, width)
-    every = table.filter("chunk IS NULL").select("doc_id", "n", "sig")
-    rows = every.filter("doc_id IS NOT NULL")
-    classes = written(rows.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("of")), "classes")
-    copies = classes.filter("of > 1").select("sig", "rep")
-    others = written(rows.join(small_side(copies), "sig").filter("doc_id <> rep").select("doc_id", "sig").distinct(), "copies")
-
-    order = spark.sparkContext.broadcast(frequencies(table))
+def joined(docs: DataFrame, table: DataFrame, rows: DataFrame, others: DataFrame, width: int, percent: int) -> DataFrame:
+    """``u, v``: a table of links between classes, whose components are those of all links. ``rows``
+    are the rows of ``table`` with a ``doc_id``, ``others`` those that an equal set stands for."""
+    order = docs.sparkSession.sparkContext.broadcast(frequencies(table))
     heads = written(indexed(docs.filter("doc_id IS NOT NULL"), order, width, percent).join(small_side(others), ["doc_id", "sig"], "left_anti"), "prefixes")
     same = written(rows.filter("sig IS NOT NULL").groupBy("doc_id", "sig").agg(F.count("*").alias("times")).filter("times > 1").select("doc_id", "sig"), "same")
     if not same.isEmpty():  # a row for each, as joins by group would pair the repeated ones
@@ -290,13 +291,9 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
         heads = written(heads.join(held, ["doc_id", "sig"], "left_anti").unionByName(once), "prefixes")
     groups = small_side(written(heads.groupBy("gid").agg(F.min("sig").alias("lead"), F.countDistinct("sig").alias("of")).filter("of > 1"), "groups"))
     leads = heads.join(groups, "gid", "left").filter("lead IS NULL OR lead = sig").select("gid", "n", F.coalesce("of", F.lit(1)).cast("int").alias("of"), "tokens")
-    posted = leads.select("gid", "of", F.explode("tokens").alias("token"))
-    shared = written(posted.groupBy("token").agg(F.sum("of").alias("m")).filter("m > 1").select("token"), "shared")
-    hits = written(posted.select("token", "gid").join(small_side(shared), "token"), "hits")
-    near = hits.join(leads.select("gid", "n", "of"), "gid")
-    for _ in range(2):  # what one round leaves out leaves others alone
-        near = written(compatible(near, percent), "near")
-        near = written(sharing(near, percent), "near")
+    with cleared(docs.sparkSession) as made:
+        near = pruned(leads, percent)
+        made.pop()  # the pruned blocks, which stay
     mark = F.xxhash64("gid")
     alike = near.groupBy("token").agg(F.count("*").alias("m"), F.bit_xor(mark).alias("x"), F.sum(mark % 2_147_483_647).alias("s"))
     chosen = written(alike.groupBy("m", "x", "s").agg(F.min("token").alias("token")).select("token"), "blocks")
@@ -306,7 +303,27 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
     needed = small_side(written(tiles.select("doc_id").distinct(), "needed"))
     held = sets(docs.join(needed, "doc_id", "left_semi"), width)
     placed = held.join(small_side(tiles.drop("doc_id")), "sig").select("by", "key", "i", "j", "sig", "items")
-    edges = written(links(placed.repartition("by", "key", "i", "j").sortWithinPartitions("by", "key", "i", "j"), percent), "links")
+    return written(links(placed.repartition("by", "key", "i", "j").sortWithinPartitions("by", "key", "i", "j"), percent), "links")
+
+
+def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for each row of ``docs``.
+
+    Null and empty texts and texts of white space have no shingles and stay alone. Rows with a null
+    ``doc_id`` have the size of their set, a null component and no link. Rows that repeat are each
+    returned. Other columns are ignored.
+    """
+    spark = docs.sparkSession
+    table = facts(docs, width)
+    every = table.filter("chunk IS NULL").select("doc_id", "n", "sig")
+    rows = every.filter("doc_id IS NOT NULL")
+    classes = written(rows.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("of")), "classes")
+    copies = classes.filter("of > 1").select("sig", "rep")
+    others = written(rows.join(small_side(copies), "sig").filter("doc_id <> rep").select("doc_id", "sig").distinct(), "copies")
+
+    with cleared(spark) as made:
+        edges = joined(docs, table, rows, others, width, percent)
+        made.pop()  # the links, which stay
     nameless = every.filter("doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return labelled(rows, classes, edges).unionByName(nameless)
 
