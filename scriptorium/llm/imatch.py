@@ -17,8 +17,8 @@ from .common import small_side, written
 #: terms on average, at most N D / (N / 250) = 250 D terms lie in it, whatever N is. The lexicon is
 #: broadcast where it is as small as that and else joined by a shuffle.
 LEAST, MOST = 0.004, 0.10
-#: Subset k holds each term with probability 1 / 2 ** DEPTHS[k].
-DEPTHS = (3, 4, 5, 6, 7, 8, 9, 10) * 4
+#: Subset k holds each term with probability 1 / 2 ** DEPTHS[k]; the first one holds all, so every term counts.
+DEPTHS = (0, *(3, 4, 5, 6, 7, 8, 9, 10) * 4)
 RANGES = 1024  # of ids at most
 
 
