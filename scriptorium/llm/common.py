@@ -3,35 +3,21 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.session import shared_dir
+
 #: Rows up to which a narrow table (a few numbers a row) may be broadcast.
 BROADCAST_ROWS = 200_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only a local session without that setting gets a temporary folder of its own; elsewhere a
-    missing setting is an error, as no other folder is known to be shared.
-    """
-    context = spark.sparkContext
-    place = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if place:
-        return place.rstrip("/")
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="scriptorium-"))
-    return context.getCheckpointDir()
-
-
-_SCOPES: list[list[str]] = []
+#: The open scopes of this thread or task; operators in other threads have their own.
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 @contextmanager
@@ -39,14 +25,19 @@ def cleared(spark: SparkSession):
     """Deletes the tables that :func:`written` makes inside the block when it ends, but for those that
     are taken out of the list it gives: what outlives the block has to be written and taken out."""
     made: list[str] = []
-    _SCOPES.append(made)
+    token = _SCOPES.set((*_SCOPES.get(), made))
     try:
         yield made
     finally:
-        _SCOPES[:] = [scope for scope in _SCOPES if scope is not made]
+        _SCOPES.reset(token)
         for path in made:
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            discarded(spark, path)
+
+
+def discarded(spark: SparkSession, path: str) -> None:
+    """Deletes a table of :func:`written` that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 #: Spark deletes a query's shuffle files when it ends, not when the driver collects garbage.
@@ -59,7 +50,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     reads them again; the session's own setting holds for all other queries."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    for scope in _SCOPES:
+    for scope in _SCOPES.get():
         scope.append(path)
     before = spark.conf.get(SHUFFLES_GO, None)
     spark.conf.set(SHUFFLES_GO, "true")

@@ -317,15 +317,17 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
     table = facts(docs, width)
     every = table.filter("chunk IS NULL").select("doc_id", "n", "sig")
     rows = every.filter("doc_id IS NOT NULL")
-    classes = written(rows.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("of")), "classes")
-    copies = classes.filter("of > 1").select("sig", "rep")
-    others = written(rows.join(small_side(copies), "sig").filter("doc_id <> rep").select("doc_id", "sig").distinct(), "copies")
-
     with cleared(spark) as made:
-        edges = joined(docs, table, rows, others, width, percent)
-        made.pop()  # the links, which stay
+        classes = written(rows.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("of")), "classes")
+        copies = classes.filter("of > 1").select("sig", "rep")
+        others = written(rows.join(small_side(copies), "sig").filter("doc_id <> rep").select("doc_id", "sig").distinct(), "copies")
+        with cleared(spark) as inner:
+            edges = joined(docs, table, rows, others, width, percent)
+            inner.pop()  # the links, which stay
+        out = labelled(rows, classes, edges)
+        made.pop()  # the labels, which stay as the facts do: the rows that are returned read both
     nameless = every.filter("doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return labelled(rows, classes, edges).unionByName(nameless)
+    return out.unionByName(nameless)
 
 
 def labelled(rows: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -350,18 +352,20 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     names, number = docs.columns, F.col("doc_id").cast("long")
     row = F.xxhash64(number, "text")
     loose = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False))
-    keys = written(docs.select(row.alias("row"), number.alias("of"), loose.alias("loose")), "rows")
     with cleared(docs.sparkSession) as made:
-        found = written(linked(docs.select(row.alias("doc_id"), "text"), width, percent).select(F.col("doc_id").alias("row"), "component_id").distinct(), "components")
-        made.pop()  # the last one, which stays
-    several = written(found.filter("component_id <> row").select("component_id").distinct(), "several")
-    members = found.join(small_side(several), "component_id").join(keys.select("row", "of").distinct(), "row")
-    ranked = written(members.select("component_id", "row", F.struct(F.col("of").isNull().alias("none"), "of", "row").alias("rank")), "members")
-    first = written(ranked.groupBy("component_id").agg(F.min("rank").alias("first")).select("component_id", F.col("first.row").alias("first")), "firsts")
-    gone = written(ranked.join(small_side(first), "component_id").filter("row <> first").select("row"), "gone")
+        keys = written(docs.select(row.alias("row"), number.alias("of"), loose.alias("loose")), "rows")
+        with cleared(docs.sparkSession) as inner:
+            found = written(linked(docs.select(row.alias("doc_id"), "text"), width, percent).select(F.col("doc_id").alias("row"), "component_id").distinct(), "components")
+            inner.pop()  # the last one, which stays
+        several = written(found.filter("component_id <> row").select("component_id").distinct(), "several")
+        members = found.join(small_side(several), "component_id").join(keys.select("row", "of").distinct(), "row")
+        ranked = written(members.select("component_id", "row", F.struct(F.col("of").isNull().alias("none"), "of", "row").alias("rank")), "members")
+        first = written(ranked.groupBy("component_id").agg(F.min("rank").alias("first")).select("component_id", F.col("first.row").alias("first")), "firsts")
+        gone = written(ranked.join(small_side(first), "component_id").filter("row <> first").select("row"), "gone")
+        again = written(keys.filter("NOT loose").groupBy("row").agg(F.count("*").alias("times")).filter("times > 1").select("row"), "repeated")
+        del made[-2:]  # the rows that go and those that repeat, a number each, stay: what is returned reads them
     marked = docs.select(F.struct(*names).alias("doc"), row.alias("row"))
     kept = marked.join(small_side(gone), "row", "left_anti")
-    again = written(keys.filter("NOT loose").groupBy("row").agg(F.count("*").alias("times")).filter("times > 1").select("row"), "repeated")
     if again.isEmpty():
         return kept.select("doc.*")
     once = kept.join(small_side(again), "row", "left_semi").groupBy("row").agg(F.min_by("doc", F.to_json("doc")).alias("doc"))

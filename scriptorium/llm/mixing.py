@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import small_side, unit_hash, written
+from .common import cleared, small_side, unit_hash, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -65,12 +65,20 @@ def planned(docs: DataFrame, seed: str = "mix", **how) -> DataFrame:
 
 
 def mixed(docs: DataFrame, seed: str = "mix", **how) -> DataFrame:
-    """The mix itself: the columns of ``docs``, each row as often as the mix takes it."""
-    sized = written(docs.select("source", word_count().alias("size")).groupBy("source").agg(F.sum("size").alias("size")), "sizes")
-    targets = written(source_targets(sized, **how), "targets")
-    rates = small_side(targets.select(F.col("source").alias("__of"), F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)).alias("__rate")))
-    taken = docs.join(rates, docs["source"].eqNullSafe(F.col("__of"))).withColumn("__n", copies(F.col("__rate"), seed).cast("int"))
-    return taken.filter("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*[taken[c] for c in docs.columns])
+    """The mix itself: the columns of ``docs``, each row as often as the mix takes it.
+
+    Rows are counted and drawn as in :func:`planned`: those without words count 0 but are drawn at
+    their source's rate, null is a source of its own, repeated rows share their draw, an empty table
+    gives an empty table, and further columns, whatever their names, come back as they are.
+    """
+    with cleared(docs.sparkSession) as made:
+        sized = written(docs.select("source", word_count().alias("size")).groupBy("source").agg(F.sum("size").alias("size")), "sizes")
+        targets = written(source_targets(sized, **how), "targets")
+        made.pop()  # a row per source, which the rows that are returned read
+    rates = small_side(targets.select(F.col("source").alias("of"), F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)).alias("rate")))
+    rows = docs.select("doc_id", "source", F.struct(*docs.columns).alias("doc"))
+    taken = rows.join(rates, rows["source"].eqNullSafe(F.col("of"))).select("doc", copies(F.col("rate"), seed).cast("int").alias("n")).filter("n > 0")
+    return taken.select("doc", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy")).select("doc.*")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, frugal, small_side, written
+from .common import BROADCAST_ROWS, bounded_batches, cleared, frugal, small_side, written
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -32,7 +32,7 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-#: Rounds end when the confident instances stay the same; this many without that are an error.
+#: Rounds end when the confident instances are those of an earlier round, or after this many.
 ROUNDS = 40
 #: A pattern needs this lower bound (95 %) of its share of instances of a kind, and has to close at
 #: least half the way from the kind's share of the instances without the pattern to 1.
@@ -217,7 +217,7 @@ def discovered(table: DataFrame, rounds: int = ROUNDS, sure: float = SURE, confi
     seeds = [F.count_if(F.col("kind") == k).cast("double").alias(f"s{k}") for k in ks]
     forms = written(nodes.groupBy("form").agg(F.count("*").cast("double").alias("m"), *seeds), "pii-forms")
     total = forms.agg(F.coalesce(F.sum("m"), F.lit(0.0)).alias("m"), *[F.coalesce(F.sum(f"s{k}"), F.lit(0.0)).alias(f"s{k}") for k in ks]).first()
-    believed = before = None
+    believed, marks = None, set()
     for step in range(rounds):
         if believed is not None:
             weighed = edges.join(small_side(believed), "instance", "left")
@@ -243,11 +243,21 @@ def discovered(table: DataFrame, rounds: int = ROUNDS, sure: float = SURE, confi
         rated = weight.select("instance", "k", (odds / (1 + odds)).alias("conf"))
         believed = written(rated.groupBy("instance").agg(F.max(F.struct("conf", (-F.col("k")).alias("of"))).alias("m")).select("instance", (-F.col("m.of")).cast("int").alias("k"), "m.conf"), f"pii-believed{step}")
         sure_ones = believed.filter(F.col("conf") >= confident)
-        mark = sure_ones.agg(F.count("*"), F.sum(F.xxhash64("instance", "k") % 1_000_003)).first()
-        if mark == before:
-            return sure_ones.select("instance", "k")
-        before = mark
-    raise RuntimeError("the confident instances did not settle")
+        mark = tuple(sure_ones.agg(F.count("*"), F.sum(F.xxhash64("instance", "k") % 1_000_003)).first())
+        if mark in marks:  # the same, or one of a few states that would alternate for ever
+            break
+        marks.add(mark)
+    return sure_ones.select("instance", "k")
+
+
+def settled(table: DataFrame, **how) -> DataFrame | None:
+    """:func:`discovered` as a table of its own; the tables of its rounds are deleted."""
+    with cleared(table.sparkSession) as made:
+        more = discovered(table, **how)
+        if more is not None:
+            more = written(more, "pii-discovered")
+            made.pop()
+    return more
 
 
 def with_spans(docs: DataFrame, carry: bool = False, **how) -> DataFrame:
@@ -255,11 +265,11 @@ def with_spans(docs: DataFrame, carry: bool = False, **how) -> DataFrame:
     instances, ordered by start and then kind. Null and empty texts have none, repeated rows are each
     returned, and no rows give none."""
     table = found(docs, carry)
-    more = discovered(table, **how)
+    more = settled(table, **how)
     if more is None:
         return table.withColumn("all", F.col("base"))
     seen = table.select("row_id", F.explode("seen").alias("o")).select("row_id", "o.*").filter("kind IS NULL")
-    extra = seen.join(small_side(written(more, "pii-found")), "instance").groupBy("row_id").agg(F.collect_list(F.struct("start", "k", "end")).alias("extra"))
+    extra = seen.join(small_side(more), "instance").groupBy("row_id").agg(F.collect_list(F.struct("start", "k", "end")).alias("extra"))
     return table.join(extra, "row_id", "left").withColumn("all", F.array_sort(F.concat("base", F.coalesce("extra", F.expr(f"cast(array() as array<{SPAN}>)"))))).drop("extra")
 
 
@@ -268,30 +278,54 @@ def span_text(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kind, s["k"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def masked(docs: DataFrame, **how) -> DataFrame:
+def hidden(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """``text`` with its spans, ordered by start, replaced by their kinds; of overlapping ones the first."""
+    parts, at = [], 0
+    for a, k, b in spans:
+        if b > at:
+            parts += [text[at:a], f"<{KINDS[k]}>"]
+            at = b
+    return "".join([*parts, text[at:]])
+
+
+def masked(docs: DataFrame, most: int = BROADCAST_ROWS, **how) -> DataFrame:
     """The rows and columns of ``docs`` with every span of personal data replaced by its kind in
-    angle brackets; ``n_chars``, where there is one, counts the new text. Null texts stay null."""
-    bounded_batches(docs.sparkSession)
-    rows = with_spans(docs, True, **how).select("doc", F.col("all").alias("spans"))
-    names, schema = docs.columns, docs.schema
+    angle brackets; ``n_chars``, where there is one, counts the new text. Null texts stay null, repeated
+    rows are each returned, and no rows give none.
+
+    Up to ``most`` discovered instances travel with the tasks, which look the texts' strings up, and
+    no table stays; more are joined to the spans of a table that carries the rows.
+    """
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    names, schema, known = docs.columns, docs.schema, {}
+    with cleared(spark):
+        more = settled(found(docs), **how)
+        if more is not None:
+            few = more.limit(most + 1).collect()
+            known = {r["instance"]: r["k"] for r in few} if len(few) <= most else None
+    looked_up = known is not None
+    shared = spark.sparkContext.broadcast(known or {})
+
+    def spans_of(text: str) -> list[tuple[int, int, int]]:
+        base = base_spans(text)
+        if not shared.value:
+            return base
+        strings = ((a, shared.value.get(named(text[a:b].lower())), b) for a, b in candidates(text, base))
+        return sorted(base + [x for x in strings if x[1] is not None])
 
     def run(batches):
         for batch in batches:
-            doc = batch.column(0)
-            cols = dict(zip(names, doc.flatten()))
-            texts = []
-            for text, spans in zip(cols["text"].to_pylist(), batch.column(1).to_pylist()):
-                parts, at = [], 0
-                for s in spans if text else ():
-                    if s["end"] > at:
-                        parts += [text[at : s["start"]], f"<{KINDS[s['k']]}>"]
-                        at = s["end"]
-                texts.append("".join([*parts, text[at:]]) if text else text)
+            cols = dict(zip(names, batch.columns if looked_up else batch.column(0).flatten()))
+            held = cols["text"].to_pylist()
+            spans = map(spans_of, (t or "" for t in held)) if looked_up else ([(s["start"], s["k"], s["end"]) for s in x] for x in batch.column(1).to_pylist())
+            texts = [text and hidden(text, x) for text, x in zip(held, spans)]
             cols["text"] = pa.array(texts, pa.string())
             if "n_chars" in cols:
                 cols["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(cols["n_chars"].type)
             yield pa.RecordBatch.from_arrays([cols[n] for n in names], names)
 
+    rows = docs if looked_up else with_spans(docs, True, **how).select("doc", F.col("all").alias("spans"))
     return rows.mapInArrow(frugal(run), schema)
 
 
