@@ -8,8 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import jaccard, lattice, mixing, pii, toxicity
-from scriptorium.llm.common import written
+import scriptorium.llm.jaccard as jaccard
+import scriptorium.llm.lattice as lattice
+import scriptorium.llm.mixing as mixing
+import scriptorium.llm.pii as pii
+import scriptorium.llm.toxicity as toxicity
+from scriptorium.llm.common import cleared, discarded, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,10 +57,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``. A stage's tables go when its output is written, and that goes
+    when the next stage's is; the last stage's input stays for the rows that are returned."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        with cleared(spark) as made:
+            docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+            after = made.pop()
+        if before:
+            discarded(spark, before)
+        before = after
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
