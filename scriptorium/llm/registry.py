@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import imatch, jaccard, langid, lattice, mixing, packing, pii, png, toxicity, warc
+from . import codes, forest, imatch, jaccard, langid, lattice, mixing, packing, pii, png, resampling, toxicity, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_packing": packing.op9_packing,
     "op10_warc": warc.op10_warc,
+    "op11_resampling": resampling.op11_resampling,
+    "op12_vector_codes": codes.op12_vector_codes,
+    "op13_neighbours": forest.op13_neighbours,
 }
-ORACLE = {**mixing.ORACLE, **warc.ORACLE}
+ORACLE = {**mixing.ORACLE, **warc.ORACLE, **resampling.ORACLE, **codes.ORACLE}
