@@ -7,11 +7,15 @@ of spans. Denominators are words unless said otherwise; texts without words have
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from scriptorium.functions import text as T
+
 # Tags of content words, the measured symbols in order, bins.
 CONTENT = ("NOUN", "PROPN", "VERB", "ADJ", "ADV")
 SYMBOLS = (".", ",", ":", ";", "!", "?", '"', "'", "(", ")", "-", "–", "—", "…", "/", "\\")
@@ -127,7 +131,7 @@ def prepositions(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
         nexts = tokens.select("doc_id", "pos", *[F.lead("itext", k).over(w).alias(f"g{k}") for k in range(max(sizes))])
         runs = [F.when(F.col(f"g{n - 1}").isNotNull(), F.struct(F.lit(n).alias("n"), F.concat_ws(" ", *[f"g{k}" for k in range(n)]).alias("prep"))) for n in sizes]
         spans = nexts.select("doc_id", "pos", F.explode(F.filter(F.array(*runs), lambda r: r.isNotNull())).alias("r")).select("doc_id", "pos", "r.n", "r.prep")
-        hits = spans.join(F.broadcast(many.select("prep", "ord", "imag")), "prep").select("doc_id", "pos", "n", "ord", F.col("imag").alias("value"))
+        hits = spans.join(_few(many.select("prep", "ord", "imag")), "prep").select("doc_id", "pos", "n", "ord", F.col("imag").alias("value"))
 
     def first_pass(frame: pd.DataFrame) -> pd.DataFrame:
         used, kept = set(), []
@@ -147,7 +151,7 @@ def prepositions(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
     for r in reversed(patterns):
         found = F.when(F.col("itext").rlike(r["prep"]), F.lit(float(r["imag"]))).otherwise(found)
     rest = free.withColumn("by_pattern", found)
-    single = F.broadcast(lexicon.filter("n_words = 1 AND is_regex = 0").select("prep", "imag", "pos_adp", "pos_nonadp"))
+    single = _few(lexicon.filter("n_words = 1 AND is_regex = 0").select("prep", "imag", "pos_adp", "pos_nonadp"))
     named = lambda s: single.select(F.col("prep").alias(s), F.struct("imag", "pos_adp", "pos_nonadp").alias(f"{s}_v"))
     both = rest.join(named("itext"), "itext", "left").join(named("lemma"), "lemma", "left")
     v = F.coalesce("itext_v", "lemma_v")
@@ -157,8 +161,9 @@ def prepositions(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 
 def imageability(values: DataFrame, totals: DataFrame, bins: int = VALUE_BINS) -> DataFrame:
-    """FEA27: ``doc_id, bin, share, mean`` of matched values out of the words."""
-    mean = values.groupBy("doc_id").agg(F.avg("value").alias("mean"))
+    """FEA27: ``doc_id, bin, share, mean`` of matched values out of the words. The mean is that of exact
+    decimals, so that it doesn't hang on the order of a sum."""
+    mean = values.groupBy("doc_id").agg((F.sum(F.col("value").cast("decimal(20,10)")) / F.count("value")).cast("double").alias("mean"))
     binned = values.groupBy("doc_id", F.least(F.floor(F.col("value") * bins), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("c"))
     return binned.join(mean, "doc_id").join(totals, "doc_id").select("doc_id", "bin", F.coalesce(F.try_divide(F.col("c").cast("double"), F.col("n")), F.lit(0.0)).alias("share"), "mean")
 
@@ -186,12 +191,74 @@ def preposition_lexicon(raw: DataFrame) -> DataFrame:
     return joined.select(name.alias("prep"), "imag", "is_regex", F.when(name.isin("outside", "on", "to"), F.col("imag")).alias("pos_adp"), F.when(name == "on", F.col("adv")).when(name == "to", F.col("inf")).alias("pos_nonadp"), F.size(F.split(F.trim(name), r"\s+")).alias("n_words"))
 
 
-def char_ngram_shares(docs: DataFrame, selected: DataFrame, low: int = 2, high: int = 5) -> DataFrame:
+def char_ngram_shares(docs: DataFrame, selected: DataFrame, low: int = 2, high: int = 5, most: int = 100_000) -> DataFrame:
     """FEA2: ``doc_id, gram, share``: occurrences of selected character n-grams of the folded text, out of
-    all its n-grams. A text's n-grams are counted inside its task; only selected ones are shuffled."""
-    from scriptorium.functions import text as T
+    all its n-grams. Totals come from the texts' lengths and are joined to the counts. Rows that share a
+    ``doc_id`` are one text; null texts and texts without n-grams have no rows.
 
-    chars = docs.select("doc_id", T.characters(T.casefolded(F.col("text"))).alias("c"))
-    total = sum((F.greatest(F.size("c") - n + 1, F.lit(0)) for n in range(low + 1, high + 1)), F.greatest(F.size("c") - low + 1, F.lit(0)))
-    grams = chars.select("doc_id", total.alias("total"), F.explode(T.array_ngrams(F.col("c"), low, high)).alias("gram")).join(selected.select("gram").distinct(), "gram")
-    return grams.groupBy("doc_id", "total", "gram").agg(F.count("*").alias("n")).select("doc_id", "gram", (F.col("n") / F.col("total")).alias("share"))
+    Up to ``most`` selected n-grams travel with the tasks, which count them in numpy; more are joined.
+    """
+    folded = docs.select("doc_id", T.casefolded(F.col("text")).alias("t"))
+    length = F.length("t")
+    totals = folded.groupBy("doc_id").agg(F.sum(sum((F.greatest(length - n + 1, F.lit(0)) for n in range(low, high + 1)), F.lit(0))).alias("total"))
+    chosen = selected.select("gram").filter(F.length("gram").between(low, high)).distinct()
+    few = sorted(r["gram"] for r in chosen.limit(most + 1).collect())
+    alphabet = sorted(set("".join(few)))
+    if len(few) <= most and (len(alphabet) + 1) ** high < 1 << 63:
+        counts = folded.select(F.col("doc_id").cast("long"), "t").mapInArrow(_gram_counter(few, alphabet, low, high), "doc_id long, gram string, n long")
+    else:
+        chars = folded.select("doc_id", T.characters(F.col("t")).alias("c"))
+        counts = chars.select("doc_id", F.explode(T.array_ngrams(F.col("c"), low, high)).alias("gram")).join(chosen, "gram").withColumn("n", F.lit(1))
+    summed = counts.groupBy("doc_id", "gram").agg(F.sum("n").alias("n"))
+    return summed.join(totals, "doc_id").select("doc_id", "gram", (F.col("n") / F.col("total")).alias("share"))
+
+
+def _gram_counter(grams: list[str], alphabet: list[str], low: int, high: int, block: int = 1 << 20):
+    """Counts of ``grams`` by text, for mapInArrow. An n-gram is a number whose digits are places in the
+    alphabet; 0 stands for all other characters, and so for what separates two texts."""
+    base = len(alphabet) + 1
+    letters = np.array([ord(c) for c in alphabet], np.uint32)
+    number = {n: np.array([sum((alphabet.index(c) + 1) * base ** (n - 1 - k) for k, c in enumerate(g)) for g in grams if len(g) == n], np.int64) for n in range(low, high + 1)}
+    name = {n: np.array([g for g in grams if len(g) == n], object) for n in number}
+
+    def counted(ids, texts):
+        raw = np.frombuffer("\0".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+        owner = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])[: len(raw)]
+        at = np.minimum(np.searchsorted(letters, raw), len(letters) - 1)
+        digit = np.where(letters[at] == raw, at + 1, 0)
+        ends = np.append(np.flatnonzero(np.diff(owner)), len(raw))
+        digit[ends[:-1]] = 0  # what separates the texts
+        for n in number:
+            if len(raw) < n or not len(number[n]):
+                continue
+            value, whole = np.zeros(len(raw) - n + 1, np.int64), np.ones(len(raw) - n + 1, bool)
+            for k in range(n):
+                part = digit[k : len(raw) - n + 1 + k]
+                value, whole = value * base + part, whole & (part > 0)
+            order = np.argsort(number[n])
+            place = np.minimum(np.searchsorted(number[n][order], value), len(order) - 1)
+            hit = whole & (number[n][order][place] == value)
+            key, times = np.unique(owner[: len(value)][hit] * len(order) + order[place[hit]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in key // len(order)], pa.int64()), pa.array(name[n][key % len(order)], pa.string()), pa.array(times, pa.int64())], ["doc_id", "gram", "n"])
+
+    def run(batches):
+        for batch in batches:
+            ids, texts, held = [], [], 0
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                t = t.as_py() or ""
+                if letters.size and len(t) >= low:
+                    ids.append(i)
+                    texts.append(t)
+                    held += len(t)
+                if held >= block:
+                    yield from counted(ids, texts)
+                    ids, texts, held = [], [], 0
+            if texts:
+                yield from counted(ids, texts)
+
+    return run
+
+
+def _few(lexicon: DataFrame, most: int = 100_000) -> DataFrame:
+    """A caller's lexicon, marked for broadcast if it has at most ``most`` entries."""
+    return F.broadcast(lexicon) if lexicon.limit(most + 1).count() <= most else lexicon

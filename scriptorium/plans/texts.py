@@ -100,11 +100,17 @@ def cln9b(spark, sf):
     return C.removed_lines(docs(spark, sf)).select("doc_id", F.array_join("removed", ",").alias("removed"))
 
 
-@query("cln4_short_bypass", "SELECT doc_id, length(text) < 10 AS unchanged FROM (SELECT doc_id, substr(text, 1, CAST(doc_id % 20 AS INTEGER)) AS text FROM documents) WHERE length(trim(text)) < 10")
+# Every line of the documents as a text of its own: the line splitting of BEFORE and CLEANED on these.
+SHORT = "rows AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM documents)"
+
+
+@query("cln4_short_bypass", f"WITH {SHORT}, {BEFORE.replace('FROM documents', 'FROM rows')} SELECT doc_id, md5(text) AS h, count(*) AS n FROM before WHERE length(text) < 10 GROUP BY ALL")
 def cln4(spark, sf):
-    cut = docs(spark, sf).select("doc_id", F.substring("text", F.lit(1), (F.col("doc_id") % 20).cast("int")).alias("text")).filter("length(trim(text)) < 10")
-    done = C.cleaned(cut)
-    return cut.select("doc_id", T.before_clean(F.col("text")).alias("b")).join(done, "doc_id").select("doc_id", (F.col("b") == F.col("text")).alias("unchanged"))
+    lines = docs(spark, sf).select("doc_id", F.explode(F.split("text", "\n")).alias("text"))
+    numbered = lines.withColumn("row", F.struct("doc_id", "text")).groupBy("row").agg(F.count("*").alias("n"))
+    texts = numbered.select("row", F.col("row.text").alias("text"))
+    short = texts.filter(F.length(T.before_clean(F.col("text"))) < 10).select("row")
+    return C.cleaned(texts, "row").join(numbered, "row").join(short, "row").groupBy(F.col("row.doc_id").alias("doc_id"), F.md5("text").alias("h")).agg(F.sum("n").alias("n"))
 
 
 @query("cln10_normalised")
