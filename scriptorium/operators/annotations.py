@@ -131,7 +131,7 @@ def prepositions(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
         nexts = tokens.select("doc_id", "pos", *[F.lead("itext", k).over(w).alias(f"g{k}") for k in range(max(sizes))])
         runs = [F.when(F.col(f"g{n - 1}").isNotNull(), F.struct(F.lit(n).alias("n"), F.concat_ws(" ", *[f"g{k}" for k in range(n)]).alias("prep"))) for n in sizes]
         spans = nexts.select("doc_id", "pos", F.explode(F.filter(F.array(*runs), lambda r: r.isNotNull())).alias("r")).select("doc_id", "pos", "r.n", "r.prep")
-        hits = spans.join(_few(many.select("prep", "ord", "imag")), "prep").select("doc_id", "pos", "n", "ord", F.col("imag").alias("value"))
+        hits = spans.join(few(many.select("prep", "ord", "imag")), "prep").select("doc_id", "pos", "n", "ord", F.col("imag").alias("value"))
 
     def first_pass(frame: pd.DataFrame) -> pd.DataFrame:
         used, kept = set(), []
@@ -151,7 +151,7 @@ def prepositions(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
     for r in reversed(patterns):
         found = F.when(F.col("itext").rlike(r["prep"]), F.lit(float(r["imag"]))).otherwise(found)
     rest = free.withColumn("by_pattern", found)
-    single = _few(lexicon.filter("n_words = 1 AND is_regex = 0").select("prep", "imag", "pos_adp", "pos_nonadp"))
+    single = few(lexicon.filter("n_words = 1 AND is_regex = 0").select("prep", "imag", "pos_adp", "pos_nonadp"))
     named = lambda s: single.select(F.col("prep").alias(s), F.struct("imag", "pos_adp", "pos_nonadp").alias(f"{s}_v"))
     both = rest.join(named("itext"), "itext", "left").join(named("lemma"), "lemma", "left")
     v = F.coalesce("itext_v", "lemma_v")
@@ -259,6 +259,6 @@ def _gram_counter(grams: list[str], alphabet: list[str], low: int, high: int, bl
     return run
 
 
-def _few(lexicon: DataFrame, most: int = 100_000) -> DataFrame:
+def few(lexicon: DataFrame, most: int = 100_000) -> DataFrame:
     """A caller's lexicon, marked for broadcast if it has at most ``most`` entries."""
     return F.broadcast(lexicon) if lexicon.limit(most + 1).count() <= most else lexicon
