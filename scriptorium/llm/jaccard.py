@@ -35,6 +35,7 @@ SHINGLE_BITS, WORD_BITS = 20, 19  # of the tables of frequencies
 ENTRIES, CHUNK = (1 << SHINGLE_BITS) + (1 << WORD_BITS), 1 << 12  # of both; that travel together
 TILE_MEMBERS, TILE_SHINGLES = 512, 1 << 21  # of a chunk of a family or block, on average
 COLUMNS = 4096  # of a matrix product
+SLICES = 4  # of the prefix shingles, one after the other
 EACH = 50  # shingles of a set for one more that its prefix has to share
 DENSE = 32  # a shingle of at least 1 / DENSE of a tile's members goes to the matrix product
 
@@ -244,14 +245,14 @@ def sharing(near: DataFrame, percent: int) -> DataFrame:
 def pruned(leads: DataFrame, percent: int) -> DataFrame:
     """``token, gid, n, of``: a table of the blocks of ``gid, n, of, tokens``, without the groups that
     cannot reach a partner in them."""
-    posted = leads.select("gid", "of", F.explode("tokens").alias("token"))
-    shared = written(posted.groupBy("token").agg(F.sum("of").alias("m")).filter("m > 1").select("token"), "shared")
-    hits = written(posted.select("token", "gid").join(small_side(shared), "token"), "hits")
+    posted, hits = leads.select("gid", "of", F.explode("tokens").alias("token")), None
+    for k in range(SLICES):  # the shingles of a slice at a time, so that not all are on disk at once
+        part = posted.filter(F.pmod("token", F.lit(SLICES)) == k)
+        shared = written(part.groupBy("token").agg(F.sum("of").alias("m")).filter("m > 1").select("token"), "shared")
+        found = written(part.select("token", "gid").join(small_side(shared), "token"), "hits")
+        hits = hits.unionAll(found) if hits is not None else found
     near = hits.join(leads.select("gid", "n", "of"), "gid")
-    for _ in range(2):  # what one round leaves out leaves others alone
-        near = written(compatible(near, percent), "near")
-        near = written(sharing(near, percent), "near")
-    return near
+    return written(sharing(written(compatible(near, percent), "compatible"), percent), "near")
 
 
 def dealt(index: DataFrame, member: DataFrame) -> DataFrame:
@@ -283,22 +284,24 @@ def joined(docs: DataFrame, table: DataFrame, rows: DataFrame, others: DataFrame
     """``u, v``: a table of links between classes, whose components are those of all links. ``rows``
     are the rows of ``table`` with a ``doc_id``, ``others`` those that an equal set stands for."""
     order = docs.sparkSession.sparkContext.broadcast(frequencies(table))
-    heads = written(indexed(docs.filter("doc_id IS NOT NULL"), order, width, percent).join(small_side(others), ["doc_id", "sig"], "left_anti"), "prefixes")
-    same = written(rows.filter("sig IS NOT NULL").groupBy("doc_id", "sig").agg(F.count("*").alias("times")).filter("times > 1").select("doc_id", "sig"), "same")
-    if not same.isEmpty():  # a row for each, as joins by group would pair the repeated ones
-        held = small_side(same)
-        once = heads.join(held, ["doc_id", "sig"], "left_semi").dropDuplicates(["doc_id", "sig"])
-        heads = written(heads.join(held, ["doc_id", "sig"], "left_anti").unionByName(once), "prefixes")
-    groups = small_side(written(heads.groupBy("gid").agg(F.min("sig").alias("lead"), F.countDistinct("sig").alias("of")).filter("of > 1"), "groups"))
-    leads = heads.join(groups, "gid", "left").filter("lead IS NULL OR lead = sig").select("gid", "n", F.coalesce("of", F.lit(1)).cast("int").alias("of"), "tokens")
     with cleared(docs.sparkSession) as made:
-        near = pruned(leads, percent)
-        made.pop()  # the pruned blocks, which stay
-    mark = F.xxhash64("gid")
-    alike = near.groupBy("token").agg(F.count("*").alias("m"), F.bit_xor(mark).alias("x"), F.sum(mark % 2_147_483_647).alias("s"))
-    chosen = written(alike.groupBy("m", "x", "s").agg(F.min("token").alias("token")).select("token"), "blocks")
-    index = written(near.select("token", "gid").join(small_side(chosen), "token", "left_semi"), "block-groups")
-    tiles = written(dealt(index, heads.select("gid", "sig", "doc_id", "n").dropDuplicates(["sig"])), "tiles")
+        heads = written(indexed(docs.filter("doc_id IS NOT NULL"), order, width, percent).join(small_side(others), ["doc_id", "sig"], "left_anti"), "prefixes")
+        same = written(rows.filter("sig IS NOT NULL").groupBy("doc_id", "sig").agg(F.count("*").alias("times")).filter("times > 1").select("doc_id", "sig"), "same")
+        if not same.isEmpty():  # a row for each, as joins by group would pair the repeated ones
+            held = small_side(same)
+            once = heads.join(held, ["doc_id", "sig"], "left_semi").dropDuplicates(["doc_id", "sig"])
+            heads = written(heads.join(held, ["doc_id", "sig"], "left_anti").unionByName(once), "prefixes")
+        groups = small_side(written(heads.groupBy("gid").agg(F.min("sig").alias("lead"), F.countDistinct("sig").alias("of")).filter("of > 1"), "groups"))
+        leads = heads.join(groups, "gid", "left").filter("lead IS NULL OR lead = sig").select("gid", "n", F.coalesce("of", F.lit(1)).cast("int").alias("of"), "tokens")
+        with cleared(docs.sparkSession) as inner:
+            near = pruned(leads, percent)
+            inner.pop()  # the pruned blocks, which stay
+        mark = F.xxhash64("gid")
+        alike = near.groupBy("token").agg(F.count("*").alias("m"), F.bit_xor(mark).alias("x"), F.sum(mark % 2_147_483_647).alias("s"))
+        chosen = written(alike.groupBy("m", "x", "s").agg(F.min("token").alias("token")).select("token"), "blocks")
+        index = written(near.select("token", "gid").join(small_side(chosen), "token", "left_semi"), "block-groups")
+        tiles = written(dealt(index, heads.select("gid", "sig", "doc_id", "n").dropDuplicates(["sig"])), "tiles")
+        made.pop()  # the tiles, which stay: prefixes and blocks go before the sets are sent
 
     needed = small_side(written(tiles.select("doc_id").distinct(), "needed"))
     held = sets(docs.join(needed, "doc_id", "left_semi"), width)

@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
+from scriptorium.session import few
 
 # Tags of content words, the measured symbols in order, bins.
 CONTENT = ("NOUN", "PROPN", "VERB", "ADJ", "ADV")
@@ -257,8 +258,3 @@ def _gram_counter(grams: list[str], alphabet: list[str], low: int, high: int, bl
                 yield from counted(ids, texts)
 
     return run
-
-
-def few(lexicon: DataFrame, most: int = 100_000) -> DataFrame:
-    """A caller's lexicon, marked for broadcast if it has at most ``most`` entries."""
-    return F.broadcast(lexicon) if lexicon.limit(most + 1).count() <= most else lexicon

@@ -13,11 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scriptorium.session import cut
-
-#: Rows of sums by key and partition up to which they are broadcast; a few numbers each.
-BROADCAST_ROWS = 200_000
-
+from scriptorium.session import cut, few
 
 def running_sum(df: DataFrame, keys: list[str], order: list[str], what: Column | str, name: str) -> DataFrame:
     """``df`` with ``name``: the sum of ``what`` over the rows of the same ``keys`` up to this one.
@@ -39,9 +35,7 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], what: Column |
     sums = placed.groupBy("part_", *key_cols).agg(F.sum("what_").alias("all_"))
     earlier = W.partitionBy(*key_cols).orderBy("part_").rowsBetween(W.unboundedPreceding, -1)
     before = sums.select(F.col("part_").alias("of_"), *[F.col(k).alias(f"{k}of") for k in key_cols], F.sum("all_").over(earlier).alias("before_"))
-    offset = cut(before.filter("before_ IS NOT NULL"))
-    if offset.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        offset = F.broadcast(offset)
+    offset = few(cut(before.filter("before_ IS NOT NULL")))
     same = F.col("part_") == F.col("of_")
     for k in key_cols:
         same &= F.col(k).eqNullSafe(F.col(f"{k}of"))
@@ -53,15 +47,26 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> Dat
     return running_sum(df, keys, order, F.lit(1).cast("long"), name)
 
 
+def with_total(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """``df`` with ``name``: how many rows have the same ``keys`` (null is a key). Counts are formed before
+    the shuffle and joined back."""
+    counts = cut(df.groupBy(*[F.col(k).alias(f"of{i}_") for i, k in enumerate(keys)]).agg(F.count("*").alias(name)))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"of{i}_"))
+    return df.join(few(counts), same).select(*df.columns, name)
+
+
 def cumulative_share(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """``df`` with ``name``: the share of the rows of the same ``keys`` whose ``value`` is at most this
-    one's. Rows are counted by key and value first, so only distinct values are ordered."""
-    counts = df.groupBy(*keys, value).agg(F.count("*").alias("n_"))
-    upto = running_sum(counts, keys, [value], "n_", "upto_")
-    totals = df.groupBy(*keys).agg(F.count("*").alias("total_"))
-    known = upto.join(totals, keys) if keys else upto.crossJoin(totals)
-    known = known.select(*[F.col(k).alias(f"{k}_of") for k in keys], F.col(value).alias("value_of"), (F.col("upto_") / F.col("total_")).alias(name))
-    same = F.col(value).eqNullSafe(F.col("value_of"))
-    for k in keys:
-        same &= F.col(k).eqNullSafe(F.col(f"{k}_of"))
-    return df.join(known, same).select(*df.columns, name)
+    one's; nulls are the largest. Rows are counted by key and value first, so only distinct values are
+    ordered."""
+    counts = cut(df.groupBy(*keys, value).agg(F.count("*").alias("n_")))
+    upto = running_sum(counts, keys, [value], "n_", "upto_").drop("n_")
+    totals = counts.groupBy(*[F.col(k).alias(f"of{i}_") for i, k in enumerate(keys)]).agg(F.sum("n_").alias("total_"))
+    same, again = F.lit(True), F.col(value).eqNullSafe(F.col("value_of"))
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"of{i}_"))
+        again &= F.col(k).eqNullSafe(F.col(f"key{i}_of"))
+    shares = upto.join(few(cut(totals)), same).select(*[F.col(k).alias(f"key{i}_of") for i, k in enumerate(keys)], F.col(value).alias("value_of"), (F.col("upto_") / F.col("total_")).alias(name))
+    return df.join(shares, again).select(*df.columns, name)

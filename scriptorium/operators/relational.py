@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranks import numbered, with_total
+
 
 def first_by(df: DataFrame, keys: list[str], order: list, n: int = 1) -> DataFrame:
     """The first ``n`` rows of each key in a given order."""
@@ -79,6 +81,23 @@ def min_max(c: str, over: list[str] = ()) -> Column:
     return F.try_divide(F.col(c) - F.min(c).over(w), F.max(c).over(w) - F.min(c).over(w))
 
 
+def min_max_of_all(df: DataFrame, c: str, name: str) -> DataFrame:
+    """AGG9 without keys: the bounds are one row that meets all others."""
+    bounds = df.agg(F.min(c).alias("low_"), F.max(c).alias("high_"))
+    return df.crossJoin(F.broadcast(bounds)).select(*df.columns, F.try_divide(F.col(c) - F.col("low_"), F.col("high_") - F.col("low_")).alias(name))
+
+
+def pattern_hits(df: DataFrame, column: str, patterns: DataFrame, key: str, pattern: str, most: int = 1_000) -> DataFrame:
+    """JN12: ``df`` with ``key`` of each pattern that is found in ``column``, a row per hit. The patterns (a
+    short list, ``most`` at most) become one expression per row, so nothing is joined."""
+    rules = patterns.select(key, pattern).limit(most + 1).collect()
+    if len(rules) > most:
+        raise ValueError(f"more than {most} patterns")
+    kind = patterns.schema[key].dataType
+    hits = F.array(*[F.when(F.col(column).rlike(r[pattern]), F.lit(r[key]).cast(kind)) for r in rules if r[pattern] is not None])
+    return df.select("*", F.explode(F.filter(hits, lambda x: x.isNotNull())).alias(key))
+
+
 def balanced_sample(df: DataFrame, group: str, item: str, key: str, total: int, per_item: int, groups: int, seed: str = "42") -> DataFrame:
     """SMP1: at most ``per_item`` rows of an item and ``total // groups`` of a group, then a top-up from
     what is left; the order within all is a hash of the key."""
@@ -95,11 +114,16 @@ def preferential_sample(df: DataFrame, group: str, old: str, key: str, each: int
     return first_by(df, [group], [F.col(old).cast("int"), F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))], each)
 
 
+def hashed(df: DataFrame, key: str, seed: str) -> DataFrame:
+    """``df`` with ``hash_``, the order that stands for a shuffle."""
+    return df.withColumn("hash_", F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))))
+
+
 def stratified_split(df: DataFrame, label: str, key: str, share: float, seed: str = "42") -> DataFrame:
-    """SMP4: a column ``part``: the first ``ceil(share * n)`` rows of a label by hash are ``test``."""
-    h = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
-    rank = F.row_number().over(W.partitionBy(label).orderBy(h))
-    return df.withColumn("part", F.when(rank <= F.ceil(share * F.count("*").over(W.partitionBy(label))), "test").otherwise("train"))
+    """SMP4: a column ``part``: the first ``ceil(share * n)`` rows of a label by hash are ``test``. Few
+    labels hold all rows, so ranks are taken over range partitions."""
+    ranked = with_total(numbered(hashed(df, key, seed), [label], ["hash_"], "rank_"), [label], "n_")
+    return ranked.select(*df.columns, F.when(F.col("rank_") <= F.ceil(share * F.col("n_")), "test").otherwise("train").alias("part"))
 
 
 def label_swap(rows: DataFrame, label: str, key: str, seed: str = "42") -> DataFrame:
@@ -108,8 +132,7 @@ def label_swap(rows: DataFrame, label: str, key: str, seed: str = "42") -> DataF
 
     ``rows`` has booleans ``test`` and ``flagged``; the result has ``part``, for every other row.
     """
-    h = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
-    ranked = rows.withColumn("rn", F.row_number().over(W.partitionBy(label, "test", "flagged").orderBy(h)))
+    ranked = numbered(hashed(rows, key, seed), [label, "test", "flagged"], ["hash_"], "rn").drop("hash_")
     n = rows.groupBy(F.col(label).alias("of")).agg(F.least(F.count_if(F.expr("test AND flagged")), F.count_if(F.expr("NOT test AND NOT flagged"))).alias("n"))
     joined = ranked.join(n, F.col(label).eqNullSafe(F.col("of"))).filter("NOT (test AND flagged AND rn > n)")
     part = F.when(F.expr("NOT flagged AND (test OR rn <= n)"), "test").otherwise("train")
@@ -120,16 +143,16 @@ def top_up(pool: DataFrame, counts: DataFrame, label: str, rare: list[int], key:
     """SMP5: rows of ``pool`` that bring the rare labels to the mean count of the others."""
     goal = counts.agg(F.floor(F.avg(F.when(~F.col(label).isin(rare), F.col("n")))).alias("goal"))
     need = counts.filter(F.col(label).isin(rare)).crossJoin(goal).select(label, (F.col("goal") - F.col("n")).alias("need"))  # a row per label
-    rank = F.row_number().over(W.partitionBy(label).orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))))
-    return pool.filter(F.col(label).isin(rare)).withColumn("__rank", rank).join(F.broadcast(need), label).filter("__rank <= need").drop("__rank", "need")
+    ranked = numbered(hashed(pool.filter(F.col(label).isin(rare)), key, seed), [label], ["hash_"], "rank_")
+    return ranked.join(F.broadcast(need), label).filter("rank_ <= need").select(*pool.columns)
 
 
 def folds(df: DataFrame, label: str | None, key: str, k: int = 5, seed: str = "42") -> DataFrame:
     """SMP8: fold numbers, stratified by a label if there is one; a plain fold is the hash itself."""
-    h = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
+    h = hashed(df, key, seed)
     if label is None:
-        return df.withColumn("fold", F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(k)).cast("int"))
-    return df.withColumn("fold", ((F.row_number().over(W.partitionBy(label).orderBy(h)) - 1) % k).cast("int"))
+        return h.withColumn("fold", F.pmod(F.conv(F.substring("hash_", 1, 8), 16, 10).cast("long"), F.lit(k)).cast("int")).drop("hash_")
+    return numbered(h, [label], ["hash_"], "rank_").select(*df.columns, ((F.col("rank_") - 1) % k).cast("int").alias("fold"))
 
 
 def balanced_weights(df: DataFrame, label: str) -> DataFrame:

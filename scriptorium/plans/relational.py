@@ -4,6 +4,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scriptorium.operators import relational as R
+from scriptorium.operators.intervals import overlapping
+from scriptorium.operators.ranks import cumulative_share, numbered
 from scriptorium.session import table
 
 from .base import md5_order, query, r6
@@ -147,7 +149,7 @@ def jn5(spark, sf):
 @query("jn6_position_join", "WITH a AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS pos FROM events WHERE event_type = 'click'), b AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS pos FROM events WHERE event_type = 'view') SELECT user_id, count(*) AS n, round(sum(a.value * b.value), 4) AS dot FROM a JOIN b USING (user_id, pos) GROUP BY ALL")
 def jn6(spark, sf):
     e = table(spark, sf, "events")
-    side = lambda kind, name: e.filter(F.col("event_type") == kind).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("xs")).select("user_id", F.posexplode("xs").alias("pos", "x")).select("user_id", "pos", F.col("x.value").alias(name))
+    side = lambda kind, name: numbered(e.filter(F.col("event_type") == kind).select("user_id", "event_id", F.col("value").alias(name)), ["user_id"], ["event_id"], "pos").drop("event_id")
     return side("click", "a").join(side("view", "b"), ["user_id", "pos"]).groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum(F.col("a") * F.col("b")), 4).alias("dot"))
 
 
@@ -166,7 +168,7 @@ def jn9(spark, sf):
 def jn12(spark, sf):
     p = spark.createDataFrame([(1, "^th"), (2, "ing$"), (3, "eau")], "id int, pat string")
     w = docs(spark, sf).select(F.explode(F.split(F.lower("text"), " ")).alias("word")).distinct()
-    return w.join(F.broadcast(p), F.expr("rlike(word, pat)")).groupBy("id").agg(F.count("*").alias("n"))
+    return R.pattern_hits(w, "word", p, "id", "pat").groupBy("id").agg(F.count("*").alias("n"))
 
 
 @query("jn13_interval_join", "SELECT a.user_id, count(*) AS overlaps FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'view' AND b.event_id < a.event_id + CAST(a.value AS BIGINT) + 1 AND b.event_id + 20 > a.event_id GROUP BY ALL")
@@ -174,7 +176,7 @@ def jn13(spark, sf):
     e = table(spark, sf, "events")
     a = e.filter("event_type = 'click'").select("user_id", F.col("event_id").alias("a0"), (F.col("event_id") + F.round("value").cast("long") + 1).alias("a1"))
     b = e.filter("event_type = 'view'").select("user_id", F.col("event_id").alias("b0"), (F.col("event_id") + 20).alias("b1"))
-    return a.join(b, "user_id").filter("b0 < a1 AND b1 > a0").groupBy("user_id").agg(F.count("*").alias("overlaps"))
+    return overlapping(a, b, ["user_id"], ("a0", "a1"), ("b0", "b1")).groupBy("left.user_id").agg(F.count("*").alias("overlaps"))
 
 
 @query("jn14_score_attach", "SELECT d.doc_id, coalesce(l.quality, x.quality) AS score FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN (SELECT source, quality FROM documents JOIN labels USING (doc_id) QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) = 1) x ON d.source = x.source")
@@ -457,7 +459,7 @@ def win6(spark, sf):
 
 @query("win7_ecdf", "SELECT event_id, round(cume_dist() OVER (PARTITION BY event_type ORDER BY value), 6) AS share FROM events")
 def win7(spark, sf):
-    return table(spark, sf, "events").select("event_id", r6(F.cume_dist().over(W.partitionBy("event_type").orderBy("value")), "share"))
+    return cumulative_share(table(spark, sf, "events").select("event_id", "event_type", "value"), ["event_type"], "value", "share").select("event_id", r6("share"))
 
 
 @query("win8_rank", "SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS INTEGER) AS place FROM events")

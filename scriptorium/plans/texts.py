@@ -263,8 +263,9 @@ def lex4(spark, sf):
 @query("lex5_build", "WITH w AS (SELECT split_part(p_name, ' ', 1) AS expression, p_retailprice AS c FROM part), e AS (SELECT split_part(p_name, ' ', 2) AS expression, p_size AS c FROM part), n AS (SELECT expression, (c - min(c) OVER ()) / (max(c) OVER () - min(c) OVER ()) AS c FROM w UNION ALL SELECT expression, (c - min(c) OVER ())::DOUBLE / (max(c) OVER () - min(c) OVER ()) FROM e) SELECT expression, round(avg(c), 6) AS conc, CAST(1 AS INTEGER) AS n_words FROM n GROUP BY expression")
 def lex5(spark, sf):
     p = table(spark, sf, "part")
-    side = lambda k, c: p.select(F.split_part("p_name", F.lit(" "), F.lit(k)).alias("expression"), F.col(c).cast("double").alias("c")).withColumn("c", R.min_max("c"))
-    return side(1, "p_retailprice").unionByName(side(2, "p_size")).groupBy("expression").agg(r6(F.avg("c"), "conc")).withColumn("n_words", F.size(F.split("expression", " ")))
+    side = lambda k, c: p.select(F.split_part("p_name", F.lit(" "), F.lit(k)).alias("expression"), F.col(c).cast("double").alias("raw"))
+    scaled = [R.min_max_of_all(side(k, c), "raw", "c") for k, c in ((1, "p_retailprice"), (2, "p_size"))]
+    return scaled[0].unionByName(scaled[1]).groupBy("expression").agg(r6(F.avg("c"), "conc")).withColumn("n_words", F.size(F.split("expression", " ")))
 
 
 @query("lex7_places", "SELECT DISTINCT replace(split_part(url, '/', 4), '-', ' ') AS place FROM pages WHERE split_part(url, '/', 4) <> ''")
