@@ -1,9 +1,14 @@
 """Queries of the streaming forms: a stream over the events, read to its end."""
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from scriptorium.session import table
+from scriptorium.session import shared_dir, table
+from scriptorium.sources import iterated as I
 from scriptorium.streaming import jobs as J
+from scriptorium.streaming import live as L
 
 from .base import query, r6
 from .selecting import segments
@@ -82,3 +87,116 @@ def str10(spark, sf):
     from scriptorium.sources import readers
 
     return readers.taken(table(spark, sf, "events"), "event_id", 50, 100).select("event_id")
+
+
+def _lived(spark, parts, run, done, stop_at=1, files=4):
+    """The rows that a live stream sends for ``parts``, which come one after the other as files of a folder.
+    It is stopped once, by an error after batch ``stop_at`` was written and before it was committed, and started again."""
+    place = f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
+    for part in parts:
+        part.write.mode("append").parquet(f"{place}/in")
+    put, stopped = L.written_once(f"{place}/out"), []
+
+    def sink(part, batch):
+        put(part, batch)
+        if batch == stop_at and not stopped:
+            stopped.append(batch)
+            raise RuntimeError("stopped for the test")
+
+    def start():
+        source = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", files).parquet(f"{place}/in")
+        return run(source).writeStream.foreachBatch(sink).option("checkpointLocation", f"{place}/state").trigger(processingTime="100 milliseconds").start()
+
+    def sent():
+        return spark.read.parquet(f"{place}/out").drop("batch")
+
+    def all_sent():
+        try:
+            return bool(stopped) and done(sent())
+        except AnalysisException:  # no batch yet
+            return False
+
+    with L.rocks(spark):
+        L.kept_running(start, all_sent, restarts=1, seconds=600)
+    return sent()
+
+
+@query("str2c_flush_loop", "SELECT user_id AS session, count(*) AS results, count(DISTINCT event_id) AS kinds, CAST(1 AS BIGINT) AS closed FROM events GROUP BY user_id")
+def str2c(spark, sf):
+    """Each session's results, once each, whatever the flush; then its end."""
+    e = table(spark, sf, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("id"))
+    users = e.select("session").distinct()
+    row = lambda df, kind, n=None, i=None: df.select("session", F.lit(kind).alias("kind"), (F.col("id") if i else F.lit(None)).cast("long").alias("id"), F.lit(n).cast("long").alias("n"))
+    parts = [row(users, "start", 2), row(e.filter("id % 2 = 0"), "segment", i=True), row(users, "success"), row(e.filter("id % 2 = 1"), "segment", i=True), row(users, "success")]
+    total = users.count()
+    out = _lived(spark, parts, L.flushed, lambda sent: sent.filter("kind = 'success'").count() >= total)
+    ids = F.explode_outer("ids").alias("id")
+    rows = out.select("session", "kind", ids)
+    return rows.groupBy("session").agg(F.count("id").alias("results"), F.count_distinct("id").alias("kinds"), F.count_if(F.col("kind") == "success").alias("closed"))
+
+
+@query("str6b_live_micro_batches", "SELECT event_id AS id, CASE WHEN event_type <> 'error' THEN upper(event_type) END AS answer, CASE WHEN event_type = 'error' THEN 'refused' END AS error FROM events")
+def str6b(spark, sf):
+    def call(kinds):
+        if "error" in kinds:
+            raise ValueError("refused")
+        return [k.upper() for k in kinds]
+
+    e = table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("text"), "event_type")
+    total = e.count()
+    out = _lived(spark, [e.filter("id % 2 = 0"), e.filter("id % 2 = 1")], lambda s: L.micro_batched(s, ["event_type"], call, lanes=3), lambda sent: sent.count() >= total)
+    return out.select("id", "answer", "error")
+
+
+@query("str9b_live_reselection")
+def str9b(spark, sf):
+    """The last selection of each document, after changes and a restart."""
+    s = segments(spark, sf)
+    changed = s.filter("id % 50 = 0").withColumn("score", F.lit(0.99))
+    changes = s.unionByName(changed).groupBy("doc").agg(F.count("*").alias("changes"))
+    want = {r["doc"]: r["changes"] for r in changes.collect()}  # a row per document of the check that all has come
+    done = lambda sent: {r["doc"]: r["c"] for r in sent.groupBy("doc").agg(F.max("changes").alias("c")).collect()} == want
+    out = _lived(spark, [s.filter("id % 2 = 0"), s.filter("id % 2 = 1"), changed], L.reselections, done)
+    last = out.groupBy("doc").agg(F.max_by("ids", "version").alias("ids"))
+    return last.select("doc", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+
+
+@query("src1b_record_source", "SELECT doc_id, md5(text) AS h FROM documents")
+def src1b(spark, sf):
+    """A stream over the record source that stops half way, fails once, and goes on from its checkpoint."""
+    I.registered(spark)
+    source, place, failed = f"{sf}/documents.parquet", f"{shared_dir(spark)}/records-{uuid.uuid4().hex}", []
+    half = table(spark, sf, "documents").count() // 2
+    put = L.written_once(f"{place}/out")
+
+    def sink(part, batch):
+        put(part, batch)
+        if not failed:
+            failed.append(batch)
+            raise RuntimeError("stopped for the test")
+
+    def start(take=None):
+        reader = spark.readStream.format("records").option("path", source)
+        rows = (reader.option("take", take) if take else reader).load().select("doc_id", F.md5("text").alias("h"))
+        return rows.writeStream.foreachBatch(sink).option("checkpointLocation", f"{place}/state").trigger(processingTime="200 milliseconds").start()
+
+    def sent():
+        try:
+            return spark.read.parquet(f"{place}/out").count()
+        except AnalysisException:  # no batch yet
+            return 0
+
+    L.kept_running(lambda: start(half), lambda: bool(failed) and sent() >= half, restarts=1)
+    total = table(spark, sf, "documents").count()
+    L.kept_running(start, lambda: sent() >= total)
+    return spark.read.parquet(f"{place}/out").select("doc_id", "h")
+
+
+@query("src1c_shared_takes", """WITH a AS (SELECT *, sum((n_chars >= 500)::INT) OVER (ORDER BY doc_id) AS c FROM documents),
+ea AS (SELECT min(doc_id) AS edge FROM a WHERE c >= 40), b AS (SELECT *, sum((lang = 'en')::INT) OVER (ORDER BY doc_id) AS k FROM documents WHERE doc_id > (SELECT edge FROM ea)),
+eb AS (SELECT min(doc_id) AS edge FROM b WHERE k >= 25)
+SELECT doc_id, 'long' AS dataset FROM a WHERE c <= 40 AND n_chars >= 500 UNION ALL SELECT doc_id, 'english' FROM b WHERE k <= 25 AND lang = 'en' UNION ALL SELECT doc_id, 'rest' FROM documents WHERE doc_id > (SELECT edge FROM eb)""")
+def src1c(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
+    takes = {"long": 40, "english": 25, "rest": 1 << 40}
+    return I.shared_takes(d, "doc_id", takes, {"long": F.col("n_chars") >= 500, "english": F.col("lang") == "en", "rest": F.lit(True)}).select("doc_id", "dataset")
