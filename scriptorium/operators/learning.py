@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -99,6 +101,47 @@ def scaled_by(large: DataFrame, small: DataFrame) -> DataFrame:
     return model.transform(small).withColumn("features", array_to_vector(plain)).drop("__s")
 
 
+def loss_curve(model, rows: DataFrame) -> DataFrame:
+    """ML9: ``round, loss``: the squared error of a boosted model after each round, on ``rows``."""
+    losses = model.evaluateEachIteration(rows, "squared")
+    return rows.sparkSession.createDataFrame([(k, float(x)) for k, x in enumerate(losses, 1)], "round int, loss double")
+
+
+def stopped_early(train: DataFrame, validation: DataFrame, rounds: int = 30, depth: int = 4, rate: float = 0.1, seed: int = 42):
+    """ML9: boosting up to the round of least loss on ``validation``: ``(model, curve)``. All rounds are run
+    once for the curve; the model of the best round has the same first rounds, as the seed is the same."""
+    whole = boosted(rounds, depth, rate, seed).fit(train)
+    curve = loss_curve(whole, validation)
+    best = best_round(curve).first()["round"]
+    return (whole if best == rounds else boosted(best, depth, rate, seed).fit(train)), curve
+
+
+@dataclass
+class TwoStages:
+    """ML9: a model of the large set, and one of what it leaves over on the small set."""
+
+    first: object
+    second: object
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        both = self.second.transform(self.first.transform(df).withColumnRenamed("prediction", "first_"))
+        return both.withColumn("prediction", F.col("first_") + F.col("prediction")).drop("first_")
+
+
+def two_stages(large: DataFrame, small: DataFrame, validation: DataFrame, **how) -> TwoStages:
+    """ML9: boosting on the large set, then on the small set's errors, both stopped by ``validation``."""
+    first, _ = stopped_early(large, validation, **how)
+    left = lambda df: first.transform(df).withColumn("label", F.col("label") - F.col("prediction")).drop("prediction")
+    second, _ = stopped_early(left(small), left(validation), **how)
+    return TwoStages(first, second)
+
+
+def saved(model, folder: str):
+    """SNK10: a fitted pipeline or model, saved and read back by its own class."""
+    model.write().overwrite().save(folder)
+    return type(model).load(folder)
+
+
 def best_round(curve: DataFrame) -> DataFrame:
     """ML9: the first round of least validation loss."""
     return curve.agg(F.min(F.struct("loss", "round")).alias("m")).select("m.round", "m.loss")
