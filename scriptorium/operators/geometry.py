@@ -12,7 +12,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cleaning import NORMALISED
+from scriptorium.session import cut
+
+from .cleaning import NORMALISED, normalised
+from .intervals import overlapping
+from .ranks import running_sum
 
 GAP, PADDING, CLOSE = 12.0, 1.0, 2.0  # fixed values, in pixels: steps that are smoothed, padding, heights that are one
 WIDTH, STRIP, HIGHEST = 56, 16, 2000  # of a heatmap: drawing and indicator strip, cap of the height
@@ -53,9 +57,8 @@ def placed(words: list[tuple], segments: list[str], full: str, removed: list[tup
     return out
 
 
-def aligned(words: DataFrame, segments: DataFrame, texts: DataFrame, removed: DataFrame) -> DataFrame:
-    """GEO1: the boxes of words (or parts of them) by segment. ``texts`` is ``doc, full`` (normalised),
-    ``removed`` is ``doc, start, stop`` in it. A document is one task's work, as a cursor runs through it."""
+def by_cursor(words: DataFrame, segments: DataFrame, texts: DataFrame, removed: DataFrame) -> DataFrame:
+    """GEO1 for documents whose texts differ somewhere: a document is one task's work, as a cursor runs through it."""
     ranges = removed.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("removed"))
     listed = segments.groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("seg", "text"))), lambda s: s["text"]).alias("segments"))
     side = texts.join(listed, "doc").join(ranges, "doc", "left").select(F.col("doc").alias("of"), "full", "segments", "removed")
@@ -74,6 +77,48 @@ def aligned(words: DataFrame, segments: DataFrame, texts: DataFrame, removed: Da
     return words.groupBy("doc").cogroup(side.groupBy("of")).applyInPandas(run, PLACED)
 
 
+def aligned(words: DataFrame, segments: DataFrame, texts: DataFrame, removed: DataFrame) -> DataFrame:
+    """GEO1: the boxes of words (or parts of them) by segment. ``texts`` is ``doc, full`` (normalised),
+    ``removed`` is ``doc, start, stop`` in it.
+
+    Where the words give the text and what is left of them the segments, a word's place is the sum of
+    the lengths before it, and words meet segments as intervals; so a document's words spread over many
+    tasks. Only documents where something differs go through the cursor.
+    """
+    known = texts.select("doc").join(segments.select("doc").distinct(), "doc", "left_semi").distinct()
+    there = words.join(known, "doc", "left_semi").withColumn("plain", normalised("word")).filter("plain <> ''").withColumn("n", F.length("plain").cast("long"))
+    boxes = cut(running_sum(there, ["doc"], ["page", "ord"], "n", "stop").withColumn("start", F.col("stop") - F.col("n")))
+    gone = overlapping(boxes.select("doc", "page", "ord", "start", "stop"), removed, ["doc"], ("start", "stop"), ("start", "stop")).select("left.doc", "left.page", "left.ord").distinct()
+    left = boxes.drop("start", "stop").join(gone, ["doc", "page", "ord"], "left_anti")
+    kept = cut(running_sum(left, ["doc"], ["page", "ord"], "n", "stop").withColumn("start", F.col("stop") - F.col("n")))
+    pieces = segments.join(known, "doc", "left_semi").select("doc", "seg", normalised("text").alias("plain")).withColumn("n", F.length("plain").cast("long"))
+    parts = cut(running_sum(pieces, ["doc"], ["seg"], "n", "stop").withColumn("start", F.col("stop") - F.col("n")))
+    odd = mismatched(known, texts, boxes, kept, parts)
+    pairs = overlapping(kept.drop("plain"), parts.select("doc", "seg", "start", "stop"), ["doc"], ("start", "stop"), ("start", "stop"))
+    met = cut(pairs.select("left.*", "right.seg", F.greatest("left.start", "right.start").alias("a"), F.least("left.stop", "right.stop").alias("b"), (F.col("left.stop") == F.col("right.stop")).alias("ends")))
+    # A word over two segments that ends with the second leaves the cursor there, and the next word's box is cut at no width.
+    spread = met.groupBy("doc", "page", "ord").agg(F.count("*").alias("c"), F.max("ends").alias("ends")).filter("c > 2 OR (c = 2 AND ends)").select("doc")
+    odd = cut(odd.union(spread).distinct())
+    wide = F.col("x1") - F.col("x0")
+    at = lambda c: F.col("x0") + (F.col(c) - F.col("start")) / F.col("n") * wide
+    plain_ones = met.join(odd, "doc", "left_anti").select("doc", F.col("seg").cast("int").alias("seg"), "page", F.col("ord").cast("int").alias("ord"), "block", "line", at("a").alias("x0"), "y0", at("b").alias("x1"), "y1")
+    only = [x.join(odd, "doc", "left_semi") for x in (words, segments, texts, removed)]
+    return plain_ones.unionByName(by_cursor(*only))
+
+
+def mismatched(known: DataFrame, texts: DataFrame, boxes: DataFrame, kept: DataFrame, parts: DataFrame) -> DataFrame:
+    """``doc`` where the words in order are no beginning of the text, or what is kept of them and the segments
+    differ before one of them ends, or a segment is empty, or a word goes on beyond the last segment."""
+    in_order = lambda df, *by: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*by, "plain"))), lambda x: x["plain"]), "")
+    whole = boxes.groupBy("doc").agg(in_order(boxes, "page", "ord").alias("said"))
+    rest = kept.groupBy("doc").agg(in_order(kept, "page", "ord").alias("rest"))
+    segs = parts.groupBy("doc").agg(in_order(parts, "seg").alias("segs"), F.max("stop").alias("total"), F.min("n").alias("least"))
+    over = kept.join(segs.select("doc", "total"), "doc").filter("start < total AND stop > total").select("doc").distinct().withColumn("over", F.lit(True))
+    every = known.join(texts, "doc").join(whole, "doc", "left").join(rest, "doc", "left").join(segs, "doc", "left").join(over, "doc", "left")
+    same = F.startswith("full", F.coalesce("said", F.lit(""))) & (F.startswith("segs", F.coalesce("rest", F.lit(""))) | F.startswith(F.coalesce("rest", F.lit("")), F.col("segs")))
+    return every.filter(~F.coalesce(same & (F.col("least") > 0) & F.col("over").isNull(), F.lit(False))).select("doc")
+
+
 def line_bounds(boxes: DataFrame) -> DataFrame:
     """GEO2, first part: ``top, bottom, left, right`` of each line of a segment on a page: from the
     leftmost word's left edge to the last word's right one; lines that run backwards are dropped."""
