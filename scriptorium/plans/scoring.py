@@ -29,7 +29,15 @@ def cal1(spark, sf):
     return K.quantile_map(rows.filter("fold <> 0"), "s", "y").predict(asked, "s").select("s", r6("calibrated"))
 
 
-@query("cal2_isotonic")
+@query("cal2_isotonic", f"""WITH {PAIRS}, d AS (SELECT s, sum(y) AS t, count(*) AS n FROM pairs WHERE fold <> 0 GROUP BY s),
+c AS (SELECT s, row_number() OVER (ORDER BY s) AS i, sum(t) OVER (ORDER BY s) AS upto, sum(n) OVER (ORDER BY s) AS seen, t, n FROM d),
+ab AS (SELECT a.i AS a, b.i AS b, (b.upto - a.upto + a.t)::DOUBLE / (b.seen - a.seen + a.n) AS m FROM c a JOIN c b ON a.i <= b.i),
+low AS (SELECT ab.a, c.i, min(m) AS m FROM ab JOIN c ON ab.a <= c.i AND ab.b >= c.i GROUP BY ab.a, c.i),
+fit AS (SELECT s, c.i, max(m) AS f FROM c JOIN low ON low.i = c.i GROUP BY s, c.i),
+q AS (SELECT DISTINCT s FROM pairs WHERE fold = 0),
+near AS (SELECT q.s, coalesce(max(fit.i) FILTER (fit.s <= q.s), 1) AS lo, coalesce(min(fit.i) FILTER (fit.s >= q.s), max(fit.i)) AS hi FROM q, fit GROUP BY q.s),
+said AS (SELECT near.s, a.f + CASE WHEN b.s > a.s THEN (b.f - a.f) * (least(greatest(near.s, a.s), b.s) - a.s) / (b.s - a.s) ELSE 0 END AS v FROM near JOIN fit a ON a.i = lo JOIN fit b ON b.i = hi)
+SELECT id, round(v, 6) AS calibrated FROM pairs JOIN said USING (s) WHERE fold = 0""")
 def cal2(spark, sf):
     rows = pairs(spark, sf)
     return K.isotonic(rows.filter("fold <> 0"), "s", "y").predict(rows.filter("fold = 0"), "s").select("id", r6("calibrated"))

@@ -32,7 +32,21 @@ def highlights(spark, sf):
     return e.select(F.col("event_id").alias("id"), pages.alias("polygons"), F.when(F.col("event_type") != "error", F.col("value")).alias("score"))
 
 
-@query("sel1_selection")
+# One row a document and step of the scan: the stretch from i up to the best of its window, by falling score, kept where
+# nothing kept is near; then on beyond the last one kept. Lists count from 1.
+SCAN = """seg AS (SELECT user_id AS doc, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS ord, event_type, (event_id * 7919 % 1000) / 1000.0::DOUBLE AS score FROM events),
+l AS (SELECT doc, list(id ORDER BY ord) AS ids, list(ord / 5.0::DOUBLE ORDER BY ord) AS ys, list(score ORDER BY ord) AS ss, count(*) AS n FROM seg WHERE event_type <> 'error' GROUP BY doc),
+scan(doc, i, kept) AS (
+  SELECT doc, CAST(1 AS BIGINT), []::BIGINT[] FROM l
+  UNION ALL
+  SELECT doc, CASE WHEN len(kept) = 0 THEN i + 1 ELSE coalesce(list_min(list_filter(range(list_max(kept) + 1, n + 1), lambda j: ys[j] - ys[list_max(kept)] > 1.5)), n + 1) END, kept FROM (
+    SELECT *, list_reduce(list_transform(list_sort(list_transform(list_filter(fit, lambda j: j <= best), lambda j: {'s': -ss[j], 'y': ys[j], 'j': j})), lambda x: [x.j]),
+      lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: abs(ys[x[1]] - ys[k]) <= 1.5)) = 0 THEN list_concat(acc, x) ELSE acc END, []::BIGINT[]) AS kept FROM (
+      SELECT *, list_sort(list_transform(fit, lambda j: {'s': -ss[j], 'j': j}))[1].j AS best FROM (
+        SELECT scan.doc, scan.i, ys, ss, n, list_filter(range(scan.i, n + 1), lambda j: ys[j] - ys[scan.i] <= 8 AND ss[j] >= 0.25) AS fit FROM scan JOIN l ON l.doc = scan.doc WHERE scan.i <= n))))"""
+
+
+@query("sel1_selection", f"WITH RECURSIVE {SCAN} SELECT scan.doc, unnest(list_transform(kept, lambda j: ids[j])) AS id FROM scan JOIN l ON l.doc = scan.doc")
 def sel1(spark, sf):
     return S.selected(segments(spark, sf), 1.5, 8.0, 0.25)
 

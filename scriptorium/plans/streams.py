@@ -11,7 +11,7 @@ from scriptorium.streaming import jobs as J
 from scriptorium.streaming import live as L
 
 from .base import query, r6
-from .selecting import segments
+from .selecting import SCAN, segments
 
 
 @query("str1_batches", "SELECT user_id AS doc, event_id AS id, CAST((row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 32 AS INTEGER) AS batch FROM events")
@@ -75,7 +75,11 @@ def str6(spark, sf):
     return J.answered(parts.withColumn("kind", F.col("event_type")), call, ("event_type",), "event_id", "kind")
 
 
-@query("str9_reselection")
+CHANGED = SCAN.replace("(event_id * 7919 % 1000) / 1000.0::DOUBLE AS score", "CASE WHEN event_id % 50 = 0 THEN 0.99::DOUBLE ELSE (event_id * 7919 % 1000) / 1000.0::DOUBLE END AS score").replace("WHERE event_type <> 'error' GROUP", "WHERE event_type <> 'error' OR id % 50 = 0 GROUP")
+TOUCHED = CHANGED.replace("WHERE event_type <> 'error' OR id % 50 = 0 GROUP", "WHERE (event_type <> 'error' AND doc % 5 <> 4 OR id % 50 = 0) AND doc IN (SELECT doc FROM seg WHERE id % 50 = 0) GROUP")
+
+
+@query("str9_reselection", f"WITH RECURSIVE {TOUCHED} SELECT scan.doc, unnest(list_transform(kept, lambda j: ids[j])) AS id FROM scan JOIN l ON l.doc = scan.doc")
 def str9(spark, sf):
     s = segments(spark, sf).filter("doc % 5 <> 4")
     changed = segments(spark, sf).filter("id % 50 = 0").withColumn("score", F.lit(0.99))
@@ -148,7 +152,7 @@ def str6b(spark, sf):
     return out.select("id", "answer", "error")
 
 
-@query("str9b_live_reselection")
+@query("str9b_live_reselection", f"WITH RECURSIVE {CHANGED} SELECT scan.doc, array_to_string(list_transform(flatten(list(kept ORDER BY i)), lambda j: any_value(ids)[j]), ',') AS ids FROM scan JOIN l ON l.doc = scan.doc GROUP BY scan.doc")
 def str9b(spark, sf):
     """The last selection of each document, after changes and a restart."""
     s = segments(spark, sf)

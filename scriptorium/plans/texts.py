@@ -148,7 +148,11 @@ def seg3(spark, sf):
     return docs(spark, sf).select("doc_id", F.posexplode(parts).alias("p", "t")).select("doc_id", (F.col("p") + 1).cast("long").alias("id"))
 
 
-@query("fea1_quote_ratio")
+# An opener takes all up to the next mark of its kind, or else the rest of the text.
+QUOTED = r"""regexp_extract_all({0}, '"[^"]*"|''[^'']*''|["''][\s\S]*')"""
+
+
+@query("fea1_quote_ratio", f"SELECT page_id, round(coalesce(list_sum(list_transform(list_filter({QUOTED.format('html')}, lambda x: length(x) >= 2 AND left(x, 1) = right(x, 1)), lambda x: length(x) - 2)), 0) / length(html)::DOUBLE, 6) AS share FROM pages")
 def fea1(spark, sf):
     return table(spark, sf, "pages").select("page_id", r6(T.quoted_share(F.col("html")), "share"))
 
