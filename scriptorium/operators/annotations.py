@@ -164,7 +164,7 @@ def prepositions(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
 def imageability(values: DataFrame, totals: DataFrame, bins: int = VALUE_BINS) -> DataFrame:
     """FEA27: ``doc_id, bin, share, mean`` of matched values out of the words. The mean is that of exact
     decimals, so that it doesn't hang on the order of a sum."""
-    mean = values.groupBy("doc_id").agg((F.sum(F.col("value").cast("decimal(20,10)")) / F.count("value")).cast("double").alias("mean"))
+    mean = values.groupBy("doc_id").agg((F.sum(F.col("value").cast("decimal(20,10)")).cast("double") / F.count("value")).alias("mean"))
     binned = values.groupBy("doc_id", F.least(F.floor(F.col("value") * bins), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("c"))
     return binned.join(mean, "doc_id").join(totals, "doc_id").select("doc_id", "bin", F.coalesce(F.try_divide(F.col("c").cast("double"), F.col("n")), F.lit(0.0)).alias("share"), "mean")
 

@@ -129,9 +129,9 @@ def lexicon_matches(table: DataFrame, lexicon: DataFrame, most: int) -> DataFram
 
 def concreteness(table: DataFrame, matches: DataFrame, bins: int = 20) -> DataFrame:
     """FEA26: ``doc_id, bin, share, mean``: matches by value, out of the words less those inside longer
-    matches."""
+    matches. The mean is that of exact decimals, so that it doesn't hang on the order of a sum."""
     n = table.groupBy("doc_id").agg(F.count("*").alias("words"))
-    inside = matches.groupBy("doc_id").agg(F.sum(F.col("stop") - F.col("start")).alias("inside"), F.avg("value").alias("mean"))
+    inside = matches.groupBy("doc_id").agg(F.sum(F.col("stop") - F.col("start")).alias("inside"), (F.sum(F.col("value").cast("decimal(20,10)")).cast("double") / F.count("value")).alias("mean"))
     binned = matches.withColumn("bin", F.least(F.floor(F.col("value") * bins), F.lit(bins - 1)).cast("int")).groupBy("doc_id", "bin").agg(F.count("*").alias("c"))
     return binned.join(n, "doc_id").join(inside, "doc_id").select("doc_id", "bin", F.try_divide(F.col("c").cast("double"), F.col("words") - F.col("inside")).alias("share"), "mean")
 

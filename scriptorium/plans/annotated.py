@@ -155,7 +155,7 @@ def lex2(spark, sf):
     return A.prepositions(tokens(spark, sf), spark.createDataFrame(LEX, LEX_SCHEMA))
 
 
-@query("fea27_imageability", f"WITH {PREPS}, {N}, g AS (SELECT doc_id, avg(value) AS mean FROM m GROUP BY ALL), h AS (SELECT doc_id, CAST(least(floor(value::DOUBLE * 10), 9) AS INTEGER) AS bin, count(*) AS c FROM m GROUP BY ALL) SELECT h.doc_id, bin, round(coalesce(c / nullif(n, 0)::DOUBLE, 0), 6) AS share, round(mean, 6) AS mean FROM h JOIN g USING (doc_id) JOIN n USING (doc_id)")
+@query("fea27_imageability", f"WITH {PREPS}, {N}, g AS (SELECT doc_id, sum(value::DECIMAL(20, 10))::DOUBLE / count(*) AS mean FROM m GROUP BY ALL), h AS (SELECT doc_id, CAST(least(floor(value::DOUBLE * 10), 9) AS INTEGER) AS bin, count(*) AS c FROM m GROUP BY ALL) SELECT h.doc_id, bin, round(coalesce(c / nullif(n, 0)::DOUBLE, 0), 6) AS share, round(mean, 6) AS mean FROM h JOIN g USING (doc_id) JOIN n USING (doc_id)")
 def fea27(spark, sf):
     t = tokens(spark, sf)
     return A.imageability(A.prepositions(t, spark.createDataFrame(LEX, LEX_SCHEMA)), totals(t)).select("doc_id", "bin", r6("share"), r6("mean"))

@@ -249,7 +249,7 @@ def lex1(spark, sf):
     return _matches(spark, sf)
 
 
-@query("fea26_concreteness", f"{MATCH}, t AS (SELECT doc_id, count(*) AS n FROM words GROUP BY ALL), s AS (SELECT doc_id, sum(len - 1) AS inside, avg(v) AS mean FROM m GROUP BY ALL) SELECT m.doc_id, CAST(least(floor(v * 20), 19) AS INTEGER) AS bin, round(count(*) / any_value(n - inside)::DOUBLE, 6) AS share, round(any_value(mean), 6) AS mean FROM m JOIN t USING (doc_id) JOIN s USING (doc_id) GROUP BY m.doc_id, CAST(least(floor(v * 20), 19) AS INTEGER)")
+@query("fea26_concreteness", f"{MATCH}, t AS (SELECT doc_id, count(*) AS n FROM words GROUP BY ALL), s AS (SELECT doc_id, sum(len - 1) AS inside, sum(v::DECIMAL(20, 10))::DOUBLE / count(*) AS mean FROM m GROUP BY ALL) SELECT m.doc_id, CAST(least(floor(v * 20), 19) AS INTEGER) AS bin, round(count(*) / any_value(n - inside)::DOUBLE, 6) AS share, round(any_value(mean), 6) AS mean FROM m JOIN t USING (doc_id) JOIN s USING (doc_id) GROUP BY m.doc_id, CAST(least(floor(v * 20), 19) AS INTEGER)")
 def fea26(spark, sf):
     return X.concreteness(words(spark, sf), _matches(spark, sf)).select("doc_id", "bin", r6("share"), r6("mean"))
 

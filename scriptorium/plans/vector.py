@@ -128,9 +128,9 @@ poly AS (SELECT doc_id, least(length(lemma) % 20, 15) - 1 AS bin FROM tokens WHE
 nexts AS MATERIALIZED (SELECT doc_id, pos, itext AS w, lead(itext) OVER x AS w1, lead(itext, 2) OVER x AS w2 FROM tokens WINDOW x AS (PARTITION BY doc_id ORDER BY pos)),
 {_matches('con', LEXICON)},
 {_matches('pla', [(p, 1.0) for p in PLACES])},
-cm AS (SELECT doc_id, sum(len - 1) AS inside, avg(v) AS mean FROM con GROUP BY ALL),
+cm AS (SELECT doc_id, sum(len - 1) AS inside, sum(v::DECIMAL(20, 10))::DOUBLE / count(*) AS mean FROM con GROUP BY ALL),
 {_prepositions()},
-im AS (SELECT doc_id, avg(value::DECIMAL(20, 10)) AS mean FROM m GROUP BY ALL),
+im AS (SELECT doc_id, sum(value::DECIMAL(20, 10))::DOUBLE / count(*) AS mean FROM m GROUP BY ALL),
 every(doc_id, feature, value) AS (
   SELECT doc_id, 0, coalesce(list_sum(list_transform(list_filter(regexp_extract_all(text, '"[^"]*"|''[^'']*''|["''][\s\S]*'), lambda x: length(x) >= 2 AND left(x, 1) = right(x, 1)), lambda x: length(x) - 2)), 0) / length(text)::DOUBLE FROM documents
   UNION ALL SELECT doc_id, {_AT['char_ngrams']} + idx, c / (greatest(length(t) - 1, 0) + greatest(length(t) - 2, 0) + greatest(length(t) - 3, 0) + greatest(length(t) - 4, 0))::DOUBLE FROM cg JOIN fold USING (doc_id)
