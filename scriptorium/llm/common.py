@@ -69,6 +69,11 @@ def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def row_of(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct, whatever their names."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
+
+
 def unit_hash(*parts: Column | str) -> Column:
     """A number in [0, 1) that depends on ``parts`` alone; DuckDB's md5 gives the same."""
     text = F.concat_ws(":", *[F.coalesce(F.col(p).cast("string") if isinstance(p, str) else p, F.lit("")) for p in parts])

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cleared, small_side, unit_hash, written
+from .common import cleared, row_of, small_side, unit_hash, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -76,7 +76,7 @@ def mixed(docs: DataFrame, seed: str = "mix", **how) -> DataFrame:
         targets = written(source_targets(sized, **how), "targets")
         made.pop()  # a row per source, which the rows that are returned read
     rates = small_side(targets.select(F.col("source").alias("of"), F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)).alias("rate")))
-    rows = docs.select("doc_id", "source", F.struct(*docs.columns).alias("doc"))
+    rows = docs.select("doc_id", "source", row_of(docs).alias("doc"))
     taken = rows.join(rates, rows["source"].eqNullSafe(F.col("of"))).select("doc", copies(F.col("rate"), seed).cast("int").alias("n")).filter("n > 0")
     return taken.select("doc", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy")).select("doc.*")
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, bounded_batches, cleared, frugal, small_side, written
+from .common import BROADCAST_ROWS, bounded_batches, cleared, frugal, row_of, small_side, written
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -165,7 +165,7 @@ def found(docs: DataFrame, carry: bool = False) -> DataFrame:
     """Base spans and all occurrences of each row of ``docs``, as a table in the shared folder;
     with the columns of ``docs`` (under ``doc``) if ``carry``. Null texts count as empty."""
     bounded_batches(docs.sparkSession)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([F.struct(*docs.columns).alias("doc")] if carry else []))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([row_of(docs).alias("doc")] if carry else []))
     kept = [f for f in source.schema if f.name == "doc"]
     span = pa.struct([("start", pa.int64()), ("k", pa.int32()), ("end", pa.int64())])
     seen = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.int32()), ("instance", pa.string()), ("shape", pa.string()), ("patterns", pa.list_(pa.string()))])
