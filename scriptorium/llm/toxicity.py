@@ -28,8 +28,8 @@ SAMPLE_CHARS = 10_000  # longer texts are left out of the training rows
 BLOCK = 1 << 20  # bytes of text that are worked on at a time
 
 SCORED = "doc_id long, held_out boolean, score double, predicted int"
-#: Bytes to themselves if they can belong to a letter, all others to a space.
-LETTERS = np.array([c if c >= 128 or chr(c).isalpha() else 32 for c in range(256)], np.uint8)
+#: Bytes to themselves if they can belong to a letter or are a digit, all others to a space.
+LETTERS = np.array([c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)], np.uint8)
 
 
 @dataclass
@@ -39,9 +39,9 @@ class Model:
 
 
 def cleaned(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The texts' bytes in lower case with spaces for all but letters, two spaces around each text;
-    and where each text starts (one entry more than texts). Of a word said again and again in a row
-    one is kept: a window of a single word would be judged by that word alone."""
+    """The texts' bytes in lower case with spaces for all but letters and digits, two spaces around each
+    text; and where each text starts (one entry more than texts). A word said again and again in a row
+    weighs as one: a window of a single word would be judged by that word alone."""
     parts = []
     for t in texts:
         words = (t or "").lower().split()
