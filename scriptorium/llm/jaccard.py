@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cleared, frugal, small_side, written
+from .common import bounded_batches, cleared, frugal, row_of, small_side, written
 from .components import components
 from .shingles import Powers, blocks, shingles, words
 
@@ -35,7 +35,7 @@ SHINGLE_BITS, WORD_BITS = 20, 19  # of the tables of frequencies
 ENTRIES, CHUNK = (1 << SHINGLE_BITS) + (1 << WORD_BITS), 1 << 12  # of both; that travel together
 TILE_MEMBERS, TILE_SHINGLES = 512, 1 << 21  # of a chunk of a family or block, on average
 COLUMNS = 4096  # of a matrix product
-SLICES = 4  # of the prefix shingles, one after the other
+SLICES = 4  # of the prefix shingles, and of the tiles, one after the other
 EACH = 50  # shingles of a set for one more that its prefix has to share
 DENSE = 32  # a shingle of at least 1 / DENSE of a tile's members goes to the matrix product
 
@@ -252,7 +252,10 @@ def pruned(leads: DataFrame, percent: int) -> DataFrame:
         found = written(part.select("token", "gid").join(small_side(shared), "token"), "hits")
         hits = hits.unionAll(found) if hits is not None else found
     near = hits.join(leads.select("gid", "n", "of"), "gid")
-    return written(sharing(written(compatible(near, percent), "compatible"), percent), "near")
+    for _ in range(2):  # the few rows that the second round leaves out hold families together
+        near = written(compatible(near, percent), "near")
+        near = written(sharing(near, percent), "near")
+    return near
 
 
 def dealt(index: DataFrame, member: DataFrame) -> DataFrame:
@@ -303,10 +306,15 @@ def joined(docs: DataFrame, table: DataFrame, rows: DataFrame, others: DataFrame
         tiles = written(dealt(index, heads.select("gid", "sig", "doc_id", "n").dropDuplicates(["sig"])), "tiles")
         made.pop()  # the tiles, which stay: prefixes and blocks go before the sets are sent
 
-    needed = small_side(written(tiles.select("doc_id").distinct(), "needed"))
-    held = sets(docs.join(needed, "doc_id", "left_semi"), width)
-    placed = held.join(small_side(tiles.drop("doc_id")), "sig").select("by", "key", "i", "j", "sig", "items")
-    return written(links(placed.repartition("by", "key", "i", "j").sortWithinPartitions("by", "key", "i", "j"), percent), "links")
+    every = None
+    for k in range(SLICES):  # the sets of a slice of the tiles at a time
+        mine = tiles.filter(F.pmod(F.xxhash64("by", "key", "i", "j"), F.lit(SLICES)) == k)
+        needed = small_side(written(mine.select("doc_id").distinct(), "needed"))
+        held = sets(docs.join(needed, "doc_id", "left_semi"), width)
+        placed = held.join(small_side(mine.drop("doc_id")), "sig").select("by", "key", "i", "j", "sig", "items")
+        found = written(links(placed.repartition("by", "key", "i", "j").sortWithinPartitions("by", "key", "i", "j"), percent), "some-links")
+        every = every.unionAll(found) if every is not None else found
+    return written(every, "links")
 
 
 def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -352,7 +360,7 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     different texts stay unless their own text is a copy, and rows without a ``doc_id`` take part.
     Texts without words are no copies; only where such rows share a ``doc_id`` and the text, one stays.
     """
-    names, number = docs.columns, F.col("doc_id").cast("long")
+    number = F.col("doc_id").cast("long")
     row = F.xxhash64(number, "text")
     loose = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False))
     with cleared(docs.sparkSession) as made:
@@ -367,7 +375,7 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
         gone = written(ranked.join(small_side(first), "component_id").filter("row <> first").select("row"), "gone")
         again = written(keys.filter("NOT loose").groupBy("row").agg(F.count("*").alias("times")).filter("times > 1").select("row"), "repeated")
         del made[-2:]  # the rows that go and those that repeat, a number each, stay: what is returned reads them
-    marked = docs.select(F.struct(*names).alias("doc"), row.alias("row"))
+    marked = docs.select(row_of(docs).alias("doc"), row.alias("row"))
     kept = marked.join(small_side(gone), "row", "left_anti")
     if again.isEmpty():
         return kept.select("doc.*")
