@@ -35,7 +35,7 @@ SHINGLE_BITS, WORD_BITS = 20, 19  # of the tables of frequencies
 ENTRIES, CHUNK = (1 << SHINGLE_BITS) + (1 << WORD_BITS), 1 << 12  # of both; that travel together
 TILE_MEMBERS, TILE_SHINGLES = 512, 1 << 21  # of a chunk of a family or block, on average
 COLUMNS = 4096  # of a matrix product
-SLICES = 4  # of the prefix shingles, and of the tiles, one after the other
+SLICES = 4  # of the tiles, one after the other
 EACH = 50  # shingles of a set for one more that its prefix has to share
 DENSE = 32  # a shingle of at least 1 / DENSE of a tile's members goes to the matrix product
 
@@ -245,12 +245,9 @@ def sharing(near: DataFrame, percent: int) -> DataFrame:
 def pruned(leads: DataFrame, percent: int) -> DataFrame:
     """``token, gid, n, of``: a table of the blocks of ``gid, n, of, tokens``, without the groups that
     cannot reach a partner in them."""
-    posted, hits = leads.select("gid", "of", F.explode("tokens").alias("token")), None
-    for k in range(SLICES):  # the shingles of a slice at a time, so that not all are on disk at once
-        part = posted.filter(F.pmod("token", F.lit(SLICES)) == k)
-        shared = written(part.groupBy("token").agg(F.sum("of").alias("m")).filter("m > 1").select("token"), "shared")
-        found = written(part.select("token", "gid").join(small_side(shared), "token"), "hits")
-        hits = hits.unionAll(found) if hits is not None else found
+    posted = leads.select("gid", "of", F.explode("tokens").alias("token"))
+    shared = written(posted.groupBy("token").agg(F.sum("of").alias("m")).filter("m > 1").select("token"), "shared")
+    hits = written(posted.select("token", "gid").join(small_side(shared), "token"), "hits")
     near = hits.join(leads.select("gid", "n", "of"), "gid")
     for _ in range(2):  # the few rows that the second round leaves out hold families together
         near = written(compatible(near, percent), "near")
