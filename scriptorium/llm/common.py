@@ -44,14 +44,20 @@ def discarded(spark: SparkSession, path: str) -> None:
 SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def new_place(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, which goes with the open scopes."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for scope in _SCOPES.get():
+        scope.append(path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back: its lineage ends there, so a
     lost executor costs the reader nothing. The shuffle files of the write go with it, as nothing
     reads them again; the session's own setting holds for all other queries."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    for scope in _SCOPES.get():
-        scope.append(path)
+    path = new_place(spark, name)
     before = spark.conf.get(SHUFFLES_GO, None)
     spark.conf.set(SHUFFLES_GO, "true")
     try:

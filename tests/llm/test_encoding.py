@@ -5,6 +5,7 @@ import hashlib
 import zlib
 
 import pytest
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from scriptorium.llm import lattice, packing, png, warc
@@ -74,15 +75,85 @@ def test_packing_is_best_fit_decreasing_and_lossless(spark, odd, empty, small):
     assert packing.packed(empty, words).count() == 0
 
 
-def test_warc_of_odd_pages(spark):
+FORMS = {"cells": (warc.write_archives, warc.read_archives), "files": (warc.store_archives, warc.read_stored)}
+
+
+@pytest.mark.parametrize("form", FORMS)
+def test_warc_of_odd_pages(spark, form):
+    write, read = FORMS[form]
     pages = spark.createDataFrame([(1, "u", "<p>x</p>", 1), (2, "u", "<p>x</p>", 2), (3, None, None, None), (4, "a b\n", "", 4), (5, "v", "é" * 300_000, 5), (5, "v", "é" * 300_000, 5), (None, "w", "alone", 6)], "page_id long, url string, html string, payload int")
-    rows = warc.read_archives(warc.write_archives(pages)).collect()
+    rows = read(write(pages)).collect()
     got = {(r["page_id"], r["record_type"], r["refers_to"]) for r in rows}
     assert len(rows) == 7
     assert got == {(1, "revisit", 2), (2, "response", None), (3, "revisit", 4), (4, "response", None), (5, "response", None), (None, "response", None)}
     digest = {r["page_id"]: r["payload_digest"] for r in rows}
     assert digest[1] == base64.b32encode(hashlib.sha1(b"<p>x</p>").digest()).decode()
-    assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
+    assert read(write(pages.limit(0))).count() == 0
+    assert read(write(pages).limit(0)).count() == 0
+    small = write(pages, archive_bytes=1)  # a page or two an archive
+    assert small.select("archive").distinct().count() >= 6
+    assert {(r["page_id"], r["record_type"], r["refers_to"]) for r in read(small).collect()} == got
+
+
+def test_warc_files_are_plain_archives(spark, tmp_path):
+    """Python's own zip and gzip modules read what the tasks wrote; runs of records may hold one each."""
+    import gzip
+    import zipfile
+
+    pages = spark.createDataFrame([(k, f"http://x/{k}", f"<p>{k % 7}</p>" * (k + 1)) for k in range(100)], "page_id long, url string, html string").coalesce(2)
+    files = warc.store_archives(pages)
+    html = {r["page_id"]: r["html"].encode() for r in pages.collect()}
+    seen = 0
+    for r in files.collect():
+        path = r["archive"].removeprefix("file://").removeprefix("file:")
+        with zipfile.ZipFile(path) as z:
+            assert z.testzip() is None and z.namelist() == [warc.DATA, warc.INDEX, warc.PACKAGE]
+            seen += gzip.decompress(z.read(warc.DATA)).count(b"WARC/1.1\r\n")
+            assert all(i.compress_type == zipfile.ZIP_STORED for i in z.infolist())
+    assert seen == 100
+    for most in (1, 500, 1 << 22):
+        rows = warc.read_stored(files, most).collect()
+        assert {r["page_id"]: r["payload"] for r in rows if r["record_type"] == "response"}.items() <= html.items() and len(rows) == 100
+    lengths = warc.stored_runs(files, 500).collect()
+    assert all(sum(r["lengths"]) <= 500 or len(r["lengths"]) == 1 for r in lengths) and sum(len(r["lengths"]) for r in lengths) == 100
+
+
+def test_warc_file_beyond_four_gigabytes(spark, tmp_path):
+    """A sparse file whose members lie beyond 5 GiB: offsets are in ZIP64 fields, and only a little is read."""
+    path, rows = tmp_path / "far.wacz", [(k, f"u{k}", b"x" * 1000 + str(k).encode(), "response", None) for k in range(50)]
+    with open(path, "wb") as f:
+        f.seek(5 << 30)
+        out, index = warc.ZipStream(f.write), []
+        out.at = 5 << 30
+        out.member(warc.DATA, warc.packed_records(rows, index))
+        out.member(warc.INDEX, iter(["".join(x + "\n" for x in index).encode()]))
+        size = out.close()
+    asked = []
+    with open(path, "rb") as f:
+
+        def read(at, n):
+            asked.append(n)
+            f.seek(at)
+            return f.read(n)
+
+        found = list(warc.records(read, size))
+    assert [(r["page_id"], r["payload"]) for r in found] == [(k, body) for k, _, body, _, _ in rows]
+    assert sum(asked) < 200_000 and size > 5 << 30
+    files = spark.createDataFrame([(f"file://{path}", size)], "archive string, size long")
+    assert sorted(r["page_id"] for r in warc.read_stored(files).collect()) == list(range(50))
+
+
+def test_damaged_warc_files_are_errors(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "hello " * 100)], "page_id long, url string, html string")
+    row = warc.store_archives(pages).filter("size > 0").first()
+    with open(row["archive"].removeprefix("file://").removeprefix("file:"), "rb") as f:
+        body = f.read()
+    at = body.index(b"\x1f\x8b") + 40
+    for name, data in (("cut", body[:-30]), ("flipped", body[:at] + bytes([body[at] ^ 255]) + body[at + 1 :])):
+        (tmp_path / name).write_bytes(data)
+        files = spark.createDataFrame([(f"file://{tmp_path / name}", len(data))], "archive string, size long")
+        with pytest.raises(PythonException, match="ValueError"):
+            warc.read_stored(files).collect()
 
 
 @pytest.mark.parametrize("zip64", [False, True])
