@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scriptorium.operators import cleaning as C
 from scriptorium.session import shared_dir, table
 from scriptorium.sources import readers as I
+from scriptorium.sources import sheets as S
 from scriptorium.sources import writers as O
 
 from .base import query, r6
@@ -47,6 +48,13 @@ def src5(spark, sf):
     return I.ratings_tsv(spark, path)
 
 
+@query("src6_excel", "SELECT p_partkey, p_name, CASE WHEN p_size > 10 THEN p_retailprice END AS price, p_size > 20 AS large FROM part")
+def src6(spark, sf):
+    path = place(spark, "sheets")
+    S.workbooks(table(spark, sf, "part").select("p_name", F.lit("left out").alias("note"), F.when(F.col("p_size") > 10, F.col("p_retailprice")).alias("price"), "p_partkey", (F.col("p_size") > 20).alias("large")), path)
+    return S.excel(spark, path, "p_partkey long, p_name string, price double, large boolean")
+
+
 @query("src7_text_lines", "SELECT md5(n_name) AS h FROM nation")
 def src7(spark, sf):
     path = place(spark, "lines")

@@ -44,19 +44,6 @@ def ratings_tsv(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("task", "x.annotator", "x.rating").filter("task IS NOT NULL AND rating IS NOT NULL")
 
 
-def excel(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """SRC6: sheets by pandas inside tasks, a file at a time; needs a spreadsheet library on the workers."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import io
-
-        for frame in frames:
-            for content in frame["content"]:
-                yield pd.read_excel(io.BytesIO(content))
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
-
-
 def lines(spark: SparkSession, path: str, sep: str = "\n") -> DataFrame:
     """SRC7, SRC8: ``value`` per line, or per record between blank lines with ``sep="\\n\\n"``."""
     return spark.read.text(path, lineSep=sep)
