@@ -3,6 +3,7 @@
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from scriptorium.operators import features as X
 from scriptorium.operators import relational as R
 from scriptorium.operators.intervals import overlapping
 from scriptorium.operators.ranks import cumulative_share, numbered
@@ -258,9 +259,13 @@ def agg9(spark, sf):
 
 @query("agg10_ngram_frequencies", "WITH w AS (SELECT doc_id, string_split(lower(text), ' ') AS a FROM documents), g AS (SELECT doc_id, unnest(list_transform(range(1, len(a)), lambda i: a[i] || ' ' || a[i + 1])) AS gram FROM w) SELECT gram, count(*) AS tf, count(DISTINCT doc_id) AS df FROM g GROUP BY ALL HAVING count(*) >= 20")
 def agg10(spark, sf):
-    a = docs(spark, sf).select("doc_id", F.split(F.lower("text"), " ").alias("a"))
-    g = a.filter(F.size("a") > 1).select("doc_id", F.explode(F.zip_with(F.expr("slice(a, 1, size(a) - 1)"), F.expr("slice(a, 2, size(a) - 1)"), lambda x, y: F.concat_ws(" ", x, y))).alias("gram"))
-    return g.groupBy("gram").agg(F.count("*").alias("tf"), F.countDistinct("doc_id").alias("df")).filter("tf >= 20")
+    """A text's n-grams are sorted inside its row, and the last of equal ones counts the text; so rows are summed by
+    n-gram alone and no pair of n-gram and text is shuffled."""
+    a = F.transform("ts", lambda t: F.split(F.lower(t), " "))
+    pairs = F.flatten(F.transform(a, lambda x: F.when(F.size(x) > 1, F.zip_with(F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x) - 1), lambda p, q: F.concat_ws(" ", p, q))).otherwise(F.array().cast("array<string>"))))
+    grams = docs(spark, sf).groupBy("doc_id").agg(F.collect_list("text").alias("ts")).select("doc_id", F.sort_array(pairs).alias("g"))
+    each = X.unlisted(grams, X.shifted("g", 2))
+    return each.groupBy(F.col("g0").alias("gram")).agg(F.count("*").alias("tf"), F.count_if(~F.col("g0").eqNullSafe(F.col("g1"))).alias("df")).filter("tf >= 20")
 
 
 @query("agg11_histogram_shares", "SELECT source, least(length(text) // 1000, 20) AS bin, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY source), 6) AS share FROM documents GROUP BY 1, 2")
