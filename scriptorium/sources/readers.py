@@ -138,9 +138,11 @@ def uploads(texts: DataFrame) -> DataFrame:
     normalised, and the ranges of dropped lines in the normalised text."""
     from scriptorium.functions import text as T
     from scriptorium.operators import cleaning as C
+    from scriptorium.session import bounded_batches
 
     raw = texts.select("path", T.paragraphs_joined(F.col("text")).alias("text"))
-    before = raw.select("path", T.before_clean(F.col("text")).alias("text"))
+    before = C.before_lines(raw, "path")
+    bounded_batches(texts.sparkSession)
     marked = C.marked(before, "path").withColumn("plain", C.normalised("line"))
     gone = C.removed_ranges(marked, "path")
     return raw.join(C.cleaned(raw, "path").withColumnRenamed("text", "cleaned"), "path").join(gone, "path", "left")
