@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from scriptorium.session import cut, few
+
+from .ranks import running_sum
+
 
 def to_label(p: Column, k: int = 6) -> Column:
     """EVL1: rounded half to even and clipped to the scale."""
@@ -112,17 +116,29 @@ def ablation(runs: DataFrame, baseline: str, column: str = "mse") -> DataFrame:
     return runs.filter(F.col("grp") != baseline).join(base, "seed").groupBy("grp").agg(F.count("*").alias("seeds"), F.avg(d).alias("delta"), F.coalesce(2 * F.stddev_samp(d), F.lit(0.0)).alias("spread"))
 
 
-def average_ranks(rows: DataFrame, keys: list[str], column: str, name: str) -> DataFrame:
-    """Ranks from 1, equal values sharing the mean of theirs."""
-    rank = F.rank().over(W.partitionBy(*keys).orderBy(column))
-    same = F.count("*").over(W.partitionBy(*keys, column))
-    return rows.withColumn(name, rank + (same - 1) / 2.0)
+def weighed_ranks(rows: DataFrame, keys: list[str], column: str, weight: str, name: str) -> DataFrame:
+    """Ranks from 1, equal values sharing the mean of theirs; a row stands for ``weight`` equal ones. Rows are summed by value
+    first, and the values' sums over range partitions, so no task holds a key's rows."""
+    of = [f"of{i}_" for i in range(len(keys))]
+    counts = cut(rows.groupBy(*[F.col(k).alias(o) for k, o in zip(keys, of)], F.col(column).alias("value_")).agg(F.sum(weight).alias("same_")))
+    upto = running_sum(counts, of, ["value_"], "same_", "upto_")
+    ranks = few(cut(upto.select(*of, "value_", (F.col("upto_") - (F.col("same_") - 1) / 2.0).alias(name))))
+    same = F.col(column).eqNullSafe(F.col("value_"))
+    for k, o in zip(keys, of):
+        same &= F.col(k).eqNullSafe(F.col(o))
+    return rows.join(ranks, same).select(*rows.columns, name)
 
 
 def spearman(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """EVL19: correlation of ranks over rows that have both values."""
-    valid = rows.filter("y IS NOT NULL AND p IS NOT NULL")
-    return average_ranks(average_ranks(valid, keys, "y", "__ry"), keys, "p", "__rp").groupBy(*keys).agg(F.count("*").alias("n"), pearson("__ry", "__rp").alias("spearman"))
+    """EVL19: correlation of ranks over rows that have both values; equal pairs of values are one row with their number."""
+    pairs = cut(rows.filter("y IS NOT NULL AND p IS NOT NULL").groupBy(*keys, "y", "p").agg(F.count("*").alias("n_")))
+    ranked = pairs
+    for column, name in (("y", "ry_"), ("p", "rp_")):
+        ranked = weighed_ranks(ranked, keys, column, "n_", name)
+    n, x, y, c = F.sum("n_"), F.col("ry_"), F.col("rp_"), F.col("n_")
+    s = {k: F.sum(c * v) for k, v in (("x", x), ("y", y), ("xx", x * x), ("yy", y * y), ("xy", x * y))}
+    spread = F.sqrt(F.greatest(n * s["xx"] - s["x"] * s["x"], F.lit(0.0))) * F.sqrt(F.greatest(n * s["yy"] - s["y"] * s["y"], F.lit(0.0)))
+    return ranked.groupBy(*keys).agg(n.alias("n"), F.try_divide(n * s["xy"] - s["x"] * s["y"], spread).alias("spearman"))
 
 
 def best_marked(table: DataFrame, column: str, low: bool, tolerance: float = 1e-6) -> Column:
