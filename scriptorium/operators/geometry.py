@@ -8,15 +8,17 @@ from __future__ import annotations
 import unicodedata
 from itertools import pairwise
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as Y
 
-from scriptorium.session import cut
+from scriptorium.session import bounded_batches, cut, few
 
-from .cleaning import NORMALISED, normalised
-from .intervals import overlapping
-from .ranks import running_sum
+from .cleaning import NORMALISED
 
 GAP, PADDING, CLOSE = 12.0, 1.0, 2.0  # fixed values, in pixels: steps that are smoothed, padding, heights that are one
 WIDTH, STRIP, HIGHEST = 56, 16, 2000  # of a heatmap: drawing and indicator strip, cap of the height
@@ -77,46 +79,132 @@ def by_cursor(words: DataFrame, segments: DataFrame, texts: DataFrame, removed:
     return words.groupBy("doc").cogroup(side.groupBy("of")).applyInPandas(run, PLACED)
 
 
+BOX = ("page", "ord", "block", "line", "x0", "y0", "x1", "y1", "word")
+
+
+def together(words: DataFrame, segments: DataFrame, texts: DataFrame, removed: DataFrame) -> DataFrame:
+    """The four tables as a row for each document that has a text and segments: ``doc, boxes, segments, full, removed``,
+    with its words, segments and removed ranges as arrays in order."""
+    listed = lambda df, name, *cols: df.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
+    whole = texts.groupBy("doc").agg(F.max("full").alias("full")).join(listed(segments, "segments", "seg", "text"), "doc")
+    return whole.join(listed(words, "boxes", *BOX), "doc", "left").join(listed(removed, "removed", "start", "stop"), "doc", "left")
+
+
+def apart(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The way back: words, segments, texts and removed ranges of rows as ``together`` gives them."""
+    rows = lambda c: docs.select("doc", F.explode(c).alias("x")).select("doc", "x.*")
+    return rows("boxes"), rows("segments"), docs.select("doc", "full"), rows("removed")
+
+
 def aligned(words: DataFrame, segments: DataFrame, texts: DataFrame, removed: DataFrame) -> DataFrame:
     """GEO1: the boxes of words (or parts of them) by segment. ``texts`` is ``doc, full`` (normalised),
-    ``removed`` is ``doc, start, stop`` in it.
+    ``removed`` is ``doc, start, stop`` in it. See ``aligned_rows``."""
+    return aligned_rows(together(words, segments, texts, removed))
+
+
+def aligned_rows(docs: DataFrame) -> DataFrame:
+    """GEO1 of documents as ``together`` has them: a row for each word (or part) in a segment.
 
     Where the words give the text and what is left of them the segments, a word's place is the sum of
-    the lengths before it, and words meet segments as intervals; so a document's words spread over many
-    tasks. Only documents where something differs go through the cursor.
+    the lengths before it, and words meet segments as intervals. That is worked out inside the document's
+    row, so no word is shuffled or kept. Only documents where something differs go through the cursor.
+    """
+    boxed, odd = met_rows(docs)
+    return boxed.select("doc", F.explode_outer("met").alias("x")).filter("x IS NOT NULL").select("doc", "x.*").unionByName(by_cursor(*apart(odd)))
+
+
+def bound(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are formed once a row. (A generator, as Spark would write a projection's arrays out inside
+    the functions over elements, and form them again for each.)"""
+    once = F.explode_outer(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("once")
+    return df.select(*[c for c in df.columns if c not in columns], once).select(*[c for c in df.columns if c not in columns], "once.*")
+
+
+def met_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``doc, met`` with the boxes by segment as an array, empty for odd documents; and the rows of the odd ones."""
+    bounded_batches(docs.sparkSession)
+    pick = lambda a, c: F.transform(F.col(a), lambda x: x[c])
+    held = bound(docs, boxes=F.col("boxes"), segments=F.col("segments"))
+    met = held.select("*", meeting(pick("boxes", "word"), pick("segments", "text"), F.col("full"), F.col("removed").cast("array<struct<start:bigint,stop:bigint>>")).alias("m"))
+    numbers = cut(met.filter("m.odd").select("doc"))
+
+    def box(h):
+        b, wide = F.get("boxes", h["place"]), lambda b: b["x1"] - b["x0"]
+        return F.struct(
+            F.get("segments", h["of"])["seg"].cast("int").alias("seg"), b["page"].cast("int").alias("page"), b["ord"].cast("int").alias("ord"), b["block"].cast("int").alias("block"), b["line"].cast("int").alias("line"),
+            (b["x0"] + h["a"] * wide(b)).alias("x0"), b["y0"].alias("y0"), (b["x0"] + h["b"] * wide(b)).alias("x1"), b["y1"].alias("y1"),
+        )
+
+    return met.select("doc", F.transform("m.hits", box).alias("met")), docs.join(few(numbers), "doc", "left_semi")
+
+
+def plain_all(texts: pa.Array) -> pa.Array:
+    """CLN10 of an array; each different text once, nulls as empty ones."""
+    kinds = texts.dictionary_encode()
+    made = pa.array([plain(t) if t else "" for t in kinds.dictionary.to_pylist()], pa.string())
+    return pc.fill_null(made.take(kinds.indices), "")
+
+
+def _flat(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The elements of an array of lists (null: an empty one) and where each list begins, with the end at last."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return pc.list_flatten(lists), np.append(0, np.cumsum(sizes))
+
+
+def _sums(n: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Running sums of each list's elements."""
+    upto = np.append(0, np.cumsum(n))
+    return upto[1:] - np.repeat(upto[begins[:-1]], np.diff(begins))
+
+
+HIT = Y.StructType([Y.StructField("place", Y.IntegerType()), Y.StructField("of", Y.IntegerType()), Y.StructField("a", Y.DoubleType()), Y.StructField("b", Y.DoubleType())])
+
+
+@F.arrow_udf(Y.StructType([Y.StructField("odd", Y.BooleanType()), Y.StructField("hits", Y.ArrayType(HIT))]))
+def meeting(words: pa.Array, segments: pa.Array, full: pa.Array, removed: pa.Array) -> pa.Array:
+    """Of a batch of documents: whether the cursor is needed, and else which word (or part of its width, from and to)
+    lies in which segment, by places in their lists.
+
+    It is needed where the words in order are no beginning of the text, or what is kept of them and the segments
+    differ before one of them ends, or a segment is empty, or a word goes on beyond the last segment. A word over two
+    segments that ends with the second leaves the cursor there, and the next word's box is cut at no width.
     """
-    known = texts.select("doc").join(segments.select("doc").distinct(), "doc", "left_semi").distinct()
-    there = words.join(known, "doc", "left_semi").withColumn("plain", normalised("word")).filter("plain <> ''").withColumn("n", F.length("plain").cast("long"))
-    boxes = cut(running_sum(there, ["doc"], ["page", "ord"], "n", "stop").withColumn("start", F.col("stop") - F.col("n")))
-    gone = overlapping(boxes.select("doc", "page", "ord", "start", "stop"), removed, ["doc"], ("start", "stop"), ("start", "stop")).select("left.doc", "left.page", "left.ord").distinct()
-    left = boxes.drop("start", "stop").join(gone, ["doc", "page", "ord"], "left_anti")
-    kept = cut(running_sum(left, ["doc"], ["page", "ord"], "n", "stop").withColumn("start", F.col("stop") - F.col("n")))
-    pieces = segments.join(known, "doc", "left_semi").select("doc", "seg", normalised("text").alias("plain")).withColumn("n", F.length("plain").cast("long"))
-    parts = cut(running_sum(pieces, ["doc"], ["seg"], "n", "stop").withColumn("start", F.col("stop") - F.col("n")))
-    odd = mismatched(known, texts, boxes, kept, parts)
-    pairs = overlapping(kept.drop("plain"), parts.select("doc", "seg", "start", "stop"), ["doc"], ("start", "stop"), ("start", "stop"))
-    met = cut(pairs.select("left.*", "right.seg", F.greatest("left.start", "right.start").alias("a"), F.least("left.stop", "right.stop").alias("b"), (F.col("left.stop") == F.col("right.stop")).alias("ends")))
-    # A word over two segments that ends with the second leaves the cursor there, and the next word's box is cut at no width.
-    spread = met.groupBy("doc", "page", "ord").agg(F.count("*").alias("c"), F.max("ends").alias("ends")).filter("c > 2 OR (c = 2 AND ends)").select("doc")
-    odd = cut(odd.union(spread).distinct())
-    wide = F.col("x1") - F.col("x0")
-    at = lambda c: F.col("x0") + (F.col(c) - F.col("start")) / F.col("n") * wide
-    plain_ones = met.join(odd, "doc", "left_anti").select("doc", F.col("seg").cast("int").alias("seg"), "page", F.col("ord").cast("int").alias("ord"), "block", "line", at("a").alias("x0"), "y0", at("b").alias("x1"), "y1")
-    only = [x.join(odd, "doc", "left_semi") for x in (words, segments, texts, removed)]
-    return plain_ones.unionByName(by_cursor(*only))
-
-
-def mismatched(known: DataFrame, texts: DataFrame, boxes: DataFrame, kept: DataFrame, parts: DataFrame) -> DataFrame:
-    """``doc`` where the words in order are no beginning of the text, or what is kept of them and the segments
-    differ before one of them ends, or a segment is empty, or a word goes on beyond the last segment."""
-    in_order = lambda df, *by: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*by, "plain"))), lambda x: x["plain"]), "")
-    whole = boxes.groupBy("doc").agg(in_order(boxes, "page", "ord").alias("said"))
-    rest = kept.groupBy("doc").agg(in_order(kept, "page", "ord").alias("rest"))
-    segs = parts.groupBy("doc").agg(in_order(parts, "seg").alias("segs"), F.max("stop").alias("total"), F.min("n").alias("least"))
-    over = kept.join(segs.select("doc", "total"), "doc").filter("start < total AND stop > total").select("doc").distinct().withColumn("over", F.lit(True))
-    every = known.join(texts, "doc").join(whole, "doc", "left").join(rest, "doc", "left").join(segs, "doc", "left").join(over, "doc", "left")
-    same = F.startswith("full", F.coalesce("said", F.lit(""))) & (F.startswith("segs", F.coalesce("rest", F.lit(""))) | F.startswith(F.coalesce("rest", F.lit("")), F.col("segs")))
-    return every.filter(~F.coalesce(same & (F.col("least") > 0) & F.col("over").isNull(), F.lit(False))).select("doc")
+    (raw, at), (raw_segments, seg_at) = _flat(words), _flat(segments)
+    said, segs = plain_all(raw), plain_all(raw_segments)
+    joined = lambda begins, parts: pc.binary_join(pa.ListArray.from_arrays(pa.array(begins, pa.int32()), parts), "").to_pylist()
+    length = lambda parts: pc.utf8_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+    n, size, docs = length(said), length(segs), len(words)
+    whole, stop, gone = joined(at, said), _sums(n, at), np.zeros(len(n), bool)
+    for d, ranges in enumerate(removed.to_pylist()):
+        mine = slice(at[d], at[d + 1])
+        for r in ranges or []:
+            if r["start"] is not None and r["stop"] is not None and r["stop"] >= r["start"]:
+                gone[mine] |= (stop[mine] - n[mine] < r["stop"]) & (r["start"] < stop[mine])
+    rest = joined(at, pc.if_else(pa.array(gone), "", said)) if gone.any() else whole
+    n = np.where(gone, 0, n)
+    there = joined(seg_at, segs)
+    total, longest = np.array([len(t) for t in there], np.int64), np.array([len(t) for t in rest], np.int64)
+    base = np.append(0, np.cumsum(np.maximum(total, longest) + 1))[:-1]  # documents one after the other, with a place between them
+    owner = np.repeat(np.arange(docs), np.diff(at))
+    stop, seg_stop = _sums(n, at) + base[owner], _sums(size, seg_at) + np.repeat(base, np.diff(seg_at))
+    start, seg_start = stop - n, seg_stop - size
+    first = np.minimum(np.searchsorted(seg_stop, start, "right"), seg_at[1:][owner])
+    last = np.minimum(np.searchsorted(seg_start, stop, "left"), seg_at[1:][owner])
+    meets = np.where(n > 0, np.maximum(last - first, 0), 0)
+    final = np.append(seg_stop, -1)[np.maximum(last - 1, 0)]
+    end = base[owner] + total[owner]
+    wrong = (meets > 2) | ((meets == 2) & (stop == final)) | ((n > 0) & (start < end) & (stop > end))
+    odd = np.bincount(owner[wrong], minlength=docs) > 0
+    odd |= np.bincount(np.repeat(np.arange(docs), np.diff(seg_at))[size == 0], minlength=docs) > 0
+    odd |= [t is None or not t.startswith(w) or not (s.startswith(r) or r.startswith(s)) for t, w, s, r in zip(full.to_pylist(), whole, there, rest)]
+    meets = np.where(odd[owner], 0, meets)
+    word = np.repeat(np.arange(len(n)), meets)
+    seg = np.repeat(first - np.append(0, np.cumsum(meets))[:-1], meets) + np.arange(len(word))
+    share = lambda x: pa.array((x - start[word]) / n[word])
+    parts = [pa.array((word - at[owner[word]]).astype(np.int32)), pa.array((seg - seg_at[owner[word]]).astype(np.int32)), share(np.maximum(start[word], seg_start[seg])), share(np.minimum(stop[word], seg_stop[seg]))]
+    counts = np.append(0, np.cumsum(np.bincount(owner, meets, minlength=docs).astype(np.int64)))
+    hits = pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.StructArray.from_arrays(parts, ["place", "of", "a", "b"]))
+    return pa.StructArray.from_arrays([pa.array(odd), hits], ["odd", "hits"])
 
 
 def line_bounds(boxes: DataFrame) -> DataFrame:
@@ -177,7 +265,31 @@ def outline(lines: list[tuple[float, float, float, float]], width: float, height
 
 def outlines(boxes: DataFrame, pages: DataFrame, padding: float = PADDING, gap: float = GAP) -> DataFrame:
     """GEO2: ``doc, seg, page, polygon`` from boxes of words and ``doc, page, width, height``."""
-    lines = line_bounds(boxes).groupBy("doc", "seg", "page").agg(F.array_sort(F.collect_list(F.struct("top", "block", "line", "bottom", "left", "right"))).alias("lines"))
+    return drawn(line_bounds(boxes), pages, padding, gap)
+
+
+def line_bounds_rows(docs: DataFrame) -> DataFrame:
+    """GEO2, first part, of documents as ``together`` has them: lines are folded inside the document's row, where those
+    of ``line_bounds`` are grouped. Odd documents' boxes are grouped."""
+    boxed, odd = met_rows(docs)
+    keys = lambda x: F.struct(x["seg"].alias("seg"), x["page"].alias("page"), x["block"].alias("block"), x["line"].alias("line"))
+    box = lambda x: F.struct(keys(x).alias("k"), x["x0"].alias("x0"), x["ord"].alias("ord"), x["x1"].alias("x1"), x["y0"].alias("y0"), x["y1"].alias("y1"))
+    rows = bound(boxed.select("doc", "met"), b=F.array_sort(F.transform("met", box))).drop("met").filter(F.size("b") > 0)
+    starts = F.filter(F.transform("b", lambda x, i: F.when((i == 0) | (x["k"] != F.get("b", F.greatest(i - 1, F.lit(0)))["k"]), i)), lambda i: i.isNotNull())
+    found = bound(rows, s=starts)
+
+    def line(i, j):
+        k, own = F.get("b", i)["k"], F.slice("b", i + 1, F.coalesce(F.get("s", j + 1), F.size("b")) - i)
+        of = lambda c: F.transform(own, lambda x: x[c])
+        return F.struct(*[k[c].alias(c) for c in ("seg", "page", "block", "line")], F.array_min(of("y0")).alias("top"), F.array_max(of("y1")).alias("bottom"), F.get("b", i)["x0"].alias("left"), F.element_at(own, -1)["x1"].alias("right"))
+
+    found = found.select("doc", F.explode_outer(F.transform("s", line)).alias("x")).filter("x IS NOT NULL").select("doc", "x.*").filter(F.col("right") >= F.col("left"))
+    return found.unionByName(line_bounds(by_cursor(*apart(odd))))
+
+
+def drawn(bounds: DataFrame, pages: DataFrame, padding: float = PADDING, gap: float = GAP) -> DataFrame:
+    """GEO2, second part: ``doc, seg, page, polygon`` of lines' bounds."""
+    lines = bounds.groupBy("doc", "seg", "page").agg(F.array_sort(F.collect_list(F.struct("top", "block", "line", "bottom", "left", "right"))).alias("lines"))
 
     @F.pandas_udf("array<array<double>>")
     def draw(lines: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
