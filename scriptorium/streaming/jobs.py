@@ -6,6 +6,8 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -112,16 +114,25 @@ def micro_batches(requests: DataFrame, keys: tuple[str, ...], at: str, order: st
 
 def answered(batches: DataFrame, call: Callable[[list[str]], list[str]], keys: tuple[str, ...], order: str, text: str) -> DataFrame:
     """STR6: ``order, answer, error`` by one call for each group and part; an error goes to each of its
-    requests. Groups are bounded by the size of a part."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        try:
-            out, error = call(frame[text].tolist()), None
-        except Exception as e:
-            out, error = [None] * len(frame), str(e)
-        return pd.DataFrame({order: frame[order], "answer": out, "error": error})
-
-    return batches.groupBy(*keys, "slot", "part").applyInPandas(run, f"{order} long, answer string, error string")
+    requests. A part is one row while it is called, so a task calls for many of them from one batch."""
+    lists = batches.groupBy(*keys, "slot", "part").agg(F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("o"), F.col(text).alias("t")))).alias("r"))
+
+    def run(frames):
+        for frame in frames:
+            ids, texts = frame.column(0), frame.column(1).to_pylist()
+            answers, errors = [], []
+            for mine in texts:
+                try:
+                    out, error = list(call(mine)), None
+                    if len(out) != len(mine):
+                        raise ValueError("not as many answers as requests")
+                except Exception as e:
+                    out, error = [None] * len(mine), str(e)
+                answers += out
+                errors += [error] * len(mine)
+            yield pa.RecordBatch.from_arrays([pc.list_flatten(ids), pa.array(answers, pa.string()), pa.array(errors, pa.string())], [order, "answer", "error"])
+
+    return lists.select(F.transform("r", lambda x: x["o"]).alias("o"), F.transform("r", lambda x: x["t"]).alias("t")).mapInArrow(run, f"{order} long, answer string, error string")
 
 
 def reselected(spark: SparkSession, known: DataFrame, changed: DataFrame) -> DataFrame:
