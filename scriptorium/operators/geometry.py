@@ -6,6 +6,8 @@ Words are ``doc, page, ord, block, line, x0, y0, x1, y1, word``; segments ``doc,
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
+from dataclasses import dataclass
 from itertools import pairwise
 
 import numpy as np
@@ -18,7 +20,7 @@ from pyspark.sql import types as Y
 
 from scriptorium.session import bounded_batches, cut, few
 
-from .cleaning import NORMALISED
+from .tallies import slices
 
 GAP, PADDING, CLOSE = 12.0, 1.0, 2.0  # fixed values, in pixels: steps that are smoothed, padding, heights that are one
 WIDTH, STRIP, HIGHEST = 56, 16, 2000  # of a heatmap: drawing and indicator strip, cap of the height
@@ -26,9 +28,18 @@ WIDTH, STRIP, HIGHEST = 56, 16, 2000  # of a heatmap: drawing and indicator stri
 PLACED = "doc long, seg int, page int, ord int, block int, line int, x0 double, y0 double, x1 double, y1 double"
 
 
+# Quotes made plain, and what else normalised text leaves out besides white space.
+PLAIN = [("’", "'"), ("“", '"'), ("”", '"'), *((c, "") for c in "\ufeff-‐‑‒–—")]
+
+
 def plain(text: str) -> str:
-    """CLN10 for one text."""
-    return NORMALISED.sub("", unicodedata.normalize("NFKC", text).translate(str.maketrans("’“”", "'\"\"", "\r﻿")))
+    """CLN10 for one text, without a pattern: white space goes by splitting at it."""
+    if text.isascii():
+        return "".join(text.split()).replace("-", "")
+    text = unicodedata.normalize("NFKC", text)
+    for old, new in PLAIN:
+        text = text.replace(old, new)
+    return "".join(text.split())
 
 
 def placed(words: list[tuple], segments: list[str], full: str, removed: list[tuple[int, int]]) -> list[tuple]:
@@ -139,10 +150,14 @@ def met_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def plain_all(texts: pa.Array) -> pa.Array:
-    """CLN10 of an array; each different text once, nulls as empty ones."""
+    """CLN10 of an array; nulls as empty ones. All at once with a character between them that stays and goes with no other."""
     kinds = texts.dictionary_encode()
-    made = pa.array([plain(t) if t else "" for t in kinds.dictionary.to_pylist()], pa.string())
-    return pc.fill_null(made.take(kinds.indices), "")
+    some = kinds.dictionary.to_numpy(zero_copy_only=False).tolist()
+    if (whole := "\0".join(some)).count("\0") == len(some) - 1:
+        made = plain(whole).split("\0")
+    else:
+        made = [plain(t) for t in some]
+    return pc.fill_null(pa.array(made, pa.string()).take(kinds.indices), "")
 
 
 def _flat(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -170,10 +185,18 @@ def meeting(words: pa.Array, segments: pa.Array, full: pa.Array, removed: pa.Arr
     segments that ends with the second leaves the cursor there, and the next word's box is cut at no width.
     """
     (raw, at), (raw_segments, seg_at) = _flat(words), _flat(segments)
-    said, segs = plain_all(raw), plain_all(raw_segments)
+    odd, counts, place, of, a, b = met(raw, at, raw_segments, seg_at, full, removed)
+    hits = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.StructArray.from_arrays([pa.array(place.astype(np.int32)), pa.array(of.astype(np.int32)), pa.array(a), pa.array(b)], ["place", "of", "a", "b"]))
+    return pa.StructArray.from_arrays([pa.array(odd), hits], ["odd", "hits"])
+
+
+def met(words: pa.Array, at: np.ndarray, segments: pa.Array, seg_at: np.ndarray, full: pa.Array, removed: pa.Array) -> tuple[np.ndarray, ...]:
+    """``odd, counts`` by document, and its hits one after the other: ``place, of, a, b`` as ``meeting`` has them. ``at`` and
+    ``seg_at`` are where each document's words and segments begin, with the end at last."""
+    said, segs = plain_all(words), plain_all(segments)
     joined = lambda begins, parts: pc.binary_join(pa.ListArray.from_arrays(pa.array(begins, pa.int32()), parts), "").to_pylist()
     length = lambda parts: pc.utf8_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
-    n, size, docs = length(said), length(segs), len(words)
+    n, size, docs = length(said), length(segs), len(full)
     whole, stop, gone = joined(at, said), _sums(n, at), np.zeros(len(n), bool)
     for d, ranges in enumerate(removed.to_pylist()):
         mine = slice(at[d], at[d + 1])
@@ -200,11 +223,9 @@ def meeting(words: pa.Array, segments: pa.Array, full: pa.Array, removed: pa.Arr
     meets = np.where(odd[owner], 0, meets)
     word = np.repeat(np.arange(len(n)), meets)
     seg = np.repeat(first - np.append(0, np.cumsum(meets))[:-1], meets) + np.arange(len(word))
-    share = lambda x: pa.array((x - start[word]) / n[word])
-    parts = [pa.array((word - at[owner[word]]).astype(np.int32)), pa.array((seg - seg_at[owner[word]]).astype(np.int32)), share(np.maximum(start[word], seg_start[seg])), share(np.minimum(stop[word], seg_stop[seg]))]
-    counts = np.append(0, np.cumsum(np.bincount(owner, meets, minlength=docs).astype(np.int64)))
-    hits = pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.StructArray.from_arrays(parts, ["place", "of", "a", "b"]))
-    return pa.StructArray.from_arrays([pa.array(odd), hits], ["odd", "hits"])
+    share = lambda x: (x - start[word]) / n[word]
+    counts = np.bincount(owner, meets, minlength=docs).astype(np.int64)
+    return odd, counts, word - at[owner[word]], seg - seg_at[owner[word]], share(np.maximum(start[word], seg_start[seg])), share(np.minimum(stop[word], seg_stop[seg]))
 
 
 def line_bounds(boxes: DataFrame) -> DataFrame:
@@ -221,10 +242,9 @@ def smoothed(points: list[tuple[float, float]], left: bool, gap: float = GAP) ->
     x, y = [p[0] for p in points], [p[1] for p in points]
     outer = min if left else max
     for _ in range(2 * len(x)):
-        steps = [(abs(b - a), i) for i, (a, b) in enumerate(pairwise(x)) if a != b]
-        if not steps or min(steps)[0] > gap:
+        step, i = min([(abs(b - a), i) for i, (a, b) in enumerate(pairwise(x)) if a != b], default=(gap + 1, 0))
+        if step > gap:
             break
-        i = min(steps)[1]
         to = outer(x[i], x[i + 1])
         inner, beyond = (i, i - 1) if x[i] != to else (i + 1, i + 2)
         if 0 <= beyond < len(x) and x[beyond] == x[inner]:
@@ -298,6 +318,102 @@ def drawn(bounds: DataFrame, pages: DataFrame, padding: float = PADDING, gap: fl
     return lines.join(pages, ["doc", "page"]).select("doc", "seg", "page", draw("lines", F.col("width").cast("double"), F.col("height").cast("double")).alias("polygon"))
 
 
+@dataclass
+class Pages:
+    """Documents of a block: their words by page and place, a box each, on pages of ``width`` and ``height`` (by word); their
+    segments in order; normalised texts and removed ranges (lists of ``start, stop``). ``at`` and ``seg_at`` are where each
+    one's words and segments begin, with the end at last."""
+
+    doc: pa.Array
+    at: np.ndarray
+    word: pa.Array
+    page: np.ndarray
+    ord: np.ndarray
+    block: np.ndarray
+    line: np.ndarray
+    x0: np.ndarray
+    y0: np.ndarray
+    x1: np.ndarray
+    y1: np.ndarray
+    width: np.ndarray
+    height: np.ndarray
+    seg_at: np.ndarray
+    seg: np.ndarray
+    text: pa.Array
+    full: pa.Array
+    removed: pa.Array
+
+
+def in_order(keys: list[np.ndarray]) -> np.ndarray | slice:
+    """The order by ``keys``, the first one counting most; all as it stands if it is the order already."""
+    less, same = np.zeros(max(len(keys[0]) - 1, 0), bool), np.ones(max(len(keys[0]) - 1, 0), bool)
+    for k in keys:
+        less |= same & (k[:-1] < k[1:])
+        same &= k[:-1] == k[1:]
+    return slice(None) if (less | same).all() else np.lexsort(keys[::-1])
+
+
+def turns(keys: list[np.ndarray]) -> np.ndarray:
+    """Where a row differs from the one before."""
+    return np.flatnonzero(np.append(True, np.any([k[1:] != k[:-1] for k in keys], axis=0))[: len(keys[0])])
+
+
+def drawn_pages(p: Pages, padding: float = PADDING, gap: float = GAP) -> pa.RecordBatch:
+    """GEO1-3 of a block: ``doc, seg, page, polygon``. Documents where something differs go through the cursor."""
+    odd, counts, place, of, a, b = met(p.word, p.at, p.text, p.seg_at, p.full, p.removed)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    more = []
+    for d in np.flatnonzero(odd & (np.diff(p.at) > 0)).tolist():
+        gone = [(r["start"], r["stop"]) for r in p.removed[d].as_py() or []]
+        words, segs = p.word.slice(p.at[d], p.at[d + 1] - p.at[d]).to_pylist(), p.text.slice(p.seg_at[d], p.seg_at[d + 1] - p.seg_at[d]).to_pylist()
+        more += [(d, k, seg, x, y) for seg, k, x, y in placed(list(enumerate(words)), segs, p.full[d].as_py() or "", gone)]
+    if more:
+        columns = [np.array(x) for x in zip(*more)]
+        owner, place, of, a, b = (np.append(x, y) for x, y in zip((owner, place, of, a, b), columns))
+    at = p.at[owner] + place
+    seg, wide = p.seg[p.seg_at[owner] + of], p.x1[at] - p.x0[at]
+    keys, x0, x1 = [owner, seg, p.page[at], p.block[at], p.line[at]], p.x0[at] + a * wide, p.x0[at] + b * wide
+    order = in_order([*keys, x0, p.ord[at]])
+    keys, x0, x1, at = [k[order] for k in keys], x0[order], x1[order], at[order]
+    if not len(at):
+        return pa.RecordBatch.from_arrays([p.doc.slice(0, 0), pa.array([], pa.int32()), pa.array([], pa.int32()), pa.array([], pa.list_(pa.list_(pa.float64())))], ["doc", "seg", "page", "polygon"])
+    first = turns(keys)
+    last, left = np.append(first[1:], len(at)) - 1, x0[first]
+    right, top, bottom = x1[last], np.minimum.reduceat(p.y0[at], first), np.maximum.reduceat(p.y1[at], first)
+    some = right >= left
+    owner, seg, page, block, line = (k[first][some] for k in keys)
+    top, bottom, left, right, at = top[some], bottom[some], left[some], right[some], at[first][some]
+    order = in_order([owner, seg, page, top, block, line])
+    owner, seg, page, top, bottom, left, right, at = (x[order] for x in (owner, seg, page, top, bottom, left, right, at))
+    first = turns([owner, seg, page])
+    lines, polygons = list(zip(top.tolist(), bottom.tolist(), left.tolist(), right.tolist())), []
+    drawn: dict[tuple, list] = {}  # the same lines have the same outline
+    for i, j, w, h in zip(first.tolist(), np.append(first[1:], len(owner)).tolist(), p.width[at[first]].tolist(), p.height[at[first]].tolist()):
+        key = (*lines[i:j], w, h)
+        if (polygon := drawn.get(key)) is None:
+            polygon = drawn[key] = outline(lines[i:j], w, h, padding, gap)
+        polygons.append(polygon)
+    flat = np.array([x for polygon in polygons for point in polygon for x in point], np.float64)
+    sizes = np.append(0, np.cumsum(np.fromiter(map(len, polygons), np.int64, len(polygons))))
+    points = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, 2), pa.int32()), pa.array(flat))
+    return pa.RecordBatch.from_arrays([p.doc.take(pa.array(owner[first])), pa.array(seg[first].astype(np.int32)), pa.array(page[first].astype(np.int32)), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), points)], ["doc", "seg", "page", "polygon"])
+
+
+def outlined(docs: DataFrame, read: Callable[[pa.RecordBatch], Pages], padding: float = PADDING, gap: float = GAP) -> DataFrame:
+    """GEO2 inside tasks: ``doc, seg, page, polygon`` of documents, a row each. ``read`` makes the pages of some rows, so no word,
+    line or polygon is shuffled or kept, and a document is worked off once, odd or not. ``docs`` has ``doc, text`` first; rows
+    without a document's number have no outlines."""
+    bounded_batches(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            for rows, _ in slices([batch]):
+                yield drawn_pages(read(rows), padding, gap)
+
+    kind = docs.schema["doc"].dataType.simpleString()
+    return docs.filter("doc IS NOT NULL").mapInArrow(run, f"doc {kind}, seg int, page int, polygon array<array<double>>")
+
+
 def clamped(c: Column, low, high) -> Column:
     return F.least(F.greatest(c, F.lit(low) if not isinstance(low, Column) else low), F.lit(high) if not isinstance(high, Column) else high)
 
